@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkshelf.llm.common import written
 from sparkshelf.llm.quality_rules import keep_good
+from sparkshelf.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +17,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near copies."""
+    return keep_one(docs)
+
+
+STAGES = [("quality", quality), ("near-duplicates", near_duplicates)]
 
 #: The stages need iterative models and a range coder, which SQL can't express; tests hold each against brute force.
 ORACLE_SQL = None

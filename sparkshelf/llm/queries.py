@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from .common import table
 from .quality_rules import quality_rules
+from .simhash import simhash_groups
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +21,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*first, "p_good")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the least doc_id of its group."""
+    return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_quality": op7_quality,
+        "op9_simhash": op9_simhash,
         "pipeline": corpus_pipeline.run,
     }
 
