@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from . import decontaminate
 from .common import table
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside ten-word windows of the benchmark, and the items that these come from."""
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measures, base verdict and weak-supervision verdict."""
     out = quality_rules(table(spark, sf_dir, "documents"))
@@ -28,6 +34,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_decontaminate": op6_decontaminate,
         "op7_quality": op7_quality,
         "op9_simhash": op9_simhash,
         "pipeline": corpus_pipeline.run,
@@ -35,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontaminate": decontaminate.ORACLE}
