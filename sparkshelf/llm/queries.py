@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from . import decontaminate
 from .common import table
+from .mixing import mix
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
 
@@ -32,11 +33,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, with its source's size and target."""
+    docs = table(spark, sf_dir, "documents")
+    out, shares = mix(docs, F.array("source"))
+    out = out.withColumn("source", F.col("members")[0])
+    return out.join(F.broadcast(shares.withColumnRenamed("source", "__s")), out["source"].eqNullSafe(F.col("__s"))).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_decontaminate": op6_decontaminate,
         "op7_quality": op7_quality,
         "op9_simhash": op9_simhash,
+        "op10_mixing": op10_mixing,
         "pipeline": corpus_pipeline.run,
     }
 
