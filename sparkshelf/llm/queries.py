@@ -9,11 +9,30 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate
+from . import decontaminate, url_filter
 from .common import table
 from .mixing import mix
 from .quality_rules import quality_rules
+from .secrets_scan import scan_secrets
 from .simhash import simhash_groups
+from .wrapper import extract
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; the trees are trained on the pages' own URLs with seed labels by host words."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = pages.select("url", url_filter.seed_label(url_filter.host_of(F.col("url"))).alias("bad"))
+    return url_filter.judge(pages, url_filter.train(labelled))
+
+
+def op3_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, scanned once for each distinct text."""
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("blob")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +62,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
+        "op3_wrapper": op3_wrapper,
+        "op5_secrets": op5_secrets,
         "op6_decontaminate": op6_decontaminate,
         "op7_quality": op7_quality,
         "op9_simhash": op9_simhash,
