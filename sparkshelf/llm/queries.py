@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, url_filter
+from . import decontaminate, fixity, pseudo_lm, url_filter
 from .common import table
 from .mixing import mix
 from .quality_rules import quality_rules
@@ -30,6 +30,18 @@ def op3_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_pseudo_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's masked pseudo-log-likelihood under a network trained on all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_lm.score(docs, *pseudo_lm.fit(docs))
+
+
+def op8_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record in an archive and whether a replica with planted damage still holds it."""
+    out = fixity.drill(table(spark, sf_dir, "pages"))
+    return out.withColumn("page_id", F.col("key").cast("bigint")).drop("key")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets, scanned once for each distinct text."""
     return scan_secrets(table(spark, sf_dir, "documents")).drop("blob")
@@ -64,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op3_wrapper": op3_wrapper,
+        "op4_pseudo_lm": op4_pseudo_lm,
+        "op8_fixity": op8_fixity,
         "op5_secrets": op5_secrets,
         "op6_decontaminate": op6_decontaminate,
         "op7_quality": op7_quality,
