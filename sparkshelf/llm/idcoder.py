@@ -1,20 +1,20 @@
-"""A range coder for token ids: blocks of ids, coded many at a time.
+"""A range coder for token ids: many independent blocks coded side by side.
 
-Blocks are independent: every block starts from the same empty models and has its own CRC-32. numpy steps through all blocks
-of a segment together, one id of each at a step, so a block is a lane of the arrays.
+Every block starts from the same empty models and has its own CRC-32, so a damaged block harms no other. numpy steps through
+the blocks of a frame together, one id of each at a step: a block is a lane of the arrays.
 
-Models, for each block on its own:
+Predictions, for each block on its own:
 * order 2 and order 1: the id that last followed the two ids (the id) before, from small hashed tables, with a confidence of
   0 to 3 that a hit raises and a miss halves;
-* order 0: the ids so far, as a frequency table of slots that is made anew after 64, 256 and 1024 ids, plus an escape.
+* order 0: the ids so far, as SLOTS evenly spaced places of their sorted list, made anew at the REBUILD places.
 
-Mixing: an id is the order-2 prediction, else the order-1 prediction, else an order-0 id. How likely each is comes from two
-adaptive counters, one under the confidences of the predictions and one under the last two outcomes; they are mixed by
-weights that follow how well each has predicted the block so far. The mixed probabilities give one interval of 2 ** 16 for the
-range coder: [order 2 | order 1 | order-0 slots | escape]; an escaped id follows as 16 bits or, if wide, 32.
+Mixing: how likely each prediction is right is estimated twice, under the confidences of both predictions and under the last
+two outcomes; the two estimates are mixed by a weight that follows which of them has been the better one in this block.
+The mixed probabilities share out an interval of 2 ** 16 for the range coder: [order 2 | order 1 | order-0 slots | escape]; an
+escaped id follows as 16 bits, or as 16 bits of ones and then 32 if it is wide.
 
-The range coder keeps 48 bits of low and of range, emits 16-bit words and propagates carries into words already written.
-All quantities are integers or products and quotients of doubles, the same on both sides."""
+The coder keeps 48 bits of low and of range, emits 16-bit words and carries into words already written. All quantities are
+integers, the same on both sides."""
 
 from __future__ import annotations
 
@@ -23,298 +23,334 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-SLOTS = 1024  # order-0 slots
-REBUILD = (64, 256, 1024)
-HASHED = 2048  # entries of an order-1 or order-2 table
-TOTAL = 16  # bits of a coding interval
+BLOCK = 2048
+LANES = 4096  # blocks in a frame at most
+SLOTS = 1024
+REBUILD = (48, 192, 768)
+HASHED = 512  # entries of an order-1 or order-2 table
+LEAST = 32  # share of each prediction at least, of 2 ** 16
+ESCAPE = 512  # share of the escape at least
 TOP = 1 << 48
-ESCAPE = 24  # least share of the escape, of 2 ** 16
 U = np.uint64
-MAGIC = b"SHID1\0"
+I = np.int32  # noqa: E741
+MAGIC = b"SHID2\0"
 
 
 class _Coder:
-    """Range coder state of all lanes; words are uint16 in rows of ``words``."""
+    """Range coder state of all lanes; words are uint16, a row a lane."""
 
-    def __init__(self, n: int, words: np.ndarray | None = None, room: int = 0):
-        self.low = np.zeros(n, U)
+    def __init__(self, n: int, words: np.ndarray):
         self.range = np.full(n, TOP - 1, U)
-        self.words = np.zeros((n, room), np.uint16) if words is None else words
-        self.at = np.zeros(n, np.int64)
-        self.flat = self.words.reshape(-1)
-        self.base = np.arange(n, dtype=np.int64) * self.words.shape[1]
-        if words is not None:
-            self.code = np.zeros(n, U)
-            for _ in range(3):
-                self.code = (self.code << U(16)) | self.flat[self.base + self.at]
-                self.at += 1
-
-    def encode(self, lanes, start: np.ndarray, width: np.ndarray) -> None:
-        """Narrows the lanes (an index, or slice for all) to [start, start + width) of 2 ** 16."""
-        r = self.range[lanes] >> U(TOTAL)
-        low = self.low[lanes] + r * start
-        r = r * width
-        carry = low >> U(48)
-        if carry.any():
-            which = np.nonzero(carry)[0]
-            low[which] &= U(TOP - 1)
-            lane = which if isinstance(lanes, slice) else lanes[which]
-            spot = self.base[lane] + self.at[lane] - 1
-            while len(spot):
+        self.flat = words.reshape(-1)
+        self.words = words
+        self.at = np.arange(n, dtype=np.int64) * words.shape[1]
+        self.base = self.at.copy()
+
+
+class _Writer(_Coder):
+    def __init__(self, n: int, room: int):
+        super().__init__(n, np.zeros((n, room), np.uint16))
+        self.low = np.zeros(n, U)
+
+    def put(self, start: np.ndarray, width: np.ndarray) -> None:
+        """Narrows all lanes to [start, start + width) of 2 ** 16."""
+        r = self.range >> U(16)
+        self.low += r * start
+        r *= width
+        if (carry := np.flatnonzero(self.low >= U(TOP))).size:
+            self.low[carry] &= U(TOP - 1)
+            spot = self.at[carry] - 1
+            while spot.size:
                 self.flat[spot] += np.uint16(1)
                 spot = spot[self.flat[spot] == 0] - 1
-        small = np.nonzero(r < U(1 << 32))[0]
-        while len(small):
-            lane = small if isinstance(lanes, slice) else lanes[small]
-            self.flat[self.base[lane] + self.at[lane]] = (low[small] >> U(32)).astype(np.uint16)
-            self.at[lane] += 1
-            low[small] = (low[small] << U(16)) & U(TOP - 1)
-            r[small] <<= U(16)
-            small = small[r[small] < U(1 << 32)]
-        self.low[lanes] = low
+        self.range = r
+        small = np.flatnonzero(r < U(1 << 32))
+        while small.size:
+            self._shift(small)
+            small = small[self.range[small] < U(1 << 32)]
+
+    def _shift(self, lanes: np.ndarray) -> None:
+        low, at = self.low[lanes], self.at[lanes]
+        self.flat[at] = low >> U(32)
+        self.at[lanes] = at + 1
+        self.low[lanes] = (low << U(16)) & U(TOP - 1)
+        self.range[lanes] <<= U(16)
+
+    def put_raw(self, lanes: np.ndarray, value: np.ndarray) -> None:
+        """16 even bits in some lanes."""
+        r = self.range[lanes] >> U(16)
+        low = self.low[lanes] + r * value.astype(U)
+        carry = low >= U(TOP)
+        spot = self.at[lanes[carry]] - 1
+        while spot.size:
+            self.flat[spot] += np.uint16(1)
+            spot = spot[self.flat[spot] == 0] - 1
+        self.low[lanes] = low & U(TOP - 1)
         self.range[lanes] = r
+        small = lanes[r < U(1 << 32)]
+        while small.size:
+            self._shift(small)
+            small = small[self.range[small] < U(1 << 32)]
 
-    def finish(self) -> None:
+    def finish(self) -> np.ndarray:
+        """Flushes; the number of words of each lane."""
         for shift in (32, 16, 0):
-            self.flat[self.base + self.at] = ((self.low >> U(shift)) & U(0xFFFF)).astype(np.uint16)
+            self.flat[self.at] = (self.low >> U(shift)) & U(0xFFFF)
             self.at += 1
+        return self.at - self.base
 
-    def peek(self, lanes) -> np.ndarray:
-        """Where in 2 ** 16 the code lies. A quotient of integers below 2 ** 48 is exact in doubles once cut off."""
-        self.unit = self.range[lanes] >> U(TOTAL)
-        return np.minimum((self.code[lanes].astype(np.float64) / self.unit).astype(np.int64), (1 << TOTAL) - 1)
-
-    def decode(self, lanes, start: np.ndarray, width: np.ndarray) -> None:
-        code = self.code[lanes] - self.unit * start
-        r = self.unit * width
-        small = np.nonzero(r < U(1 << 32))[0]
-        while len(small):
-            lane = small if isinstance(lanes, slice) else lanes[small]
-            code[small] = (code[small] << U(16)) | self.flat[self.base[lane] + self.at[lane]]
-            self.at[lane] += 1
-            r[small] <<= U(16)
-            small = small[r[small] < U(1 << 32)]
-        self.code[lanes] = code
-        self.range[lanes] = r
+
+class _Reader(_Coder):
+    def __init__(self, words: np.ndarray):
+        super().__init__(len(words), words)
+        self.code = np.zeros(len(words), U)
+        for _ in range(3):
+            self.code = (self.code << U(16)) | self.flat[self.at]
+            self.at += 1
+
+    def peek(self) -> np.ndarray:
+        """Where in 2 ** 16 the code of each lane lies. A quotient of integers below 2 ** 48 is exact in doubles once cut off."""
+        self.unit = self.range >> U(16)
+        return np.minimum(self.code.astype(np.float64) / self.unit, 65535.0).astype(I)
+
+    def take(self, start: np.ndarray, width: np.ndarray) -> None:
+        self.code -= self.unit * start
+        self.range = self.unit * width
+        small = np.flatnonzero(self.range < U(1 << 32))
+        while small.size:
+            self._shift(small)
+            small = small[self.range[small] < U(1 << 32)]
+
+    def _shift(self, lanes: np.ndarray) -> None:
+        at = self.at[lanes]
+        self.code[lanes] = (self.code[lanes] << U(16)) | self.flat[at]
+        self.range[lanes] <<= U(16)
+        self.at[lanes] = at + 1
+
+    def take_raw(self, lanes: np.ndarray) -> np.ndarray:
+        code, unit = self.code[lanes], self.range[lanes] >> U(16)
+        value = np.minimum(code.astype(np.float64) / unit, 65535.0).astype(np.int64)
+        self.code[lanes] = code - unit * value.astype(U)
+        self.range[lanes] = unit
+        small = lanes[unit < U(1 << 32)]
+        while small.size:
+            self._shift(small)
+            small = small[self.range[small] < U(1 << 32)]
+        return value
 
 
 class _Models:
-    """Models of n blocks."""
+    """Predictions and their estimates for n blocks. Probabilities have 15 bits."""
 
     def __init__(self, n: int):
-        self.n = n
-        self.lane = np.arange(n, dtype=np.int64)
-        self.two = np.full(n * HASHED, -1, np.int64)  # id * 4 + confidence
-        self.one = np.full(n * HASHED, -1, np.int64)
-        self.hash_base = self.lane * HASHED
-        self.slots = np.zeros(n * SLOTS, np.int64)
+        self.two, self.one = np.zeros(n * HASHED, np.int64), np.zeros(n * HASHED, np.int64)  # id * 4 + confidence
+        lane = np.arange(n, dtype=I)
+        self.at_table, self.at_trust, self.at_past = lane * I(HASHED), lane * I(32), lane * I(9)
+        self.trust = [np.full(n * 32, 8000, I), np.full(n * 32, 8000, I)]  # of order 2; of order 1 where order 2 missed
+        self.seen = [np.full(n * 9, 8000, I), np.full(n * 9, 8000, I)]
+        self.weight = np.full(n, 32, I)
+        self.past = np.zeros(n, I)
+        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.ready = False
-        self.by_trust = np.ones((n * 32, 3))
-        self.by_past = np.ones((n * 9, 3))
-        self.weight = np.full(n, 0.5)
-        self.past = np.zeros(n, np.int64)
-        self.before = np.zeros((2, n), np.int64)
 
     def predict(self) -> None:
-        b2, b1 = self.before
-        self.h1 = self.hash_base + ((b1 * 2654435761 >> 11) & (HASHED - 1))
-        self.h2 = self.hash_base + (((b1 * 2654435761 ^ b2 * 40503) >> 9) & (HASHED - 1))
-        self.e2, self.e1 = self.two[self.h2], self.one[self.h1]
-        self.p2, self.p1 = self.e2 >> 2, self.e1 >> 2
-        c2, c1 = self.e2 & 3, self.e1 & 3
-        self.t = self.lane * 32 + c2 * 8 + c1 * 2 + (self.p1 == self.p2)
-        self.q = self.lane * 9 + self.past
-        a, b = self.by_trust[self.t], self.by_past[self.q]
-        self.a = a / a.sum(1, keepdims=True)
-        self.b = b / b.sum(1, keepdims=True)
-        w = self.weight[:, None]
-        mix = self.a * w + self.b * (1 - w)
-        room = 65536 - 2 * 32 - SLOTS - ESCAPE  # so that a slot has a unit at least
-        self.w2 = 32 + (mix[:, 0] * room).astype(np.int64)
-        self.w1 = 32 + (mix[:, 1] * room).astype(np.int64)
-        if self.ready:  # the rest: whole slots, then the escape
-            self.unit = (65536 - ESCAPE - self.w2 - self.w1) // SLOTS
-        else:
-            self.unit = np.zeros(self.n, np.int64)
+        self.i1 = self.at_table + (self.last & (HASHED - 1)).astype(I)
+        self.i2 = self.at_table + (((self.last * 40503 ^ self.before * 30011) >> 5) & (HASHED - 1)).astype(I)
+        e2, e1 = self.two[self.i2], self.one[self.i1]
+        self.p2, self.p1 = e2 >> 2, e1 >> 2
+        self.c2, self.c1 = (e2 & 3).astype(I), (e1 & 3).astype(I)
+        self.t = self.at_trust + (self.c2 << 3) + (self.c1 << 1) + (self.p1 == self.p2)
+        self.q = self.at_past + self.past
+        self.a2, self.a1 = self.trust[0][self.t], self.trust[1][self.t]
+        self.b2, self.b1 = self.seen[0][self.q], self.seen[1][self.q]
+        m2 = self.b2 + ((self.a2 - self.b2) * self.weight >> 6)
+        m1 = self.b1 + ((self.a1 - self.b1) * self.weight >> 6)
+        room = 65536 - 2 * LEAST - SLOTS - ESCAPE
+        self.w2 = LEAST + (m2 * I(room >> 1) >> 14)
+        self.w1 = LEAST + (m1 * ((room + LEAST - self.w2) >> 1) >> 14)
         self.zero = self.w2 + self.w1
-        self.esc = self.zero + self.unit * SLOTS
-
-    def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        """event: 0 order 2, 1 order 1, 2 other."""
-        got_a, got_b = self.a[self.lane, event], self.b[self.lane, event]
-        w = self.weight * got_a
-        w = w / (w + (1 - self.weight) * got_b)
-        self.weight = np.minimum(np.maximum(w * 0.98 + 0.01, 0.02), 0.98)
-        for counts, row in ((self.by_trust, self.t), (self.by_past, self.q)):
-            c = counts[row] * 0.96
-            c[self.lane, event] += 1.0
-            counts[row] = c + 0.01
-        for table, at, e, p in ((self.two, self.h2, self.e2, self.p2), (self.one, self.h1, self.e1, self.p1)):
-            hit = p == ids
-            conf = np.where(hit, np.minimum((e & 3) + 1, 3), (e & 3) >> 1)
-            keep = hit | ((e & 3) > 1)
-            table[at] = np.where(keep, p, ids) * 4 + np.where(keep, conf, 0)
-        self.past = (self.past % 3) * 3 + event
-        self.before = np.stack([self.before[1], ids])
+        if self.ready:
+            self.unit = np.maximum((65536 - self.zero - self.spare) >> 10, 1)
+            self.esc = self.zero + (self.unit << 10)
+        else:
+            self.esc = self.zero
+
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        better = (self.a2 > self.b2) == hit2
+        np.clip(self.weight + better.astype(I) * 2 - 1, 4, 60, out=self.weight)
+        up2 = hit2.astype(I) << 15
+        self.trust[0][self.t] = self.a2 + ((up2 - self.a2) >> 5)
+        self.seen[0][self.q] = self.b2 + ((up2 - self.b2) >> 5)
+        missed = ~hit2
+        up1 = hit1.astype(I) << 15
+        self.trust[1][self.t] = self.a1 + ((up1 - self.a1) >> 5) * missed
+        self.seen[1][self.q] = self.b1 + ((up1 - self.b1) >> 5) * missed
+        for table, at, p, c in ((self.two, self.i2, self.p2, self.c2), (self.one, self.i1, self.p1, self.c1)):
+            right = p == ids
+            keep = right | (c > 1)
+            c = np.where(right, np.minimum(c + 1, 3), c >> 1) * keep
+            table[at] = (np.where(keep, p, ids) << 2) + c
+        self.past = (self.past % 3) * 3 + np.where(hit2, I(0), np.where(hit1, I(1), I(2)))
+        self.before, self.last = self.last, ids
 
     def rebuild(self, seen: np.ndarray) -> None:
-        """Order 0 from all ids so far (lanes x ids): SLOTS of them, evenly spread over the sorted ids of the block."""
+        """Order 0 from the ids so far (a row a lane). The escape's share follows the share of ids seen once."""
         ordered = np.sort(seen, axis=1)
-        take = (np.arange(SLOTS) * seen.shape[1]) // SLOTS
-        self.slots = np.ascontiguousarray(ordered[:, take])
-        keys = self.slots + (self.lane << 33)[:, None]
-        self.keys = keys.reshape(-1)
+        k = seen.shape[1]
+        new = np.ones(ordered.shape, bool)
+        new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        once = (new[:, :-1] & new[:, 1:]).sum(1) + new[:, -1]
+        self.spare = np.clip(once * 24000 // k, ESCAPE, 24000).astype(I)
+        self.slots = np.ascontiguousarray(ordered[:, (np.arange(SLOTS) * k) // SLOTS])
+        new = np.ones(self.slots.shape, bool)
+        new[:, 1:] = self.slots[:, 1:] != self.slots[:, :-1]
+        place = np.arange(SLOTS, dtype=np.int16)
+        self.first = np.maximum.accumulate(np.where(new, place, np.int16(0)), axis=1)
+        ends = np.full(new.shape, SLOTS, np.int16)
+        ends[:, :-1] = np.where(new[:, 1:], place[1:], np.int16(SLOTS))
+        self.many = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1] - self.first
         self.ready = True
 
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First slot and number of slots of each lane's id."""
-        k = ids + (self.lane << 33)
-        a = np.searchsorted(self.keys, k, "left")
-        b = np.searchsorted(self.keys, k, "right")
-        return a - self.lane * SLOTS, b - a
-
-
-def _lengths(total: int) -> np.ndarray:
+    def locate(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First slot and number of slots (0: none) of ids (a row a lane), for the writer. One table of all ids serves each lane in turn."""
+        first, many = np.zeros(ids.shape, np.int16), np.zeros(ids.shape, np.int16)
+        table = np.zeros(int(max(ids.max(), self.slots.max())) + 1, np.int16)
+        for lane in range(len(ids)):
+            slots = self.slots[lane]
+            table[slots] = self.first[lane] + np.int16(1)
+            got = table[ids[lane]] - 1
+            first[lane] = got
+            many[lane] = np.where(got >= 0, self.many[lane][got], 0)
+            table[slots] = 0
+        return first, many
+
+
+def _frame(ids: np.ndarray) -> bytes:
+    """ids: at most LANES blocks, below 2 ** 32. Wide ids are numbered within the frame, so that tables stay small."""
+    total = len(ids)
     n = -(-total // BLOCK)
-    out = np.full(n, BLOCK, np.int64)
-    if n:
-        out[-1] = total - (n - 1) * BLOCK
-    return out
-
-
-def encode(ids: np.ndarray) -> bytes:
-    """A frame: magic, number of ids, then for each block its CRC-32 and count of words, then all words."""
-    ids = np.asarray(ids, np.int64)
-    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
-        raise ValueError("ids must fit into 32 bits")
-    size = _lengths(len(ids))
-    n = len(size)
+    longest = min(BLOCK, total)
+    wide = int(ids.max()) >= 1 << 20
+    names = np.unique(ids) if wide else np.zeros(0, np.int64)
     crc = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(n)]
-    if not n:
-        return MAGIC + struct.pack("<QI", 0, 0)
-    grid = np.zeros(n * BLOCK, np.int64)
-    grid[: len(ids)] = ids
-    grid = grid.reshape(n, BLOCK)
+    grid = np.full(n * longest, ids[-1], np.int64)  # the last block is filled up with its last id
+    grid[:total] = ids
+    if wide:
+        grid = np.searchsorted(names, grid)
+    grid = grid.reshape(n, longest)
     steps = np.ascontiguousarray(grid.T)
-    longest = int(size[0])
-    coder, model = _Coder(n, room=longest * 4 + 8), _Models(n)
-    alive = n
+    out, model = _Writer(n, longest * (2 if grid.max() < 65535 else 4) + 16), _Models(n)
+    begin = 0
     for t in range(longest):
         if t in REBUILD:
+            begin = t
+            stop = min([r for r in REBUILD if r > t] + [longest])
             model.rebuild(grid[:, :t])
+            first, many = (np.ascontiguousarray(x.T) for x in model.locate(grid[:, t:stop]))
         now = steps[t]
         model.predict()
-        event = np.where(model.p2 == now, 0, np.where(model.p1 == now, 1, 2))
-        start = np.where(event == 0, 0, model.w2)
-        width = np.where(event == 0, model.w2, model.w1)
-        other = event == 2
+        hit2 = model.p2 == now
+        hit1 = (model.p1 == now) & ~hit2
+        start = np.where(hit1, model.w2, model.esc)
+        width = np.where(hit1, model.w1, 65536 - model.esc)
+        lost = ~(hit2 | hit1)
         if model.ready:
-            first, many = model.find(now)
-            known = other & (many > 0)
-            start = np.where(known, model.zero + first * model.unit, start)
-            width = np.where(known, many * model.unit, width)
-            escaped = other & (many == 0)
-        else:
-            escaped = other
-        start = np.where(escaped, model.esc, start)
-        width = np.where(escaped, 65536 - model.esc, width)
-        if t == size[-1]:
-            alive = n - 1 if size[-1] < longest else n
-        lanes = slice(None) if alive == n else np.arange(alive)
-        coder.encode(lanes, start[:alive].astype(U), width[:alive].astype(U))
-        esc = np.nonzero(escaped[:alive])[0]
-        if len(esc):
-            wide = now[esc] >> 15
-            _raw(coder, esc, now[esc], wide)
-        model.update(now, event)
-    coder.finish()
+            m = many[t - begin]
+            known = lost & (m > 0)
+            start = np.where(known, model.zero + first[t - begin] * model.unit, start)
+            width = np.where(known, m * model.unit, width)
+            lost &= ~known
+        start[hit2] = 0
+        width = np.where(hit2, model.w2, width)
+        out.put(start.astype(U), width.astype(U))
+        if (lanes := np.flatnonzero(lost)).size:
+            v = now[lanes]
+            big = v >= 65535
+            out.put_raw(lanes, np.minimum(v, 65535))
+            if big.any():
+                out.put_raw(lanes[big], v[big] >> 16)
+                out.put_raw(lanes[big], v[big] & 65535)
+        model.update(now, hit2, hit1)
+    size = out.finish()
     head = np.empty((n, 2), "<u4")
-    head[:, 0], head[:, 1] = crc, coder.at
-    body = b"".join(coder.words[i, : coder.at[i]].astype("<u2").tobytes() for i in range(n))
-    return MAGIC + struct.pack("<QI", len(ids), n) + head.tobytes() + body
-
-
-def _raw(coder: _Coder, lanes: np.ndarray, ids: np.ndarray, wide: np.ndarray) -> None:
-    """16 bits: an id below 2 ** 15, or its low 15 bits with the top bit set and 17 more bits (as 9 and 8) to follow."""
-    one = np.ones(len(lanes), U)
-    coder.encode(lanes, np.where(wide > 0, (ids & 32767) | 32768, ids).astype(U), one)
-    more = np.nonzero(wide)[0]
-    if len(more):
-        rest = wide[more]
-        for bits in (rest & 511, rest >> 9):
-            coder.encode(lanes[more], (bits.astype(U)) << U(7), np.full(len(more), 128, U))
-
-
-def _read_raw(coder: _Coder, lanes: np.ndarray) -> np.ndarray:
-    one = np.ones(len(lanes), U)
-    ids = coder.peek(lanes)
-    coder.decode(lanes, ids.astype(U), one)
-    more = np.nonzero(ids & 32768)[0]
-    if len(more):
-        part = []
-        for _ in range(2):
-            v = coder.peek(lanes[more]) >> 7
-            coder.decode(lanes[more], v.astype(U) << U(7), np.full(len(more), 128, U))
-            part.append(v)
-        ids[more] = (ids[more] & 32767) | ((part[0] | (part[1] << 9)) << 15)
-    return ids
+    head[:, 0], head[:, 1] = crc, size
+    body = out.words[np.arange(out.words.shape[1]) < size[:, None]].astype("<u2").tobytes()
+    return struct.pack("<QII", total, n, len(names)) + names.astype("<u4").tobytes() + head.tobytes() + body
+
 
+def encode(ids: np.ndarray) -> bytes:
+    """Magic, number of frames, their lengths, frames. A frame: counts, the list of ids if any is 2 ** 20 or more, for each block
+    its CRC-32 and number of words, then all words."""
+    ids = np.asarray(ids, np.int64)
+    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
+        raise ValueError("ids must fit into 32 bits")
+    room = BLOCK * LANES
+    frames = [_frame(ids[a : a + room]) for a in range(0, len(ids), room)]
+    return MAGIC + struct.pack("<I", len(frames)) + b"".join(struct.pack("<Q", len(f)) for f in frames) + b"".join(frames)
 
-def decode(frame: bytes) -> np.ndarray:
-    """The ids of a frame as uint32; raises if a block's checksum does not hold."""
-    if frame[:6] != MAGIC:
-        raise ValueError("not a frame of this format")
-    total, n = struct.unpack_from("<QI", frame, 6)
-    size = _lengths(total)
-    if n != len(size):
+
+def _ids(frame: memoryview) -> np.ndarray:
+    total, n, named = struct.unpack_from("<QII", frame, 0)
+    if not total or n != -(-total // BLOCK):
         raise ValueError("the frame's counts do not agree")
-    if not n:
-        return np.zeros(0, np.uint32)
-    head = np.frombuffer(frame, "<u4", n * 2, 18).reshape(n, 2)
+    longest, at = min(BLOCK, total), 16
+    names = np.frombuffer(frame, "<u4", named, at).astype(np.int64)
+    at += 4 * named
+    head = np.frombuffer(frame, "<u4", n * 2, at).reshape(n, 2)
     lengths = head[:, 1].astype(np.int64)
-    body = np.frombuffer(frame, "<u2", int(lengths.sum()), 18 + n * 8)
+    at += 8 * n
     words = np.zeros((n, int(lengths.max()) + 4), np.uint16)
-    words[np.arange(words.shape[1]) < lengths[:, None]] = body
-    longest = int(size[0])
-    coder, model = _Coder(n, words), _Models(n)
+    words[np.arange(words.shape[1]) < lengths[:, None]] = np.frombuffer(frame, "<u2", int(lengths.sum()), at)
+    source, model = _Reader(words), _Models(n)
     steps = np.zeros((longest, n), np.int64)
-    alive = n
+    lane = np.arange(n)
     for t in range(longest):
         if t in REBUILD:
             model.rebuild(steps[:t].T)
         model.predict()
-        if t == size[-1]:
-            alive = n - 1 if size[-1] < longest else n
-        lanes = slice(None) if alive == n else np.arange(alive)
-        v = np.zeros(n, np.int64)
-        v[:alive] = coder.peek(lanes)
-        event = np.where(v < model.w2, 0, np.where(v < model.zero, 1, 2))
-        now = np.where(event == 0, model.p2, model.p1)
-        start = np.where(event == 0, 0, model.w2)
-        width = np.where(event == 0, model.w2, model.w1)
-        escaped = v >= model.esc
+        v = source.peek()
+        hit2 = v < model.w2
+        hit1 = (v < model.zero) & ~hit2
+        now = np.where(hit2, model.p2, model.p1)
+        start = np.where(hit1, model.w2, model.esc)
+        width = np.where(hit1, model.w1, 65536 - model.esc)
+        lost = v >= model.esc
         if model.ready:
-            slot = np.minimum((v - model.zero) // np.maximum(model.unit, 1), SLOTS - 1)
-            value = model.slots[model.lane, np.maximum(slot, 0)]
-            first, many = model.find(value)
-            known = (event == 2) & ~escaped
-            now = np.where(known, value, now)
-            start = np.where(known, model.zero + first * model.unit, start)
-            width = np.where(known, many * model.unit, width)
-        start = np.where(escaped, model.esc, start)
-        width = np.where(escaped, 65536 - model.esc, width)
-        coder.decode(lanes, start[:alive].astype(U), width[:alive].astype(U))
-        esc = np.nonzero(escaped[:alive])[0]
-        if len(esc):
-            now[esc] = _read_raw(coder, esc)
-        if alive < n:
-            now[alive:] = 0
+            known = (v >= model.zero) & ~lost
+            slot = np.where(known, (v - model.zero) // model.unit, 0)
+            now = np.where(known, model.slots[lane, slot], now)
+            start = np.where(known, model.zero + model.first[lane, slot] * model.unit, start)
+            width = np.where(known, model.many[lane, slot] * model.unit, width)
+        start[hit2] = 0
+        width = np.where(hit2, model.w2, width)
+        source.take(start.astype(U), width.astype(U))
+        if (lanes := np.flatnonzero(lost)).size:
+            value = source.take_raw(lanes)
+            big = value == 65535
+            if big.any():
+                value[big] = source.take_raw(lanes[big]) << 16
+                value[big] |= source.take_raw(lanes[big])
+            now[lanes] = value
         steps[t] = now
-        model.update(now, event)
-    ids = np.ascontiguousarray(steps.T).reshape(-1)
-    ids = (ids if longest == BLOCK else ids[:total])[:total].astype(np.uint32)
+        model.update(now, hit2, hit1)
+    ids = np.ascontiguousarray(steps.T).reshape(-1)[:total]
+    if named:
+        ids = names[np.minimum(ids, named - 1)]
+    ids = ids.astype(np.uint32)
     for i in range(n):
-        if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != head[i, 0]:
+        if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) != head[i, 0]:
             raise ValueError(f"block {i}: the checksum does not hold")
     return ids
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids as uint32; raises if a block's checksum does not hold."""
+    if data[:6] != MAGIC:
+        raise ValueError("not of this format")
+    (n,) = struct.unpack_from("<I", data, 6)
+    lengths = struct.unpack_from(f"<{n}Q", data, 10)
+    at, out, view = 10 + 8 * n, [], memoryview(data)
+    for length in lengths:
+        out.append(_ids(view[at : at + length]))
+        at += length
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
