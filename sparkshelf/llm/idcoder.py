@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-LANES = 4096  # blocks in a frame at most
+LANES = 2048  # blocks in a frame at most
 SLOTS = 1024
 REBUILD = (48, 192, 768)
 HASHED = 512  # entries of an order-1 or order-2 table
@@ -139,90 +139,92 @@ class _Reader(_Coder):
         return value
 
 
+def _mask(yes: np.ndarray) -> np.ndarray:
+    """-1 where yes, else 0: choosing by ``&`` and ``|`` is quicker than np.where, which guesses branches."""
+    return np.negative(yes.view(np.int8), dtype=I)
+
+
 class _Models:
-    """Predictions and their estimates for n blocks. Probabilities have 15 bits."""
+    """Predictions and their estimates for n blocks, in int32. An estimate has 15 bits; the two of a context (order 2, and order
+    1 where order 2 missed) share an entry."""
 
     def __init__(self, n: int):
-        self.two, self.one = np.zeros(n * HASHED, np.int64), np.zeros(n * HASHED, np.int64)  # id * 4 + confidence
-        lane = np.arange(n, dtype=I)
-        self.at_table, self.at_trust, self.at_past = lane * I(HASHED), lane * I(32), lane * I(9)
-        self.trust = [np.full(n * 32, 8000, I), np.full(n * 32, 8000, I)]  # of order 2; of order 1 where order 2 missed
-        self.seen = [np.full(n * 9, 8000, I), np.full(n * 9, 8000, I)]
+        self.two, self.one = np.zeros(n * HASHED, I), np.zeros(n * HASHED, I)  # id * 4 + confidence
+        lane = np.arange(n, dtype=np.int64)
+        self.at_table, self.at_trust, self.at_past, self.at_slot = lane * HASHED, lane * 32, lane * 9, lane * (SLOTS + 1)
+        self.trust, self.seen = np.full(n * 32, 8000 << 16 | 8000, I), np.full(n * 9, 8000 << 16 | 8000, I)
         self.weight = np.full(n, 32, I)
         self.past = np.zeros(n, I)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.last, self.before = np.zeros(n, I), np.zeros(n, I)
         self.ready = False
 
     def predict(self) -> None:
-        self.i1 = self.at_table + (self.last & (HASHED - 1)).astype(I)
-        self.i2 = self.at_table + (((self.last * 40503 ^ self.before * 30011) >> 5) & (HASHED - 1)).astype(I)
-        e2, e1 = self.two[self.i2], self.one[self.i1]
-        self.p2, self.p1 = e2 >> 2, e1 >> 2
-        self.c2, self.c1 = (e2 & 3).astype(I), (e1 & 3).astype(I)
-        self.t = self.at_trust + (self.c2 << 3) + (self.c1 << 1) + (self.p1 == self.p2)
+        self.i1 = self.at_table + (self.last & I(HASHED - 1))
+        self.i2 = self.at_table + (((self.last * I(1213) ^ self.before * I(877)) >> I(2)) & I(HASHED - 1))
+        self.e2, self.e1 = self.two.take(self.i2), self.one.take(self.i1)
+        self.p2, self.p1 = self.e2 >> 2, self.e1 >> 2
+        self.c2, self.c1 = self.e2 & I(3), self.e1 & I(3)
+        self.t = self.at_trust + ((self.c2 << 3) + (self.c1 << 1) + (self.p1 == self.p2))
         self.q = self.at_past + self.past
-        self.a2, self.a1 = self.trust[0][self.t], self.trust[1][self.t]
-        self.b2, self.b1 = self.seen[0][self.q], self.seen[1][self.q]
+        a, b = self.trust.take(self.t), self.seen.take(self.q)
+        self.a2, self.b2, self.a1, self.b1 = a >> 16, b >> 16, a & I(0xFFFF), b & I(0xFFFF)
         m2 = self.b2 + ((self.a2 - self.b2) * self.weight >> 6)
         m1 = self.b1 + ((self.a1 - self.b1) * self.weight >> 6)
         room = 65536 - 2 * LEAST - SLOTS - ESCAPE
-        self.w2 = LEAST + (m2 * I(room >> 1) >> 14)
-        self.w1 = LEAST + (m1 * ((room + LEAST - self.w2) >> 1) >> 14)
+        self.w2 = (m2 * I(room >> 1) >> 14) + I(LEAST)
+        self.w1 = (m1 * ((I(room + LEAST) - self.w2) >> 1) >> 14) + I(LEAST)
         self.zero = self.w2 + self.w1
         if self.ready:
-            self.unit = np.maximum((65536 - self.zero - self.spare) >> 10, 1)
+            self.unit = np.maximum((self.free - self.zero) >> 10, I(1))
             self.esc = self.zero + (self.unit << 10)
         else:
             self.esc = self.zero
 
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        better = (self.a2 > self.b2) == hit2
-        np.clip(self.weight + better.astype(I) * 2 - 1, 4, 60, out=self.weight)
-        up2 = hit2.astype(I) << 15
-        self.trust[0][self.t] = self.a2 + ((up2 - self.a2) >> 5)
-        self.seen[0][self.q] = self.b2 + ((up2 - self.b2) >> 5)
-        missed = ~hit2
-        up1 = hit1.astype(I) << 15
-        self.trust[1][self.t] = self.a1 + ((up1 - self.a1) >> 5) * missed
-        self.seen[1][self.q] = self.b1 + ((up1 - self.b1) >> 5) * missed
-        for table, at, p, c in ((self.two, self.i2, self.p2, self.c2), (self.one, self.i1, self.p1, self.c1)):
-            right = p == ids
-            keep = right | (c > 1)
-            c = np.where(right, np.minimum(c + 1, 3), c >> 1) * keep
-            table[at] = (np.where(keep, p, ids) << 2) + c
-        self.past = (self.past % 3) * 3 + np.where(hit2, I(0), np.where(hit1, I(1), I(2)))
+    def update(self, ids: np.ndarray, hit2: np.ndarray, m2: np.ndarray, m1: np.ndarray) -> None:
+        """hit2: order 2 was right; m2 and m1: masks of the blocks that took order 2, order 1."""
+        self.weight += ((((self.a2 > self.b2) == hit2).view(np.int8) << 1) - 1).astype(I)
+        np.minimum(np.maximum(self.weight, I(4)), I(60), out=self.weight)
+        to2, to1, missed = m2 & I(32768), m1 & I(32768), ~m2
+        for table, at, x2, x1 in ((self.trust, self.t, self.a2, self.a1), (self.seen, self.q, self.b2, self.b1)):
+            table[at] = ((x2 + ((to2 - x2) >> 5)) << 16) | (x1 + (((to1 - x1) >> 5) & missed))
+        fresh = ids << 2
+        for table, at, e, c, right in ((self.two, self.i2, self.e2, self.c2, m2), (self.one, self.i1, self.e1, self.c1, _mask(self.p1 == ids))):
+            keep = _mask(c > 1) & ~right
+            table[at] = ((e + (c < 3)) & right) | ((e - c + I(1)) & keep) | (fresh & ~(right | keep))
+        self.past = (self.past % I(3)) * I(3) + (I(2) + m2 + m2 + m1)  # 0 order 2, 1 order 1, 2 other
         self.before, self.last = self.last, ids
 
     def rebuild(self, seen: np.ndarray) -> None:
-        """Order 0 from the ids so far (a row a lane). The escape's share follows the share of ids seen once."""
+        """Order 0 from the ids so far (a row a lane). The escape's share follows the share of ids seen once. ``spans`` holds a
+        slot's first slot and, from bit 16, how many slots its id has; place SLOTS stands for the escape."""
         ordered = np.sort(seen, axis=1)
         k = seen.shape[1]
         new = np.ones(ordered.shape, bool)
         new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
         once = (new[:, :-1] & new[:, 1:]).sum(1) + new[:, -1]
-        self.spare = np.clip(once * 24000 // k, ESCAPE, 24000).astype(I)
-        self.slots = np.ascontiguousarray(ordered[:, (np.arange(SLOTS) * k) // SLOTS])
-        new = np.ones(self.slots.shape, bool)
-        new[:, 1:] = self.slots[:, 1:] != self.slots[:, :-1]
-        place = np.arange(SLOTS, dtype=np.int16)
-        self.first = np.maximum.accumulate(np.where(new, place, np.int16(0)), axis=1)
-        ends = np.full(new.shape, SLOTS, np.int16)
-        ends[:, :-1] = np.where(new[:, 1:], place[1:], np.int16(SLOTS))
-        self.many = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1] - self.first
+        self.free = (65536 - np.clip(once * 24000 // k, ESCAPE, 24000)).astype(I)
+        self.slots = np.zeros((len(seen), SLOTS + 1), I)
+        self.slots[:, :SLOTS] = ordered[:, (np.arange(SLOTS) * k) // SLOTS]
+        new = np.ones((len(seen), SLOTS + 1), bool)
+        new[:, 1:SLOTS] = self.slots[:, 1:SLOTS] != self.slots[:, : SLOTS - 1]
+        first = np.maximum.accumulate(np.where(new, np.arange(SLOTS + 1, dtype=I), I(0)), axis=1)
+        ends = np.full(new.shape, SLOTS, I)
+        ends[:, :-1] = np.where(new[:, 1:], np.arange(1, SLOTS + 1, dtype=I), I(SLOTS))
+        many = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1] - first
+        self.spans = first | (many << 16)
+        self.spans[:, SLOTS] = SLOTS
         self.ready = True
 
-    def locate(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First slot and number of slots (0: none) of ids (a row a lane), for the writer. One table of all ids serves each lane in turn."""
-        first, many = np.zeros(ids.shape, np.int16), np.zeros(ids.shape, np.int16)
-        table = np.zeros(int(max(ids.max(), self.slots.max())) + 1, np.int16)
+    def locate(self, ids: np.ndarray) -> np.ndarray:
+        """The spans of ids (a row a lane), for the writer. One table of all ids serves each lane in turn."""
+        out = np.empty(ids.shape, I)
+        table = np.full(int(max(ids.max(), self.slots.max())) + 1, SLOTS, I)
         for lane in range(len(ids)):
-            slots = self.slots[lane]
-            table[slots] = self.first[lane] + np.int16(1)
-            got = table[ids[lane]] - 1
-            first[lane] = got
-            many[lane] = np.where(got >= 0, self.many[lane][got], 0)
-            table[slots] = 0
-        return first, many
+            slots = self.slots[lane, :SLOTS]
+            table[slots] = self.spans[lane, :SLOTS]
+            table.take(ids[lane], out=out[lane])
+            table[slots] = SLOTS
+        return out
 
 
 def _frame(ids: np.ndarray) -> bytes:
@@ -237,7 +239,7 @@ def _frame(ids: np.ndarray) -> bytes:
     grid[:total] = ids
     if wide:
         grid = np.searchsorted(names, grid)
-    grid = grid.reshape(n, longest)
+    grid = grid.astype(I).reshape(n, longest)
     steps = np.ascontiguousarray(grid.T)
     out, model = _Writer(n, longest * (2 if grid.max() < 65535 else 4) + 16), _Models(n)
     begin = 0
@@ -246,31 +248,30 @@ def _frame(ids: np.ndarray) -> bytes:
             begin = t
             stop = min([r for r in REBUILD if r > t] + [longest])
             model.rebuild(grid[:, :t])
-            first, many = (np.ascontiguousarray(x.T) for x in model.locate(grid[:, t:stop]))
+            spans = np.ascontiguousarray(model.locate(grid[:, t:stop]).T)
         now = steps[t]
         model.predict()
         hit2 = model.p2 == now
-        hit1 = (model.p1 == now) & ~hit2
-        start = np.where(hit1, model.w2, model.esc)
-        width = np.where(hit1, model.w1, 65536 - model.esc)
-        lost = ~(hit2 | hit1)
+        m2 = _mask(hit2)
+        m1 = _mask(model.p1 == now) & ~m2
+        lost = ~(m2 | m1)
         if model.ready:
-            m = many[t - begin]
-            known = lost & (m > 0)
-            start = np.where(known, model.zero + first[t - begin] * model.unit, start)
-            width = np.where(known, m * model.unit, width)
-            lost &= ~known
-        start[hit2] = 0
-        width = np.where(hit2, model.w2, width)
-        out.put(start.astype(U), width.astype(U))
-        if (lanes := np.flatnonzero(lost)).size:
+            span = spans[t - begin]
+            many = span >> 16
+            zero, wide0 = model.zero + (span & I(0xFFFF)) * model.unit, many * model.unit
+            escape = lost & _mask(many == 0)
+            wide0 += (65536 - model.esc) & escape
+        else:
+            zero, wide0, escape = model.esc, 65536 - model.esc, lost
+        out.put(((model.w2 & m1) | (zero & lost)).astype(U), ((model.w2 & m2) | (model.w1 & m1) | (wide0 & lost)).astype(U))
+        if (lanes := np.flatnonzero(escape)).size:
             v = now[lanes]
             big = v >= 65535
             out.put_raw(lanes, np.minimum(v, 65535))
             if big.any():
                 out.put_raw(lanes[big], v[big] >> 16)
                 out.put_raw(lanes[big], v[big] & 65535)
-        model.update(now, hit2, hit1)
+        model.update(now, hit2, m2, m1)
     size = out.finish()
     head = np.empty((n, 2), "<u4")
     head[:, 0], head[:, 1] = crc, size
@@ -302,29 +303,31 @@ def _ids(frame: memoryview) -> np.ndarray:
     words = np.zeros((n, int(lengths.max()) + 4), np.uint16)
     words[np.arange(words.shape[1]) < lengths[:, None]] = np.frombuffer(frame, "<u2", int(lengths.sum()), at)
     source, model = _Reader(words), _Models(n)
-    steps = np.zeros((longest, n), np.int64)
-    lane = np.arange(n)
+    steps = np.zeros((longest, n), I)
     for t in range(longest):
         if t in REBUILD:
             model.rebuild(steps[:t].T)
         model.predict()
         v = source.peek()
         hit2 = v < model.w2
-        hit1 = (v < model.zero) & ~hit2
-        now = np.where(hit2, model.p2, model.p1)
-        start = np.where(hit1, model.w2, model.esc)
-        width = np.where(hit1, model.w1, 65536 - model.esc)
-        lost = v >= model.esc
+        m2 = _mask(hit2)
+        m1 = _mask(v < model.zero) & ~m2
+        lost = ~(m2 | m1)
         if model.ready:
-            known = (v >= model.zero) & ~lost
-            slot = np.where(known, (v - model.zero) // model.unit, 0)
-            now = np.where(known, model.slots[lane, slot], now)
-            start = np.where(known, model.zero + model.first[lane, slot] * model.unit, start)
-            width = np.where(known, model.many[lane, slot] * model.unit, width)
-        start[hit2] = 0
-        width = np.where(hit2, model.w2, width)
-        source.take(start.astype(U), width.astype(U))
-        if (lanes := np.flatnonzero(lost)).size:
+            # exact once cut off: numerators below 2 ** 16, denominators below 2 ** 7
+            slot = ((v - model.zero).astype(np.float32) / model.unit.astype(np.float32)).astype(I)
+            at = model.at_slot + np.minimum(np.maximum(slot, I(0)), I(SLOTS))
+            span = model.spans.reshape(-1).take(at)
+            many = span >> 16
+            now = (model.p2 & m2) | (model.p1 & m1) | (model.slots.reshape(-1).take(at) & lost)
+            zero, wide0 = model.zero + (span & I(0xFFFF)) * model.unit, many * model.unit
+            escape = lost & _mask(many == 0)
+            wide0 += (65536 - model.esc) & escape
+        else:
+            now = (model.p2 & m2) | (model.p1 & m1)
+            zero, wide0, escape = model.esc, 65536 - model.esc, lost
+        source.take(((model.w2 & m1) | (zero & lost)).astype(U), ((model.w2 & m2) | (model.w1 & m1) | (wide0 & lost)).astype(U))
+        if (lanes := np.flatnonzero(escape)).size:
             value = source.take_raw(lanes)
             big = value == 65535
             if big.any():
@@ -332,7 +335,7 @@ def _ids(frame: memoryview) -> np.ndarray:
                 value[big] |= source.take_raw(lanes[big])
             now[lanes] = value
         steps[t] = now
-        model.update(now, hit2, hit1)
+        model.update(now, hit2, m2, m1)
     ids = np.ascontiguousarray(steps.T).reshape(-1)[:total]
     if named:
         ids = names[np.minimum(ids, named - 1)]

@@ -15,6 +15,7 @@ from .mixing import mix
 from .quality_rules import quality_rules
 from .secrets_scan import scan_secrets
 from .simhash import simhash_groups
+from .token_files import tokens
 from .wrapper import extract
 
 
@@ -25,6 +26,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.train(labelled))
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum in the token files, as read back from them."""
+    return tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
     return extract(table(spark, sf_dir, "pages"))
@@ -75,6 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_tokens": op2_tokens,
         "op3_wrapper": op3_wrapper,
         "op4_pseudo_lm": op4_pseudo_lm,
         "op8_fixity": op8_fixity,
