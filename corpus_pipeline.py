@@ -6,10 +6,14 @@ columns of documents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkshelf.llm.common import written
+from sparkshelf.llm.common import table, written
+from sparkshelf.llm.decontaminate import keep_clean
+from sparkshelf.llm.mixing import mixed
 from sparkshelf.llm.quality_rules import keep_good
 from sparkshelf.llm.simhash import keep_one
+from sparkshelf.llm.token_files import tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +26,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_one(docs)
 
 
-STAGES = [("quality", quality), ("near-duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of any benchmark item."""
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed(docs, F.array("source"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's place, length and checksum in the token files."""
+    return tokens(docs)
+
+
+STAGES = [("quality", quality), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", token_output)]
 
 #: The stages need iterative models and a range coder, which SQL can't express; tests hold each against brute force.
 ORACLE_SQL = None
