@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkshelf.functions import similarity
 from sparkshelf.operators.joins import longest_contained
@@ -33,7 +34,7 @@ LAPTOP_SUFFIX = " laptop gpu"
 DROPPED = "®™©℠⁰¹²³⁴⁵⁶⁷⁸⁹‘’“”"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 

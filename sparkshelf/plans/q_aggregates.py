@@ -10,18 +10,21 @@ from sparkshelf.operators import aggregates as A
 from sparkshelf.plans.registry import Registry, Tables
 
 q = Registry()
-N = F.count(F.lit(1))
+def count_all():
+    """Rows of a group; built when a query runs, since an expression needs a session."""
+    return F.count(F.lit(1))
+
 DAY = "CAST(ts + INTERVAL 8 HOUR AS DATE)"
 
 
 @q("agg_01", "SELECT count(*) AS total FROM part WHERE p_size > 25")
 def _(t: Tables):
-    return t.part.where("p_size > 25").agg(N.alias("total"))
+    return t.part.where("p_size > 25").agg(count_all().alias("total"))
 
 
 @q("agg_02", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def _(t: Tables):
-    return t.orders.groupBy("o_orderstatus").agg(N.alias("n"))
+    return t.orders.groupBy("o_orderstatus").agg(count_all().alias("n"))
 
 
 @q("agg_03", "SELECT s AS o_orderstatus, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) v(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY 1")
@@ -32,7 +35,7 @@ def _(t: Tables):
 @q("agg_04", "SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (value > 50) AS high, count(*) FILTER (event_type = 'purchase' AND value > 50) AS both FROM events")
 def _(t: Tables):
     e, v = F.col("event_type"), F.col("value")
-    return t.events.agg(N.alias("n"), F.count_if(e == "error").alias("errors"), F.count_if(v > 50).alias("high"), F.count_if((e == "purchase") & (v > 50)).alias("both"))
+    return t.events.agg(count_all().alias("n"), F.count_if(e == "error").alias("errors"), F.count_if(v > 50).alias("high"), F.count_if((e == "purchase") & (v > 50)).alias("both"))
 
 
 @q("agg_05", "SELECT count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS buyers FROM events")
@@ -60,13 +63,13 @@ UNION ALL SELECT 'user', who, count(*), round(sum(value), 2) FROM e GROUP BY 2""
 def _(t: Tables):
     e = t.events.select("event_type", dates.local_day("ts").alias("day"), F.when(F.col("user_id") % 10 != 0, F.col("user_id").cast("string")).alias("who"), F.col("value").alias("v"))
     dims = {"feature": F.col("event_type"), "day": F.col("day"), "user": F.coalesce("who", F.lit("system"))}
-    return A.usage_report(e, dims, {"calls": N, "amount": F.round(F.sum("v"), 2)})
+    return A.usage_report(e, dims, {"calls": count_all(), "amount": F.round(F.sum("v"), 2)})
 
 
 @q("agg_09", f"""WITH b AS (SELECT min({DAY}) AS first, max({DAY}) AS last FROM events), s AS (SELECT CAST(unnest(generate_series(last - INTERVAL 59 DAY, last, INTERVAL 1 DAY)) AS DATE) AS day, first FROM b),
 d AS (SELECT {DAY} AS day, count(*) AS n FROM events GROUP BY 1) SELECT s.day, CASE WHEN s.day >= first THEN coalesce(n, 0) END AS n FROM s LEFT JOIN d USING (day)""")
 def _(t: Tables):
-    return A.daily_series(t.events, dates.local_day("ts"), {"n": N}, F.max("day"), 60)
+    return A.daily_series(t.events, dates.local_day("ts"), {"n": count_all()}, F.max("day"), 60)
 
 
 @q("agg_10", f"SELECT {DAY} AS day, count(*) FILTER (event_type <> 'error') AS clean, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1")
@@ -76,18 +79,18 @@ def _(t: Tables):
 
 @q("agg_11", "SELECT p_brand, count(*) AS n FROM part WHERE p_size > 5 GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 5")
 def _(t: Tables):
-    return t.part.where("p_size > 5").groupBy("p_brand").agg(N.alias("n")).orderBy(F.desc("n"), "p_brand").limit(5)
+    return t.part.where("p_size > 5").groupBy("p_brand").agg(count_all().alias("n")).orderBy(F.desc("n"), "p_brand").limit(5)
 
 
 @q("agg_12", "SELECT CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) AS error_rate, round(avg(value), 6) AS mean_value, count(CASE WHEN value > 10 THEN 1 END) AS metered FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)")
 def _(t: Tables):
     last = t.events.select("ts", "event_id", "event_type", "value").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000)
-    return last.agg((F.count_if(F.col("event_type") == "error").cast("double") / N).alias("error_rate"), F.round(F.avg("value"), 6).alias("mean_value"), F.count_if(F.col("value") > 10).alias("metered"))
+    return last.agg((F.count_if(F.col("event_type") == "error").cast("double") / count_all()).alias("error_rate"), F.round(F.avg("value"), 6).alias("mean_value"), F.count_if(F.col("value") > 10).alias("metered"))
 
 
 @q("agg_13", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1 ORDER BY n DESC, w")
 def _(t: Tables):
-    return t.part.select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(N.alias("n")).orderBy(F.desc("n"), "w")
+    return t.part.select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(count_all().alias("n")).orderBy(F.desc("n"), "w")
 
 
 @q("agg_14", "SELECT CAST(b AS INT) AS bucket, count(v) AS n FROM range(10) r(b) LEFT JOIN (SELECT least(CAST(floor(value / 10) AS INT), 9) AS v FROM events WHERE value IS NOT NULL) ON v = b GROUP BY 1")
@@ -124,7 +127,7 @@ def _(t: Tables):
 
 @q("agg_21", "SELECT lower(p_name) AS k, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def _(t: Tables):
-    return t.part.groupBy(F.lower("p_name").alias("k")).agg(N.alias("n")).where("n > 1")
+    return t.part.groupBy(F.lower("p_name").alias("k")).agg(count_all().alias("n")).where("n > 1")
 
 
 @q("agg_22", "SELECT p_partkey, count(*) OVER (PARTITION BY split_part(p_name, ' ', 1)) - 1 AS siblings FROM part")
@@ -134,7 +137,7 @@ def _(t: Tables):
 
 @q("agg_23", "SELECT c_custkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) = 0")
 def _(t: Tables):
-    o = t.orders.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(N.alias("n"))
+    o = t.orders.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(count_all().alias("n"))
     return t.customer.select("c_custkey").join(o, "c_custkey", "left").where(F.coalesce("n", F.lit(0)) == 0).select("c_custkey")
 
 
@@ -152,7 +155,7 @@ def _(t: Tables):
 
 @q("agg_26", "SELECT lang, count(*) AS n, count(quality) AS done, round(100.0 * count(quality) / count(*), 1) AS pct FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def _(t: Tables):
-    d = t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", "quality"), "doc_id", "left").groupBy("lang").agg(N.alias("n"), F.count("quality").alias("done"))
+    d = t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", "quality"), "doc_id", "left").groupBy("lang").agg(count_all().alias("n"), F.count("quality").alias("done"))
     return d.withColumn("pct", A.safe_ratio(F.col("done"), F.col("n")))
 
 
@@ -161,7 +164,7 @@ SELECT event_type, CAST(greatest(0, quota - count(ts)) AS INT) AS remaining FROM
 def _(t: Tables):
     limits = t.spark.createDataFrame([("view", 5), ("click", 100000), ("other", 7)], "event_type string, quota int")
     since = t.events.agg(F.max("ts").alias("now")).select(dates.quota_day_start("now").alias("since"))
-    used = t.events.join(F.broadcast(since), F.col("ts") >= F.col("since")).groupBy("event_type").agg(N.alias("used"))
+    used = t.events.join(F.broadcast(since), F.col("ts") >= F.col("since")).groupBy("event_type").agg(count_all().alias("used"))
     return limits.join(used, "event_type", "left").select("event_type", F.greatest(F.lit(0), F.col("quota") - F.coalesce("used", F.lit(0))).cast("int").alias("remaining"))
 
 
@@ -186,7 +189,7 @@ def _(t: Tables):
 @q("agg_31", "SELECT count(*) AS overlap FROM (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 200) JOIN (SELECT p_partkey FROM part ORDER BY p_size DESC, p_partkey LIMIT 200) USING (p_partkey)")
 def _(t: Tables):
     top = lambda c: t.part.orderBy(F.desc(c), "p_partkey").select("p_partkey").limit(200)
-    return top("p_retailprice").join(top("p_size"), "p_partkey").agg(N.alias("overlap"))
+    return top("p_retailprice").join(top("p_size"), "p_partkey").agg(count_all().alias("overlap"))
 
 
 @q("agg_32", "SELECT source, CASE WHEN bool_or(lang = 'en') AND bool_or(lang <> 'en') THEN 'mixed' WHEN bool_or(lang = 'en') THEN 'en' ELSE 'other' END AS label FROM documents GROUP BY 1")
@@ -197,7 +200,7 @@ def _(t: Tables):
 
 @q("agg_33", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, length(html) > 5000 AS long, count(*) AS n FROM pages GROUP BY 1, 2")
 def _(t: Tables):
-    return t.pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), (F.length("html") > 5000).alias("long")).agg(N.alias("n"))
+    return t.pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), (F.length("html") > 5000).alias("long")).agg(count_all().alias("n"))
 
 
 @q("agg_34", """WITH l AS (SELECT o_custkey, o_totalprice, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r FROM orders), p AS (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS price FROM l WHERE r = 1 GROUP BY 1)
@@ -206,4 +209,4 @@ def _(t: Tables):
     last = t.orders.withColumn("r", F.rank().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate")))).where("r = 1")
     p = last.groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("prices"))
     bucket = F.when(F.col("prices").isNull(), "none").when(F.size("prices") > 1, "several").when(F.col("prices")[0] > 200000, "high").otherwise("set")
-    return t.customer.join(p, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(bucket.alias("bucket"), "c_mktsegment").agg(N.alias("cnt"))
+    return t.customer.join(p, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(bucket.alias("bucket"), "c_mktsegment").agg(count_all().alias("cnt"))

@@ -11,7 +11,10 @@ from sparkshelf.operators import windows as W
 from sparkshelf.plans.registry import Registry, Tables
 
 q = Registry()
-N = F.count(F.lit(1))
+def count_all():
+    """Rows of a group; built when a query runs, since an expression needs a session."""
+    return F.count(F.lit(1))
+
 
 
 @q("j_01", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -60,13 +63,13 @@ def _(t: Tables):
 
 @q("j_09", "SELECT c_custkey, n, total FROM customer JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def _(t: Tables):
-    o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(N.alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(count_all().alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     return t.customer.select("c_custkey").join(o, "c_custkey")
 
 
 @q("j_10", "SELECT n_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def _(t: Tables):
-    s = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(N.alias("n"))
+    s = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(count_all().alias("n"))
     return t.nation.join(s, "n_nationkey", "left").select("n_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 

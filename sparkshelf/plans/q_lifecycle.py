@@ -10,7 +10,10 @@ from sparkshelf.operators import resolution as B
 from sparkshelf.plans.registry import Registry, Tables
 
 q = Registry()
-N = F.count(F.lit(1))
+def count_all():
+    """Rows of a group; built when a query runs, since an expression needs a session."""
+    return F.count(F.lit(1))
+
 FAMILY = "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand || CASE WHEN p_size > 45 THEN '*' ELSE '' END END"
 
 
@@ -75,7 +78,7 @@ def _(t: Tables):
 def _(t: Tables):
     g, c = guide(t)
     met = L.guide_match(g, c)
-    return met.groupBy("outcome").agg(N.alias("n")).union(L.uncovered(c, met).agg(F.lit("uncovered").alias("outcome"), N.alias("n")))
+    return met.groupBy("outcome").agg(count_all().alias("n")).union(L.uncovered(c, met).agg(F.lit("uncovered").alias("outcome"), count_all().alias("n")))
 
 
 @q("c_07", f"WITH {GUIDE} SELECT guide_id, id FROM o WHERE outcome = 'matched' AND guide_id % 2 = 0")
@@ -130,7 +133,7 @@ def _(t: Tables):
 @q("c_12", f"WITH {OPTIONS} SELECT chip, count(*) AS n FROM o GROUP BY 1 HAVING bool_and(NOT is_blocked)")
 def _(t: Tables):
     priced = options(t).withColumn("edu", F.when(~F.col("is_blocked"), F.col("add_on")))
-    return L.complete_kits(priced, "edu").groupBy("chip").agg(N.alias("n"))
+    return L.complete_kits(priced, "edu").groupBy("chip").agg(count_all().alias("n"))
 
 
 @q("c_13", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_size * 40 > 0 AND p_size * 40 < p_retailprice")
@@ -235,7 +238,7 @@ def _(t: Tables):
 
 @q("c_34", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS found, count(*) FILTER (page_id % 5 = 0) AS added FROM pages GROUP BY 1")
 def _(t: Tables):
-    return t.pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(N.alias("found"), F.count_if(F.col("page_id") % 5 == 0).alias("added"))
+    return t.pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(count_all().alias("found"), F.count_if(F.col("page_id") % 5 == 0).alias("added"))
 
 
 @q("c_35", "SELECT count(*) > 0 AS locked FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type NOT IN ('error', 'purchase') AND (SELECT max(ts) FROM events) - ts <= INTERVAL 6 HOUR")
@@ -249,7 +252,7 @@ def _(t: Tables):
 
 @q("aud_01", "SELECT CAST(sum(n - 1) AS BIGINT) AS surplus, max(n) AS most FROM (SELECT count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1)")
 def _(t: Tables):
-    g = t.documents.groupBy(F.md5(F.col("text").cast("binary"))).agg(N.alias("n")).where("n > 1")
+    g = t.documents.groupBy(F.md5(F.col("text").cast("binary"))).agg(count_all().alias("n")).where("n > 1")
     return g.agg(F.sum(F.col("n") - 1).alias("surplus"), F.max("n").alias("most"))
 
 
@@ -269,7 +272,7 @@ def _(t: Tables):
 
 @q("aud_05", "SELECT p_type, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1 ORDER BY n DESC, p_type")
 def _(t: Tables):
-    return t.part.groupBy("p_type").agg(N.alias("n"), F.count_distinct("p_brand").alias("brands")).where("brands > 1").orderBy(F.desc("n"), "p_type")
+    return t.part.groupBy("p_type").agg(count_all().alias("n"), F.count_distinct("p_brand").alias("brands")).where("brands > 1").orderBy(F.desc("n"), "p_type")
 
 
 @q("aud_06")
@@ -282,13 +285,13 @@ def _(t: Tables):
 def _(t: Tables):
     x = t.events.where("value <= 100").select((F.col("value") / 100).alias("c"), F.explode(F.array(F.lit(0.5), F.lit(0.7), F.lit(0.9))).alias("threshold"))
     low = F.count_if(F.col("c") < F.col("threshold"))
-    return x.groupBy("threshold").agg(low.alias("rejected"), F.round(100.0 * low / N, 4).alias("pct"))
+    return x.groupBy("threshold").agg(low.alias("rejected"), F.round(100.0 * low / count_all(), 4).alias("pct"))
 
 
 @q("aud_08", "SELECT p_brand, count(*) AS n, bool_or(s_suppkey IS NOT NULL) AS mapped FROM part LEFT JOIN supplier ON s_suppkey = p_size GROUP BY 1 ORDER BY n DESC, p_brand")
 def _(t: Tables):
     j = t.part.join(t.supplier.select("s_suppkey"), F.col("s_suppkey") == F.col("p_size"), "left")
-    return j.groupBy("p_brand").agg(N.alias("n"), F.bool_or(F.col("s_suppkey").isNotNull()).alias("mapped")).orderBy(F.desc("n"), "p_brand")
+    return j.groupBy("p_brand").agg(count_all().alias("n"), F.bool_or(F.col("s_suppkey").isNotNull()).alias("mapped")).orderBy(F.desc("n"), "p_brand")
 
 
 @q("aud_10", "SELECT p_partkey FROM (SELECT *, lag(p_retailprice) OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) AS prev FROM part) WHERE prev > p_retailprice")
@@ -317,7 +320,7 @@ def _(t: Tables):
 @q("aud_15", "SELECT coalesce(CAST(quality AS VARCHAR), 'unlabelled') AS status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def _(t: Tables):
     d = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    g = d.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("unlabelled")).alias("status")).agg(N.alias("n"))
+    g = d.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("unlabelled")).alias("status")).agg(count_all().alias("n"))
     return g.join(F.broadcast(g.agg(F.sum("n").alias("all")))).select("status", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("pct"))
 
 
@@ -325,12 +328,12 @@ def _(t: Tables):
 def _(t: Tables):
     b = F.when(F.col("n_chars") < 200, "short").when(F.col("n_chars") < 2000, "medium").otherwise("long")
     placed = t.documents.select(b.alias("bucket"), "doc_id").withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")))
-    return placed.groupBy("bucket").agg(N.alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= 3, F.col("doc_id")))), lambda x: x.cast("string")), ",").alias("samples"))
+    return placed.groupBy("bucket").agg(count_all().alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= 3, F.col("doc_id")))), lambda x: x.cast("string")), ",").alias("samples"))
 
 
 @q("aud_18", "SELECT code, count(*) AS n FROM (SELECT split_part(p_name, ' ', 2) || p_size AS code FROM part) GROUP BY 1 HAVING count(*) > 1")
 def _(t: Tables):
-    return t.part.select(F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_size").cast("string")).alias("code")).groupBy("code").agg(N.alias("n")).where("n > 1")
+    return t.part.select(F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_size").cast("string")).alias("code")).groupBy("code").agg(count_all().alias("n")).where("n > 1")
 
 
 @q("aud_19", "SELECT count(*) FILTER (l_discount = 0) AS zero_discount, count(*) FILTER (l_tax = 0) AS zero_tax, count(DISTINCT l_quantity) AS quantities FROM lineitem")
