@@ -51,21 +51,17 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(common, left), ratio(common, right)) if both else best
 
 
+def _best_window(s: str, l: str) -> float:  # noqa: E741
+    return max(ratio(s, l[max(0, i) : i + len(s)]) for i in range(1 - len(s), len(l)))
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string with a window of the longer one, windows cut at its ends included."""
+    """The best ratio of the shorter string with a window of the longer one, windows cut at its ends included; of both ways round if they are
+    of one length."""
     s, l = (a, b) if len(a) <= len(b) else (b, a)  # noqa: E741
     if not s:
         return 100.0 if not l else 0.0
-    n, best = len(s), 0.0
-    letters = set(s)
-    for i in range(1 - n, len(l)):
-        w = l[max(0, i) : i + n]
-        # a window that neither begins nor ends with a letter of s is beaten by its neighbours
-        if w and (w[-1] in letters or w[0] in letters):
-            best = max(best, ratio(s, w))
-            if best == 100.0:
-                break
-    return best
+    return max(_best_window(s, l), _best_window(l, s)) if len(s) == len(l) else _best_window(s, l)
 
 
 def partial_token_ratio(a: str, b: str) -> float:

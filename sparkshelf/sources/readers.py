@@ -73,7 +73,11 @@ def uploaded_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, html, canonical_url) of uploaded files up to 8 MB: UTF-8, else Windows-1252; the URL from link rel=canonical, else og:url."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_PAGE_BYTES)
     utf8 = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", "windows-1252"))
+    high = bytes(range(0x80, 0xA0))
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in high]
+    western = F.decode("content", "iso-8859-1")  # and the places where Windows-1252 differs from it
+    western = F.translate(western, "".join(a for a, c in pairs if c), "".join(c for _, c in pairs if c))
+    text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(western)
     return files.select("path", F.regexp_replace(text, "^﻿", "").alias("html")).withColumn("canonical_url", canonical_url("html"))
 
 
@@ -89,17 +93,19 @@ def configurator(responses: DataFrame, body: str) -> DataFrame:
     selected option, and prices for all of its options or none; anything else is an error."""
     option = "struct<isSelected:boolean,isBlocked:boolean,priceDelta:double>"
     parsed = responses.select(F.from_json(_c(body), f"body struct<options:map<string,struct<compatibleOptions:map<string,{option}>>>,selectedKits:struct<priceData:struct<amount:double>>>")["body"].alias("b"))
-    groups = parsed.select(F.monotonically_increasing_id().alias("r"), "b.selectedKits.priceData.amount", F.explode("b.options").alias("grp", "o")).select("r", F.col("amount").alias("kit_price"), "grp", "o.compatibleOptions")
-    v = F.map_entries("compatibleOptions")
+    pick = lambda m: F.filter(F.map_entries(m), lambda e: e["value"]["isSelected"])
+    chip = pick(F.col("b.options")["chip"]["compatibleOptions"])[0]["key"]
+    groups = parsed.select(chip.alias("chip"), F.col("b.selectedKits.priceData.amount").alias("kit_price"), F.explode("b.options").alias("option_group", "o")).where("option_group <> 'chip'")
+    v = F.map_entries("o.compatibleOptions")
     chosen = F.filter(v, lambda e: e["value"]["isSelected"])
     priced = F.size(F.filter(v, lambda e: e["value"]["priceDelta"].isNotNull()))
-    ok = (F.size(chosen) == 1) & ((priced == 0) | (priced == F.size(v)))
-    checked = groups.withColumn("__bad", F.assert_true(ok, F.concat(F.lit("unexpected options in "), "grp"))).where("__bad is null")
-    one = checked.select("r", "kit_price", F.col("grp").alias("option_group"), chosen[0]["key"].alias("selected"), chosen[0]["value"]["priceDelta"].alias("base"), F.explode(v).alias("e"))
-    chips = one.where("option_group = 'chip' and e.key = selected").select("r", F.col("selected").alias("chip"))
-    return one.where("option_group <> 'chip'").join(chips, "r").select(
-        "chip", "kit_price", "option_group", F.col("e.key").alias("value"), F.round(F.col("e.value.priceDelta") - F.col("base"), 2).alias("add_on"),
-        (F.col("e.key") == F.col("selected")).alias("is_included"), F.coalesce("e.value.isBlocked", F.lit(False)).alias("is_blocked"))
+    ok = F.col("chip").isNotNull() & (F.size(chosen) == 1) & ((priced == 0) | (priced == F.size(v)))
+    said = F.raise_error(F.concat(F.lit("unexpected options in "), "option_group"))
+    one = groups.select("chip", "kit_price", "option_group", F.when(F.coalesce(ok, F.lit(False)), v).otherwise(said.cast(groups.select(v).dtypes[0][1])).alias("v"), chosen.alias("c"))
+    each = one.select("chip", "kit_price", "option_group", F.try_element_at("c", F.lit(1)).alias("s"), F.explode("v").alias("e"))
+    return each.select(
+        "chip", "kit_price", "option_group", F.col("e.key").alias("value"), F.round(F.col("e.value.priceDelta") - F.col("s.value.priceDelta"), 2).alias("add_on"),
+        (F.col("e.key") == F.col("s.key")).alias("is_included"), F.coalesce("e.value.isBlocked", F.lit(False)).alias("is_blocked"))
 
 
 def price_rows(words: DataFrame, reach: float = 60.0, line: float = 3.0) -> DataFrame:
