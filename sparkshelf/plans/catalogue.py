@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkshelf.plans import q_aggregates, q_functions, q_joins, q_lifecycle, q_listing, q_scoring, q_sources, q_windows
+from sparkshelf.plans import q_aggregates, q_functions, q_joins, q_lifecycle, q_listing, q_more, q_scoring, q_sources, q_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [q_listing, q_windows, q_aggregates, q_joins, q_scoring, q_functions, q_lifecycle, q_sources]
+MODULES = [q_listing, q_windows, q_aggregates, q_joins, q_scoring, q_functions, q_lifecycle, q_sources, q_more]
 
 
 def queries() -> dict[str, Query]:
