@@ -24,9 +24,9 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-LANES = 2048  # blocks in a frame at most
+LANES = 4096  # blocks in a frame at most
 SLOTS = 1024
-REBUILD = (48, 192, 768)
+REBUILD = (64, 512)
 HASHED = 512  # entries of an order-1 or order-2 table
 LEAST = 32  # share of each prediction at least, of 2 ** 16
 ESCAPE = 512  # share of the escape at least

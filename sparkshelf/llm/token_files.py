@@ -6,9 +6,14 @@ ids and lengths, and its place in its segment (the part of one task). What the d
 
 from __future__ import annotations
 
+import os
+import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +25,14 @@ from . import idcoder
 from .common import shared_dir
 
 END = 2
-CACHE = 300_000
+#: Entries held at most: words, and the pieces that words are made of.
+MOST_WORDS, MOST_PIECES = 500_000, 800_000
+#: Characters of texts that are tokenized together.
+TOGETHER = 1_000_000
 CHUNK = idcoder.BLOCK * idcoder.LANES
+#: Words in which the pieces below are sure to be the tokenizer's own: printable ASCII, no apostrophe, no special token.
+PLAIN = re.compile(rb"[!-&(-~]+")
+PIECE = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def tokenizer_path() -> str:
@@ -30,31 +41,89 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Words(dict):
+class Words:
     """Word (bytes between ASCII white space) -> its ids as bytes. A tokenizer that drops white space and splits there encodes a text
-    as the sequence of its words, so each distinct word goes through the library once while the cache holds it."""
+    as the sequence of its words. One that also lower-cases and splits plain words into letters, digits and other signs
+    (``pieces``) encodes them piece by piece, so each distinct piece goes through the library once while the cache holds it."""
 
     def __init__(self, file: str):
         import tokenizers
 
-        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = tokenizers.Tokenizer.from_file(file)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[word] = out = np.array(ids, self.kind).tobytes()
-        return out
-
-    def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split())), self.kind)
+        self.known: dict[bytes, bytes] = {}  # plain dicts: sets differ from them quickly
+        self.pieces: dict[bytes, bytes] = {}
+        self.code, self.model = "H" if self.kind == "<u2" else "I", self.tokenizer.model
+        self.by_pieces = sys.byteorder == "little" and self._splits()
+
+    def _splits(self) -> bool:
+        """Whether plain words do come as the model's ids of their pieces, tried on words of all kinds of seams."""
+        probes = ("Abc12x", "don-t,###", "9z.Z9", "A.b.C", "x_1-$%a", "__", "42abc!!7", "HELLOworld", "(a)[b]")
+        model = [b"".join(map(self._piece, PIECE.findall(w.lower().encode()))) for w in probes]
+        return model == self._encoded([w.encode() for w in probes])
+
+    def _piece(self, piece: bytes) -> bytes:
+        """A plain piece needs no normalising or splitting: the model alone encodes it."""
+        return array(self.code, [t.id for t in self.model.tokenize(piece.decode())]).tobytes()
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [array(self.code, x.ids).tobytes() for x in got]
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
+        rest = words
+        if self.by_pieces:
+            plain = [w for w in words if PLAIN.fullmatch(w) and b"<|" not in w]
+            split = [PIECE.findall(w.lower()) for w in plain]
+            self.pieces.update((p, self._piece(p)) for p in set(chain.from_iterable(split)).difference(self.pieces))
+            ids = self.pieces.__getitem__
+            self.known.update((w, ids(ps[0]) if len(ps) == 1 else b"".join(map(ids, ps))) for w, ps in zip(plain, split))
+            rest = words.difference(plain)
+        self.known.update(zip(rest, self._encoded(list(rest))))
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; unknown words of all texts are learnt together."""
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        words = set(chain.from_iterable(split))
+        unknown = words.difference(self.known)
+        if unknown and len(self.known) + len(unknown) > MOST_WORDS:
+            self.known.clear()
+            unknown = words
+        if unknown:
+            self._learn(unknown)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), self.kind) for ws in split]
+
+
+_KEPT: dict[str, Words] = {}
+
+
+def words_for(file: str) -> Words:
+    """The cache of this worker process, which serves one task after another."""
+    if file not in _KEPT:
+        _KEPT.clear()
+        _KEPT[file] = Words(file)
+    return _KEPT[file]
+
+
+def _tokenized(words: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        names, texts, size = [], [], 0
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            names.append(doc)
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size >= TOGETHER:
+                yield from zip(names, words.ids(texts))
+                names, texts, size = [], [], 0
+        yield from zip(names, words.ids(texts))
 
 
 def _encode(file: str, end: int, kind: pa.DataType):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, segment, before = Words(file), TaskContext.get().partitionId(), 0
+        words, segment, before = words_for(file), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         docs: list = []
         lengths: list[int] = []
@@ -66,17 +135,15 @@ def _encode(file: str, end: int, kind: pa.DataType):
             return pa.RecordBatch.from_arrays(columns, ["segment", "start", "docs", "lengths", "data"])
 
         held = 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = words.ids(text.as_py())
-                ids += [got, last]
-                docs.append(doc)
-                lengths.append(len(got) + 1)
-                held += lengths[-1]
-                if held >= CHUNK:
-                    yield chunk()
-                    before += held
-                    ids, docs, lengths, held = [], [], [], 0
+        for doc, got in _tokenized(words, batches):
+            ids += [got, last]
+            docs.append(doc)
+            lengths.append(len(got) + 1)
+            held += lengths[-1]
+            if held >= CHUNK:
+                yield chunk()
+                before += held
+                ids, docs, lengths, held = [], [], [], 0
         if docs:
             yield chunk()
 

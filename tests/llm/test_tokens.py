@@ -50,7 +50,22 @@ def test_words_encode_like_the_whole_text():
     texts = ["It's  a\u00a0test\x1c, e\u0301 \u0301x <|endoftext|>y \u2003z\x85q don't", "ΑΣ Σ ΟΔΟΣ.", "\u0130I İ ﬁ ½", "a\tb\x0bc\x0cd\re", "x" * 3000, "😀😀 a\u200db 12345", "\ufeffstart"]
     words = token_files.Words(token_files.tokenizer_path())
     for text, want in zip(texts, whole(texts)):
-        assert [*words.ids(text).tolist(), token_files.END] == want
+        assert [*words.ids([text])[0].tolist(), token_files.END] == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abzABZ019.,#-_'<|>&éÉΣ\u0301\x1c\x00 \n🙂", max_size=14), max_size=8))
+def test_any_words_encode_like_the_whole_text(parts):
+    text = " ".join(parts)
+    assert [*token_files.words_for(token_files.tokenizer_path()).ids([text])[0].tolist(), token_files.END] == whole([text])[0]
+
+
+def test_full_caches_are_emptied(monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_WORDS", 5)
+    monkeypatch.setattr(token_files, "MOST_PIECES", 3)
+    words = token_files.Words(token_files.tokenizer_path())
+    for text in ("a b c", "c d e f", "a b c d e f g h i j k", "a1 b2 c3", "a b"):
+        assert [*words.ids([text])[0].tolist(), token_files.END] == whole([text])[0]
 
 
 def test_files_match_brute_force(docs, none):
