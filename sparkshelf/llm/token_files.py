@@ -27,6 +27,8 @@ from .common import shared_dir
 END = 2
 #: Entries held at most: words, and the pieces that words are made of.
 MOST_WORDS, MOST_PIECES = 500_000, 800_000
+#: Segments (tasks of a write) whose totals are broadcast, at 12 bytes each.
+MOST_SEGMENTS = 500_000
 #: Characters of texts that are tokenized together.
 TOGETHER = 1_000_000
 CHUNK = idcoder.BLOCK * idcoder.LANES
@@ -202,6 +204,8 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
         base.append((r["segment"], at))
         at += r["n"]
     known = spark.createDataFrame(base, "segment int, base bigint")
+    if len(base) <= MOST_SEGMENTS:  # else both sides are shuffled, which decodes twice when Spark changes its mind
+        known = F.broadcast(known)
     each = files.select("segment", "start", "docs", "lengths", "data").mapInArrow(_decode, f"doc {kind}, segment int, at bigint, n_tokens bigint, ids_crc32 bigint")
     return each.join(known, "segment").select("doc", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
