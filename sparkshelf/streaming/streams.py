@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,26 @@ def admit(times: list[float], held: list[float], limit: int, window: float) -> t
     return answers, held
 
 
+def _limited(limit: int, window: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Answers rows that come sorted by key and time; holds one batch and the counted hits of the current key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = object(), []
+        for batch in batches:
+            answers: list[float | None] = []
+            for k, us in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist()):
+                if k != current:
+                    current, held = k, []
+                one, held = admit([float("nan") if us is None else us / 1e6], held, limit, window)
+                answers += one
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(answers, pa.float64())], [*batch.schema.names, "retry_after"])
+
+    return run
+
+
 def rate_limit(events: DataFrame, key: str, ts: str, limit: int, window: float) -> DataFrame:
-    """Per hit: key, ts, retry_after (null if admitted). State is at most ``limit`` times a key, on a batch or a stream."""
+    """Per hit: key, ts, retry_after (null if admitted). State is at most ``limit`` times a key, on a batch or a stream. A batch
+    streams through its tasks; on a stream, one trigger's hits of a key are held at once."""
     schema = f"`{key}` {dict(events.dtypes)[key]}, `{ts}` timestamp, retry_after double"
 
     def answered(k, frame: pd.DataFrame, held: list[float]) -> tuple[pd.DataFrame, list[float]]:
@@ -52,7 +71,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int, window: float)
 
     rows = events.select(key, F.col(ts).cast("timestamp").alias(ts))
     if not events.isStreaming:
-        return rows.groupBy(key).applyInPandas(lambda k, f: answered(k, f, [])[0], schema)
+        return rows.repartition(key).sortWithinPartitions(F.col(key), F.asc_nulls_last(ts)).mapInArrow(_limited(limit, window), schema)
 
     def stateful(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []

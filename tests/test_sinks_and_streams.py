@@ -161,3 +161,24 @@ def test_readers(spark, tmp_path):
     assert [r["title"] for r in R.listings(items, "title", "price", F.lit("ROG Strix G16")).collect()] == ["ROG Strix G16 gaming laptop"]
     with pytest.raises(ValueError, match="no reader"):
         R.reader_for({"a": len}, "b")
+
+
+def test_rate_limit_streams_a_hot_key(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(5)
+    base = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    seconds = {"hot": sorted(rng.sample(range(20_000), 3000)), "a": [1, 2, 3, 4, 70], None: [5, 6, 7, 8]}
+    rows = [(k, base + dt.timedelta(seconds=s)) for k, ss in seconds.items() for s in ss]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = S.rate_limit(spark.createDataFrame(rows, "k string, ts timestamp"), "k", "ts", 3, 60.0)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        got = {(r["k"], round(r["ts"].timestamp())): r["retry_after"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    at = round(base.timestamp())
+    assert got == {(k, at + s): a for k, ss in seconds.items() for s, a in zip(ss, S.admit([float(at + s) for s in ss], [], 3, 60.0)[0])}
