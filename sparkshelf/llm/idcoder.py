@@ -1,39 +1,84 @@
 """A range coder for token ids: many independent blocks coded side by side.
 
-Every block starts from the same empty models and has its own CRC-32, so a damaged block harms no other. numpy steps through
-the blocks of a frame together, one id of each at a step: a block is a lane of the arrays.
+A frame begins with a table of its ids and their rounded counts. Every block starts from this table and otherwise empty models and
+has its own CRC-32, as the table has, so a damaged block harms no other. numpy steps through the blocks of a frame together, one
+id of each at a step: a block is a lane of the arrays.
 
 Predictions, for each block on its own:
 * order 2 and order 1: the id that last followed the two ids (the id) before, from small hashed tables, with a confidence of
   0 to 3 that a hit raises and a miss halves;
-* order 0: the ids so far, as SLOTS evenly spaced places of their sorted list, made anew at the REBUILD places.
+* order 0: the ids so far, as SLOTS evenly spaced places of their sorted list, made anew at the REBUILD places; and the table of the
+  frame for ids that are not among them.
 
 Mixing: how likely each prediction is right is estimated twice, under the confidences of both predictions and under the last
 two outcomes; the two estimates are mixed by a weight that follows which of them has been the better one in this block.
 The mixed probabilities share out an interval of 2 ** 16 for the range coder: [order 2 | order 1 | order-0 slots | escape]; an
-escaped id follows as 16 bits, or as 16 bits of ones and then 32 if it is wide.
+escaped id follows by its share of the table. The MOST_NAMED commonest ids of a frame are in its table; another one follows as the
+table's escape and 16 bits, or 16 bits of ones and then 32 if it is wide.
 
 The coder keeps 48 bits of low and of range, emits 16-bit words and carries into words already written. All quantities are
 integers, the same on both sides."""
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
 BLOCK = 2048
-LANES = 4096  # blocks in a frame at most
+LANES = 1024  # blocks in a frame at most
 SLOTS = 1024
-REBUILD = (64, 512)
+REBUILD = (16, 64, 192, 512, 1152)
 HASHED = 512  # entries of an order-1 or order-2 table
 LEAST = 32  # share of each prediction at least, of 2 ** 16
 ESCAPE = 512  # share of the escape at least
 TOP = 1 << 48
 U = np.uint64
 I = np.int32  # noqa: E741
-MAGIC = b"SHID2\0"
+MOST_NAMED = 16_384
+#: Rounded counts are powers of the fourth root of two, cut off.
+ROOTS = np.array([math.isqrt(math.isqrt(1 << q)) for q in range(128)], np.int64)
+MAGIC = b"SHID3\0"
+
+
+class _Table:
+    """Order 0 of a frame: ids in ascending order and, last, the escape for all others, each with its share of 2 ** 16."""
+
+    def __init__(self, ids: np.ndarray, marks: np.ndarray):
+        """marks: places in ROOTS, one more than ids."""
+        self.ids, self.marks = ids, marks
+        roots, n = ROOTS[marks], len(marks)
+        self.width = 1 + roots * (65536 - n) // int(roots.sum())
+        self.width[-1] += 65536 - int(self.width.sum())
+        self.start = np.cumsum(self.width) - self.width
+        self.at = np.repeat(np.arange(n), self.width)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> _Table:
+        names, counts = np.unique(ids, return_counts=True)
+        rest = 0
+        if len(names) > MOST_NAMED:
+            keep = np.sort(np.argsort(-counts, kind="stable")[:MOST_NAMED])
+            rest = int(counts.sum() - counts[keep].sum())
+            names, counts = names[keep], counts[keep]
+        marks = np.searchsorted(ROOTS[4:], np.append(counts, rest), "right") + 3  # from 4 on, each mark is another root
+        return cls(names.astype(np.int64), marks)
+
+    def entries(self, most: int) -> np.ndarray:
+        """id -> entry, for ids up to most."""
+        out = np.full(most + 1, len(self.ids), np.int64)
+        out[self.ids] = np.arange(len(self.ids))
+        return out
+
+    def packed(self) -> bytes:
+        return zlib.compress(np.diff(self.ids, prepend=0).astype("<u4").tobytes() + self.marks.astype(np.uint8).tobytes(), 6)
+
+    @classmethod
+    def unpacked(cls, data: bytes, n: int) -> _Table:
+        raw = zlib.decompress(data)  # its own Adler-32 is checked; the CRC-32 of the blocks follows
+        return cls(np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)), np.frombuffer(raw, np.uint8, n + 1, 4 * n).astype(np.int64))
 
 
 class _Coder:
@@ -76,10 +121,11 @@ class _Writer(_Coder):
         self.low[lanes] = (low << U(16)) & U(TOP - 1)
         self.range[lanes] <<= U(16)
 
-    def put_raw(self, lanes: np.ndarray, value: np.ndarray) -> None:
-        """16 even bits in some lanes."""
+    def put_some(self, lanes: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """As put(), in some lanes."""
         r = self.range[lanes] >> U(16)
-        low = self.low[lanes] + r * value.astype(U)
+        low = self.low[lanes] + r * start.astype(U)
+        r *= width.astype(U)
         carry = low >= U(TOP)
         spot = self.at[lanes[carry]] - 1
         while spot.size:
@@ -92,6 +138,10 @@ class _Writer(_Coder):
             self._shift(small)
             small = small[self.range[small] < U(1 << 32)]
 
+    def put_raw(self, lanes: np.ndarray, value: np.ndarray) -> None:
+        """16 even bits in some lanes."""
+        self.put_some(lanes, value, np.ones(len(lanes), np.int64))
+
     def finish(self) -> np.ndarray:
         """Flushes; the number of words of each lane."""
         for shift in (32, 16, 0):
@@ -127,6 +177,18 @@ class _Reader(_Coder):
         self.range[lanes] <<= U(16)
         self.at[lanes] = at + 1
 
+    def take_some(self, lanes: np.ndarray, table: _Table) -> np.ndarray:
+        """Table entries of some lanes."""
+        code, unit = self.code[lanes], self.range[lanes] >> U(16)
+        entry = table.at.take(np.minimum(code.astype(np.float64) / unit, 65535.0).astype(np.int64))
+        self.code[lanes] = code - unit * table.start.take(entry).astype(U)
+        self.range[lanes] = r = unit * table.width.take(entry).astype(U)
+        small = lanes[r < U(1 << 32)]
+        while small.size:
+            self._shift(small)
+            small = small[self.range[small] < U(1 << 32)]
+        return entry
+
     def take_raw(self, lanes: np.ndarray) -> np.ndarray:
         code, unit = self.code[lanes], self.range[lanes] >> U(16)
         value = np.minimum(code.astype(np.float64) / unit, 65535.0).astype(np.int64)
@@ -156,7 +218,7 @@ class _Models:
         self.weight = np.full(n, 32, I)
         self.past = np.zeros(n, I)
         self.last, self.before = np.zeros(n, I), np.zeros(n, I)
-        self.ready = self.turn = False
+        self.ready = False
 
     def predict(self) -> None:
         self.i1 = self.at_table + (self.last & I(HASHED - 1))
@@ -182,13 +244,11 @@ class _Models:
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, m2: np.ndarray, m1: np.ndarray) -> None:
         """hit2: order 2 was right; m2 and m1: masks of the blocks that took order 2, order 1."""
-        self.turn = not self.turn
-        if self.turn:  # the estimates learn from every other id, which costs less and hardly shows
-            self.weight += ((((self.a2 > self.b2) == hit2).view(np.int8) << 1) - 1).astype(I)
-            np.minimum(np.maximum(self.weight, I(4)), I(60), out=self.weight)
-            to2, to1, missed = m2 & I(32768), m1 & I(32768), ~m2
-            for table, at, x2, x1 in ((self.trust, self.t, self.a2, self.a1), (self.seen, self.q, self.b2, self.b1)):
-                table[at] = ((x2 + ((to2 - x2) >> 4)) << 16) | (x1 + (((to1 - x1) >> 4) & missed))
+        self.weight += ((((self.a2 > self.b2) == hit2).view(np.int8) << 1) - 1).astype(I)
+        np.minimum(np.maximum(self.weight, I(4)), I(60), out=self.weight)
+        to2, to1, missed = m2 & I(32768), m1 & I(32768), ~m2
+        for table, at, x2, x1 in ((self.trust, self.t, self.a2, self.a1), (self.seen, self.q, self.b2, self.b1)):
+            table[at] = ((x2 + ((to2 - x2) >> 4)) << 16) | (x1 + (((to1 - x1) >> 4) & missed))
         fresh = ids << 2
         for table, at, e, c, right in ((self.two, self.i2, self.e2, self.c2, m2), (self.one, self.i1, self.e1, self.c1, _mask(self.p1 == ids))):
             keep = _mask(c > 1) & ~right
@@ -204,7 +264,7 @@ class _Models:
         new = np.ones(ordered.shape, bool)
         new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
         once = (new[:, :-1] & new[:, 1:]).sum(1) + new[:, -1]
-        self.free = (65536 - np.clip(once * 24000 // k, ESCAPE, 24000)).astype(I)
+        self.free = (65536 - np.clip(once * 60000 // k, ESCAPE, 60000)).astype(I)
         self.slots = np.zeros((len(seen), SLOTS + 1), I)
         self.slots[:, :SLOTS] = ordered[:, (np.arange(SLOTS) * k) // SLOTS]
         new = np.ones((len(seen), SLOTS + 1), bool)
@@ -237,13 +297,16 @@ def _frame(ids: np.ndarray) -> bytes:
     wide = int(ids.max()) >= 1 << 20
     names = np.unique(ids) if wide else np.zeros(0, np.int64)
     crc = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(n)]
-    grid = np.full(n * longest, ids[-1], np.int64)  # the last block is filled up with its last id
-    grid[:total] = ids
     if wide:
-        grid = np.searchsorted(names, grid)
-    grid = grid.astype(I).reshape(n, longest)
+        ids = np.searchsorted(names, ids)
+    grid = np.full(n * longest, ids[-1], I)  # the last block is filled up with its last id
+    grid[:total] = ids
+    grid = grid.reshape(n, longest)
+    table = _Table.of(grid.reshape(-1)[:total])
+    entries = table.entries(int(grid.max()))
+    others = len(table.ids)
     steps = np.ascontiguousarray(grid.T)
-    out, model = _Writer(n, longest * (2 if grid.max() < 65535 else 4) + 16), _Models(n)
+    out, model = _Writer(n, longest * (3 if len(names) == 0 and grid.max() < 65535 else 5) + 16), _Models(n)
     begin = 0
     for t in range(longest):
         if t in REBUILD:
@@ -267,25 +330,29 @@ def _frame(ids: np.ndarray) -> bytes:
             zero, wide0, escape = model.esc, 65536 - model.esc, lost
         out.put(((model.w2 & m1) | (zero & lost)).astype(U), ((model.w2 & m2) | (model.w1 & m1) | (wide0 & lost)).astype(U))
         if (lanes := np.flatnonzero(escape)).size:
-            v = now[lanes]
-            big = v >= 65535
-            out.put_raw(lanes, np.minimum(v, 65535))
-            if big.any():
-                out.put_raw(lanes[big], v[big] >> 16)
-                out.put_raw(lanes[big], v[big] & 65535)
+            entry = entries.take(now[lanes])
+            out.put_some(lanes, table.start.take(entry), table.width.take(entry))
+            if (lanes := lanes[entry == others]).size:
+                v = now[lanes]
+                big = v >= 65535
+                out.put_raw(lanes, np.minimum(v, 65535))
+                if big.any():
+                    out.put_raw(lanes[big], v[big] >> 16)
+                    out.put_raw(lanes[big], v[big] & 65535)
         model.update(now, hit2, m2, m1)
     size = out.finish()
     head = np.empty((n, 2), "<u4")
     head[:, 0], head[:, 1] = crc, size
     body = out.words[np.arange(out.words.shape[1]) < size[:, None]].astype("<u2").tobytes()
-    return struct.pack("<QII", total, n, len(names)) + names.astype("<u4").tobytes() + head.tobytes() + body
+    packed = table.packed()
+    return struct.pack("<QIIII", total, n, len(names), len(table.ids), len(packed)) + packed + names.astype("<u4").tobytes() + head.tobytes() + body
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """Magic, number of frames, their lengths, frames. A frame: counts, the list of ids if any is 2 ** 20 or more, for each block
-    its CRC-32 and number of words, then all words."""
-    ids = np.asarray(ids, np.int64)
-    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
+    """Magic, number of frames, their lengths, frames. A frame: counts, the table, the list of ids if any is 2 ** 20 or more, for each
+    block its CRC-32 and number of words, then all words."""
+    ids = np.asarray(ids)
+    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= 1 << 32):
         raise ValueError("ids must fit into 32 bits")
     room = BLOCK * LANES
     frames = [_frame(ids[a : a + room]) for a in range(0, len(ids), room)]
@@ -293,10 +360,12 @@ def encode(ids: np.ndarray) -> bytes:
 
 
 def _ids(frame: memoryview) -> np.ndarray:
-    total, n, named = struct.unpack_from("<QII", frame, 0)
+    total, n, named, entries, packed = struct.unpack_from("<QIIII", frame, 0)
     if not total or n != -(-total // BLOCK):
         raise ValueError("the frame's counts do not agree")
-    longest, at = min(BLOCK, total), 16
+    longest, at = min(BLOCK, total), 24 + packed
+    table = _Table.unpacked(frame[24:at], entries)
+    own = np.append(table.ids, 0).astype(I)
     names = np.frombuffer(frame, "<u4", named, at).astype(np.int64)
     at += 4 * named
     head = np.frombuffer(frame, "<u4", n * 2, at).reshape(n, 2)
@@ -330,12 +399,15 @@ def _ids(frame: memoryview) -> np.ndarray:
             zero, wide0, escape = model.esc, 65536 - model.esc, lost
         source.take(((model.w2 & m1) | (zero & lost)).astype(U), ((model.w2 & m2) | (model.w1 & m1) | (wide0 & lost)).astype(U))
         if (lanes := np.flatnonzero(escape)).size:
-            value = source.take_raw(lanes)
-            big = value == 65535
-            if big.any():
-                value[big] = source.take_raw(lanes[big]) << 16
-                value[big] |= source.take_raw(lanes[big])
-            now[lanes] = value
+            entry = source.take_some(lanes, table)
+            now[lanes] = own.take(entry)
+            if (lanes := lanes[entry == entries]).size:
+                value = source.take_raw(lanes)
+                big = value == 65535
+                if big.any():
+                    value[big] = source.take_raw(lanes[big]) << 16
+                    value[big] |= source.take_raw(lanes[big])
+                now[lanes] = value
         steps[t] = now
         model.update(now, hit2, m2, m1)
     ids = np.ascontiguousarray(steps.T).reshape(-1)[:total]

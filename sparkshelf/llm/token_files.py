@@ -6,17 +6,17 @@ ids and lengths, and its place in its segment (the part of one task). What the d
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +25,20 @@ from . import idcoder
 from .common import shared_dir
 
 END = 2
-#: Entries held at most: words, and the pieces that words are made of.
-MOST_WORDS, MOST_PIECES = 500_000, 800_000
+#: Bytes that a task's caches may hold, as estimated; full ones are emptied.
+MOST_WORD_BYTES, MOST_PIECE_BYTES = 48 << 20, 24 << 20
+ENTRY = 160  # bytes of an entry besides its content
 #: Segments (tasks of a write) whose totals are broadcast, at 12 bytes each.
 MOST_SEGMENTS = 500_000
-#: Characters of texts that are tokenized together.
-TOGETHER = 1_000_000
+#: Bytes of texts that are tokenized together.
+TOGETHER = 2_000_000
+#: Pieces that go through the library as one text.
+JOINED = 4_000
 CHUNK = idcoder.BLOCK * idcoder.LANES
-#: Words in which the pieces below are sure to be the tokenizer's own: printable ASCII, no apostrophe, no special token.
-PLAIN = re.compile(rb"[!-&(-~]+")
-PIECE = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words in which the pieces below are sure to be the tokenizer's own: printable ASCII without apostrophe, and the letters of Latin-1, which are
+#: composed already.
+PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PIECE = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|(?:(?!\xc3)[^a-z0-9])+")
 
 
 def tokenizer_path() -> str:
@@ -43,93 +47,149 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def by_words(description: dict) -> bool:
+    """Whether a tokenizer, by its own description (the JSON of the library), encodes a text as the sequence of its words between ASCII
+    white space: nothing is added around a text, white space is only ever dropped by the first split, and no step works across it."""
+    first = description.get("pre_tokenizer") or {}
+    steps = first.get("pretokenizers", [first])
+    normal = description.get("normalizer") or {}
+    normalizers = normal.get("normalizers", [normal] if normal else [])
+    harmless = all(n.get("type") in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or n.get("type") == "Replace" and n.get("pattern") == {"Regex": "\\s+"} and n.get("content") == " " for n in normalizers)
+    split = steps[0]
+    drops = split.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and r"[^\s\p{L}\p{N}]+" in split.get("pattern", {}).get("Regex", "")
+    bytes_after = all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex", True) for s in steps[1:])
+    added = all(not t.get("lstrip") and not t.get("rstrip") and not re.search(r"\s", t["content"]) for t in description.get("added_tokens", []))
+    return harmless and bool(drops) and bytes_after and added
+
+
+def _bytes(strings: pa.StringArray) -> list[bytes]:
+    """The values of an array without nulls; to_pylist() would make a scalar of each first."""
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 class Words:
-    """Word (bytes between ASCII white space) -> its ids as bytes. A tokenizer that drops white space and splits there encodes a text
-    as the sequence of its words. One that also lower-cases and splits plain words into letters, digits and other signs
-    (``pieces``) encodes them piece by piece, so each distinct piece goes through the library once while the cache holds it."""
+    """Ids of texts. A tokenizer that drops white space and splits there, as its description says (by_words), encodes a text as the
+    sequence of its words, so each distinct word (bytes between ASCII white space) goes through it once while the cache holds
+    it. If it also lower-cases, splits plain words into letters, digits and other signs and marks where a piece ends, distinct
+    pieces go through the library many at a time. Any other tokenizer encodes whole texts."""
 
     def __init__(self, file: str):
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = tokenizers.Tokenizer.from_file(file)
+        description = json.loads(self.tokenizer.to_str())
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[bytes, bytes] = {}  # plain dicts: sets differ from them quickly
+        self.by_words = by_words(description)
+        self.known: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
-        self.code, self.model = "H" if self.kind == "<u2" else "I", self.tokenizer.model
-        self.by_pieces = sys.byteorder == "little" and self._splits()
+        self.held = self.held_pieces = 0
+        suffix = description["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.by_pieces = False
+        if self.by_words and suffix:
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.ends[i] = token.endswith(suffix)
+            self.by_pieces = self._splits()
 
     def _splits(self) -> bool:
-        """Whether plain words do come as the model's ids of their pieces, tried on words of all kinds of seams."""
-        probes = ("Abc12x", "don-t,###", "9z.Z9", "A.b.C", "x_1-$%a", "__", "42abc!!7", "HELLOworld", "(a)[b]")
-        model = [b"".join(map(self._piece, PIECE.findall(w.lower().encode()))) for w in probes]
-        return model == self._encoded([w.encode() for w in probes])
-
-    def _piece(self, piece: bytes) -> bytes:
-        """A plain piece needs no normalising or splitting: the model alone encodes it."""
-        return array(self.code, [t.id for t in self.model.tokenize(piece.decode())]).tobytes()
+        """Whether plain words do come as the ids of their pieces, tried on words of all kinds of seams."""
+        probes = [w.encode() for w in ("Abc12x", "don-t,###", "9z.Z9", "A.b.C", "x_1-$%a", "__", "42abc!!7", "HELLOworld", "(a)[b]", "\u00c9t\u00e9.", "na\u00efve-9", "\u00df\u00ff\u00c0\u00de1")]
+        try:
+            self._learn(set(probes), pieces=True)
+        except KeyError:
+            return False
+        got = [self.known[w] for w in probes]
+        self.known.clear()
+        self.pieces.clear()
+        return got == self._encoded(probes)
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [array(self.code, x.ids).tobytes() for x in got]
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
+        return [np.array(x.ids, self.kind).tobytes() for x in got]
+
+    def _learn_pieces(self, pieces: list[bytes]) -> None:
+        size = np.dtype(self.kind).itemsize
+        for a in range(0, len(pieces), JOINED):
+            some = pieces[a : a + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
+            raw, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            if len(stops) != len(some):
+                raise KeyError("pieces do not end where the tokenizer says")
+            self.pieces.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops))))
+
+    def _learn(self, words: set[bytes], pieces: bool) -> None:
         rest = words
-        if self.by_pieces:
+        if pieces:
             plain = [w for w in words if PLAIN.fullmatch(w) and b"<|" not in w]
-            split = [PIECE.findall(w.lower()) for w in plain]
-            self.pieces.update((p, self._piece(p)) for p in set(chain.from_iterable(split)).difference(self.pieces))
+            split = [PIECE.findall(w.lower() if w.isascii() else w.decode().lower().encode()) for w in plain]
+            asked = set(chain.from_iterable(split))
+            new = list(asked.difference(self.pieces))
+            self.held_pieces += sum(map(len, new)) + ENTRY * len(new)
+            if self.held_pieces > MOST_PIECE_BYTES:
+                self.pieces.clear()
+                new = list(asked)
+                self.held_pieces = sum(map(len, new)) + ENTRY * len(new)
+            self._learn_pieces(new)
             ids = self.pieces.__getitem__
             self.known.update((w, ids(ps[0]) if len(ps) == 1 else b"".join(map(ids, ps))) for w, ps in zip(plain, split))
             rest = words.difference(plain)
         self.known.update(zip(rest, self._encoded(list(rest))))
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; unknown words of all texts are learnt together."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        words = set(chain.from_iterable(split))
-        unknown = words.difference(self.known)
-        if unknown and len(self.known) + len(unknown) > MOST_WORDS:
+    def ids(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; the words of all texts are told apart in one dictionary. Null texts have none."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([(t or "").encode("utf-8", "replace").decode() for t in texts], pa.string())
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return []
+        if not self.by_words:
+            got = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return [np.array(x.ids, self.kind) for x in got]
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words = _bytes(coded.dictionary)
+        unknown = set(words).difference(self.known)
+        size = sum(map(len, unknown)) * 2 + ENTRY * len(unknown)
+        self.held += size
+        if self.held > MOST_WORD_BYTES:
             self.known.clear()
-            unknown = words
+            unknown = set(words)
+            self.held = sum(map(len, unknown)) * 2 + ENTRY * len(unknown)
         if unknown:
-            self._learn(unknown)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), self.kind) for ws in split]
-
-
-_KEPT: dict[str, Words] = {}
-
-
-def words_for(file: str) -> Words:
-    """The cache of this worker process, which serves one task after another."""
-    if file not in _KEPT:
-        _KEPT.clear()
-        _KEPT[file] = Words(file)
-    return _KEPT[file]
+            self._learn(unknown, self.by_pieces)
+        values = list(map(self.known.__getitem__, words))
+        pool = np.frombuffer(b"".join(values), self.kind)
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // pool.itemsize
+        at = coded.indices.to_numpy()
+        each = lengths[at]
+        ends = np.cumsum(each)
+        ids = pool[np.repeat((np.cumsum(lengths) - lengths)[at] - (ends - each), each) + np.arange(int(each.sum()))]
+        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()]
+        return np.split(ids, cuts)
 
 
 def _tokenized(words: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        names, texts, size = [], [], 0
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            names.append(doc)
-            texts.append(text.as_py())
-            size += len(texts[-1] or "")
-            if size >= TOGETHER:
-                yield from zip(names, words.ids(texts))
-                names, texts, size = [], [], 0
-        yield from zip(names, words.ids(texts))
+        names, texts = batch.column(0).to_pylist(), batch.column(1)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(batch) else np.zeros(0)
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + TOGETHER, "right")))
+            yield from zip(names[a:b], words.ids(texts.slice(a, b - a)))
+            a = b
 
 
 def _encode(file: str, end: int, kind: pa.DataType):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, segment, before = words_for(file), TaskContext.get().partitionId(), 0
+        words, segment, before = Words(file), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         docs: list = []
         lengths: list[int] = []
-        last = np.array([end], np.uint32)
+        last = np.array([end], words.kind if end < 1 << 16 else "<u4")
 
         def chunk() -> pa.RecordBatch:
             data = idcoder.encode(np.concatenate(ids))

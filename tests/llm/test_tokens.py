@@ -46,6 +46,9 @@ def whole(texts):
     return [[*t.encode(x or "", add_special_tokens=False).ids, token_files.END] for x in texts]
 
 
+WORDS = token_files.Words(token_files.tokenizer_path())
+
+
 def test_words_encode_like_the_whole_text():
     texts = ["It's  a\u00a0test\x1c, e\u0301 \u0301x <|endoftext|>y \u2003z\x85q don't", "ΑΣ Σ ΟΔΟΣ.", "\u0130I İ ﬁ ½", "a\tb\x0bc\x0cd\re", "x" * 3000, "😀😀 a\u200db 12345", "\ufeffstart"]
     words = token_files.Words(token_files.tokenizer_path())
@@ -54,15 +57,15 @@ def test_words_encode_like_the_whole_text():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="abzABZ019.,#-_'<|>&éÉΣ\u0301\x1c\x00 \n🙂", max_size=14), max_size=8))
+@given(st.lists(st.text(alphabet="abzABZ019.,#-_'<|>&éÉßÿ×÷ªΣ\u0301\x1c\x00 \n🙂", max_size=14), max_size=8))
 def test_any_words_encode_like_the_whole_text(parts):
     text = " ".join(parts)
-    assert [*token_files.words_for(token_files.tokenizer_path()).ids([text])[0].tolist(), token_files.END] == whole([text])[0]
+    assert [*WORDS.ids([text])[0].tolist(), token_files.END] == whole([text])[0]
 
 
 def test_full_caches_are_emptied(monkeypatch):
-    monkeypatch.setattr(token_files, "MOST_WORDS", 5)
-    monkeypatch.setattr(token_files, "MOST_PIECES", 3)
+    monkeypatch.setattr(token_files, "MOST_WORD_BYTES", 900)
+    monkeypatch.setattr(token_files, "MOST_PIECE_BYTES", 500)
     words = token_files.Words(token_files.tokenizer_path())
     for text in ("a b c", "c d e f", "a b c d e f g h i j k", "a1 b2 c3", "a b"):
         assert [*words.ids([text])[0].tolist(), token_files.END] == whole([text])[0]
@@ -87,3 +90,24 @@ def test_ids_read_back(spark, docs, tmp_path):
     got = {r["doc"]: r["ids"] for r in token_files.read_ids(spark, f"file://{tmp_path}/t").collect()}
     for r in docs.collect():
         assert got[r["doc_id"]] == whole([r["text"]])[0]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    words = token_files.Words(file)
+    texts = ["a  b\n c's", " lead", None, "\u00e9t\u00e9"]
+    assert not words.by_words and WORDS.by_words and WORDS.by_pieces
+    t = Tokenizer.from_file(file)
+    assert [x.tolist() for x in words.ids(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_a_real_corpus_takes_fewer_bytes_than_zlib_and_static_order_0(spark, sf):
+    texts = [r["text"] for r in spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").orderBy("doc_id").select("text").collect()]
+    ids = np.concatenate(WORDS.ids(texts)).astype(np.int64)
+    counts = np.bincount(ids)[np.unique(ids)]
+    got = len(idcoder.encode(ids)) / len(ids)
+    assert got < float((counts * np.log2(len(ids) / counts)).sum()) / 8 / len(ids)
+    assert got < len(zlib.compress(ids.astype("<u2").tobytes(), 6)) / len(ids)
