@@ -14,7 +14,7 @@ import itertools
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from .common import ASCII_SPACE, fresh, written
 
 SYMBOLS = "#*$%&|<>"
+LOWER_BYTES = b"abcdefghijklmnopqrstuvwxyz"
 
 MEASURES = T.StructType(
     [
@@ -64,17 +65,18 @@ def measure(text: str | None) -> tuple:
     words = text.encode("utf-8", "surrogatepass").split()
     lines = [x for x in text.split("\n") if x.strip(ASCII_SPACE)]
     n_repeat, n_distinct = repeated(words)
-    capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    lower = sum(map(text.count, "etaoinsrhl"))
+    capitals = sum(map(str.isupper, text)) if not text.isascii() else len(text) - len(text.encode().translate(None, LOWER_BYTES.upper()))
+    lower = sum(map(str.islower, text)) if not text.isascii() else len(text) - len(text.encode().translate(None, LOWER_BYTES))
     return (
         len(words), len(text) - sum(map(text.count, ASCII_SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),
         n_repeat, len(lines), capitals, capitals + lower, n_distinct, text.count("!!"),
     )
 
 
-@F.pandas_udf(MEASURES)
-def measures(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(t) for t in texts], columns=MEASURES.names)
+@F.arrow_udf(MEASURES)
+def measures(texts: pa.Array) -> pa.Array:
+    found = list(zip(*(measure(t.as_py()) for t in texts))) or [()] * len(MEASURES)  # one text is held at a time
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in found], names=MEASURES.names)
 
 
 def base_failed() -> Column:
@@ -94,11 +96,12 @@ def votes() -> list[Column]:
     per_word = F.col("n_symbols") / n
     per_char = F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))
     caps = F.col("n_capitals") / F.greatest(F.col("n_letters"), F.lit(1))
+    cased = 2 * F.col("n_letters") >= F.col("word_chars")  # else a script without capitals, numbers or signs: no word on shouting
     length = F.col("word_chars") / n
     return [
         vote(per_word, per_word > 0.2, per_word < 0.02),
         vote(per_char, per_char > 0.05, per_char < 0.005),
-        vote(caps, (caps > 0.6) | (F.col("n_bangs") / n > 0.2), caps < 0.3),
+        vote(caps, cased & (caps > 0.6) | (F.col("n_bangs") / n > 0.2), cased & (caps < 0.3)),
         defect(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)) > 0.4),
         defect(F.col("n_repeat_words") / n > 0.4),
         defect((length > 14) | (length < 2)),
@@ -107,11 +110,11 @@ def votes() -> list[Column]:
     ]
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 0.8) -> tuple[np.ndarray, dict]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 0.8, floors: tuple = (0.2, 0.9)) -> tuple[np.ndarray, dict]:
     """Posterior probability of good for every vote pattern (rows of -1, 0, 1), by EM on a naive-Bayes vote model: given the
     true class, rules vote independently; whether a rule abstains says nothing. A rule may miss most bad documents, since
-    each looks for one defect, but seldom rejects a good one; these starting points also fix which class is which. Empty
-    input: none."""
+    each looks for one defect, but seldom rejects a good one; these starting points also fix which class is which. floors:
+    the least accuracy that a rule is given on bad and on good documents. Empty input: none."""
     k = patterns.shape[1] if patterns.size else 0
     right = np.array([np.full(k, 0.5), np.full(k, 0.97)])  # probability of a correct vote, for bad and good documents
     share, post, total = prior, np.zeros(len(patterns)), max(counts.sum(), 1.0)
@@ -121,7 +124,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior:
         post = 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
         w1, w0 = counts * post, counts * (1 - post)
         share = float(np.clip(w1.sum() / total, 0.05, 0.95))
-        for c, w, low in ((1, w1, 0.9), (0, w0, 0.2)):
+        for c, w, low in ((1, w1, floors[1]), (0, w0, floors[0])):
             said = (w[:, None] * (patterns >= 0)).sum(0)
             ok = (w[:, None] * (patterns == c)).sum(0)
             right[c] = np.clip((ok + 4) / (said + 5), low, 0.999)
@@ -141,8 +144,8 @@ def quality_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id", t
     """Per row of docs: id_col, the measures, ``votes``, ``p_good``, ``base_failed`` and ``kept``.
 
     kept is false where base_failed, else true if the posterior is at least the threshold. Null texts count as empty and
-    are not kept; repeated rows and null ids each get a row of their own; an empty table gives an empty one. Other columns
-    of docs are not read."""
+    are not kept; texts of any length are measured whole; repeated rows and null ids each get a row of their own; a posterior that ties
+    with the threshold keeps; an empty table gives an empty one. Other columns of docs are not read."""
     facts = docs.select(F.col(id_col), measures(F.col(text)).alias("m")).select(id_col, "m.*")
     facts = written(facts.select("*", F.array(*votes()).alias("votes")), "quality-measures")
     out = facts.join(F.broadcast(posteriors(facts)), "votes", "left").withColumn("base_failed", base_failed())
@@ -151,7 +154,8 @@ def quality_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns. Measures every text twice, once to count vote
-    patterns and once to filter, which costs less than a shuffle of the texts to join verdicts back."""
+    patterns and once to filter, which costs less than a shuffle of the texts to join verdicts back. Null and empty texts go; texts of
+    any length count whole; repeated rows share a verdict; an empty table stays empty; all columns are kept as they are."""
     facts = docs.select(measures(F.col(text)).alias("m")).select("m.*").select(F.array(*votes()).alias("votes"))
     table = posteriors(facts).where(F.col("p_good") >= threshold).select("votes")
     m, row = fresh(docs, "m"), fresh(docs, "row")

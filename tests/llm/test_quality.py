@@ -60,4 +60,11 @@ def test_labels_are_told_apart(spark, sf):
     good = [r["kept"] for r in rows if r["quality"] == 1]
     bad = [r["kept"] for r in rows if r["quality"] == 0]
     assert np.mean(good) > 0.97
-    assert not bad or np.mean(bad) < np.mean(good)
+    assert bad and np.mean(bad) < 0.05
+
+
+def test_a_script_without_capitals_is_not_shouting(spark):
+    text = " ".join(f"\u6f22\u5b57{i}" for i in range(200)) + " A"
+    assert Q.measure(text)[6:8] == (1, 1)
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert Q.quality_rules(rows).first()["votes"][2] == -1
