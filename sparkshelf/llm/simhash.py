@@ -17,7 +17,7 @@ meet at a value link to the least of them: 65 rows for a member, never a pair of
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,9 +56,9 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int.from_bytes(np.packbits(set_).tobytes(), "big")
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+@F.arrow_udf(T.LongType())
+def fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))  # one text is held at a time
 
 
 def hex16(fp: Column) -> Column:
