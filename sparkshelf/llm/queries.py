@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import decontaminate, fixity, pseudo_lm, url_filter
-from .common import table
+from .common import shared_dir, table
 from .mixing import mix
 from .quality_rules import quality_rules
-from .secrets_scan import scan_secrets
+from .secrets_scan import drafts, scan_secrets, scan_unseen
 from .simhash import simhash_groups
 from .token_files import tokens
 from .wrapper import extract
@@ -49,8 +50,12 @@ def op8_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's secrets, scanned once for each distinct text."""
-    return scan_secrets(table(spark, sf_dir, "documents")).drop("blob")
+    """Every document's secrets, as the second run over a history: a first run scans the earlier versions into a ledger, this one scans the
+    texts that the ledger lacks and joins findings to all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    scan_unseen(drafts(docs)).write.partitionBy("rule_version").parquet(ledger)
+    return scan_secrets(docs, ledger_path=ledger).drop("blob")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of a text is content-addressed by its SHA-256. A ledger records, for each (blob, rule version) pair ever
-scanned, what was found; a run scans only pairs that the ledger lacks, each once however many paths or versions hold the
-blob, and findings are joined back to all of them.
+scanned, what was found; a run scans only pairs that the ledger lacks, and findings are joined back to all paths and versions
+that hold the blob. The ledger is partitioned by rule version.
 
-Texts move between tasks only for unseen blobs: each partition drops its own repeats first (so a text that a third of the
-rows share leaves a partition once) and packs the rest with zstd. Paths travel as (id, hash) alone."""
+Hashes go first: distinct ones meet those of the ledger, and texts are asked for by what is left. Up to MOST_UNSEEN unseen
+hashes are broadcast (counted first), and texts are scanned where they are read, once in each task: no text moves, seen or unseen. More of
+them meet the texts in a join that Spark shuffles; a first run, where all is unseen, needs no join at all."""
 
 from __future__ import annotations
 
@@ -14,11 +15,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import written
 
 #: Kind, pattern, the group that is measured, its least length. Matches that are too short are consumed and dropped.
 RULES = (
@@ -26,6 +26,8 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
+#: Unseen hashes that are broadcast, at about 100 bytes each; hashes that a task keeps to pass over repeats, at about 100 bytes each.
+MOST_UNSEEN, REMEMBERED = 500_000, 200_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 LEDGER = "blob string, rule_version string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
@@ -54,34 +56,21 @@ def find(text: str, compiled: list[tuple]) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        keys, texts = [], []
-        for text in batch.column(0):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            key = hashlib.sha256(raw)
-            if (d := key.digest()) not in seen:
-                seen.add(d)
-                keys.append(key.hexdigest())
-                texts.append(pack.compress(raw))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.binary())], ["blob", "packed"])
-
-
 def _scanner(rules: tuple):
     version = rule_version(rules)
     kinds = [r[0] for r in rules]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, seen, unpack = _compiled(rules), set(), zstandard.ZstdDecompressor()
+        compiled, seen = _compiled(rules), set()
         for batch in batches:
             rows: list[tuple] = []
-            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if key in seen:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if (short := bytes.fromhex(key)) in seen:
                     continue
-                seen.add(key)
-                found = find(unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass"), compiled)
+                if len(seen) >= REMEMBERED:  # only to save work: a repeat gives the same row again, which is dropped below
+                    seen.clear()
+                seen.add(short)
+                found = find(text.as_py() or "", compiled)
                 spans = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in found)
                 counts = [sum(kinds[k] == kind for _, k, _ in found) for kind in ("assign", "access", "hex")]
                 rows.append((key, version, *counts, hashlib.sha256(spans.encode()).hexdigest(), spans))
@@ -93,12 +82,18 @@ def _scanner(rules: tuple):
     return scan
 
 
-def scan_unseen(history: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
+def blob_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def scan_unseen(history: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple = RULES, most_unseen: int = MOST_UNSEEN) -> DataFrame:
     """Ledger rows for the blobs of history that ledger lacks under this rule version, each once."""
-    blobs = history.select(F.col(text)).mapInArrow(_pack, "blob string, packed binary")
+    texts = history.select(blob_of(F.col(text)).alias("blob"), F.col(text).alias("text"))
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version(rules)).select("blob"), "blob", "left_anti")
-    return blobs.repartition("blob").mapInArrow(_scanner(rules), LEDGER)
+        known = ledger.where(F.col("rule_version") == rule_version(rules)).select("blob")
+        unseen = written(texts.select("blob").distinct().join(known, "blob", "left_anti"), "unseen-blobs")
+        texts = texts.join(F.broadcast(unseen) if unseen.count() <= most_unseen else unseen, "blob", "left_semi")
+    return texts.mapInArrow(_scanner(rules), LEDGER).dropDuplicates(["blob"])
 
 
 def open_ledger(spark, path: str) -> DataFrame | None:
@@ -110,22 +105,27 @@ def open_ledger(spark, path: str) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(path)
 
 
+def drafts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A history to begin with: each text as it was before its last line was written; texts of one line have not changed since."""
+    return docs.withColumn(text, F.regexp_replace(F.col(text), r"\n[^\n]*\z", ""))
+
+
 def scan_secrets(history: DataFrame, text: str = "text", id_col: str = "doc_id", ledger_path: str | None = None, rules: tuple = RULES) -> DataFrame:
     """Per row of history: id_col, ``blob`` (SHA-256 of the text), counts of assign, access and hex, base_sha256 and spans.
 
     New findings are appended to the ledger at ledger_path (a fresh one in the shared folder if None), so a second run over
     the same texts and rules scans nothing. A run that dies half-way may leave rows in the ledger; they are whole rows of
-    scanned blobs and stay right, and repeats of a pair are read once. Null texts are empty ones and hold nothing; repeated
-    rows and null ids each keep a row; an empty history gives no rows. Other columns are not read."""
+    scanned blobs and stay right, and repeats of a pair are read once. Null texts are empty ones and hold nothing; texts of any length
+    are scanned whole; of matches that begin together the order of the rules decides; repeated rows and null ids each keep a row; an
+    empty history gives no rows. Other columns are not read."""
     spark = history.sparkSession
-    at = ledger_path or f"{shared_dir(spark)}/ledger-{rule_version(rules)}-{spark.sparkContext.applicationId}-{id(history):x}"
     version = rule_version(rules)
     if ledger_path is None:
         ledger = written(scan_unseen(history, text, None, rules), "secret-ledger")
     else:
-        scan_unseen(history, text, open_ledger(spark, at), rules).write.mode("append").parquet(at)
-        ledger = open_ledger(spark, at).where(F.col("rule_version") == version).dropDuplicates(["blob"])
-    seen = history.select(F.col(id_col).alias("__id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("blob"))
+        scan_unseen(history, text, open_ledger(spark, ledger_path), rules).write.mode("append").partitionBy("rule_version").parquet(ledger_path)
+        ledger = open_ledger(spark, ledger_path).where(F.col("rule_version") == version).dropDuplicates(["blob"])
+    seen = history.select(F.col(id_col).alias("__id"), blob_of(F.col(text)).alias("blob"))
     found = ledger.where("spans <> ''").drop("rule_version")
     out = seen.join(found, "blob", "left")
     n = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex")]

@@ -42,3 +42,25 @@ def test_the_ledger_is_incremental(spark, docs, tmp_path):
     assert S.rule_version(rules) != S.rule_version()
     S.scan_secrets(docs, ledger_path=path, rules=rules).collect()
     assert spark.read.parquet(path).count() == 2 * n + 1
+
+
+def test_a_second_run_moves_no_text(spark, docs, tmp_path):
+    """Whatever was seen, texts are scanned where they are read: no exchange holds them."""
+    path = f"file://{tmp_path}/ledger"
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    S.scan_secrets(docs, ledger_path=path).collect()
+    plan = S.scan_unseen(docs, "text", S.open_ledger(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert S.scan_unseen(docs, "text", S.open_ledger(spark, path)).count() == 0
+    before = [line for line in plan.split("\n")[plan.split("\n").index(next(x for x in plan.split("\n") if "MapInArrow" in x)) :] if "Exchange" in line]
+    assert all("BroadcastExchange" in line for line in before)
+
+
+def test_many_unseen_and_versions(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    S.scan_unseen(S.drafts(docs)).write.partitionBy("rule_version").parquet(path)
+    more = S.scan_unseen(docs, "text", S.open_ledger(spark, path), most_unseen=0).count()
+    changed = {r["text"] or "" for r in docs.collect()} - {r["text"] or "" for r in S.drafts(docs).collect()}
+    assert more == len(changed) > 0
+    assert sorted((tuple(r)[:6] for r in S.scan_secrets(docs, ledger_path=path).collect()), key=str) == sorted(((r["doc_id"], *brute(r["text"])) for r in docs.collect()), key=str)
