@@ -21,8 +21,8 @@ def test_a_drill_finds_the_planted_damage(spark):
 def test_records_stand_where_the_manifest_says(spark, tmp_path):
     path = f"file://{tmp_path}/a"
     X.write_warc(pages_of(spark), path, per_file=50)
-    listed = X.manifest(spark, path).orderBy("idx").collect()
-    assert len(listed) == len(ROWS) and len({r["idx"] for r in listed}) == len(ROWS)
+    listed = X.manifest(spark, path).orderBy("file", "place").collect()
+    assert len(listed) == len(ROWS) and len({(r["file"], r["place"]) for r in listed}) == len(ROWS)
     data = {int(p.parent.name.split("=")[1]): gzip.decompress(p.read_bytes()) for p in tmp_path.glob("a/file=*/part-*")}
     assert len(data) > 3
     bodies = []
@@ -67,3 +67,50 @@ def test_descent_enters_only_branches_that_differ(spark):
 
 def test_empty(spark):
     assert X.drill(pages_of(spark, [])).count() == 0
+
+
+def test_forged_moved_resized_and_dropped_records(spark, tmp_path):
+    """Every record of either side is accounted for, as a plain comparison of the two lists says."""
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    X.write_warc(pages_of(spark), a, per_file=50)
+    X.damaged_replica(spark, a, b, one_in=10**9)
+    parts = sorted(tmp_path.glob("b/file=*/part-*"))
+
+    def change(part, how):
+        records = [r for _, _, r in X.records_in(part.read_bytes())]
+        how(records)
+        part.write_bytes(b"".join(gzip.compress(r + X.BREAK.encode()) for r in records))  # a gzip member for a record
+        return int(part.parent.name.split("=")[1])
+
+    forged = X.warc_record("999", "http://forged.org/", "forged").encode()
+    appended = change(parts[0], lambda r: r.append(forged))
+    inserted = change(parts[1], lambda r: r.insert(10, forged))
+    resized = change(parts[2], lambda r: r.__setitem__(5, X.warc_record("5x", "http://h/", "longer than before" * 9).encode()))
+    swapped = change(parts[3], lambda r: r.__setitem__(slice(0, 2), [r[1], r[0]]))
+    dropped = change(parts[4], lambda r: r.pop(3))
+    for crc in tmp_path.glob("b/file=*/.*.crc"):
+        crc.unlink()
+    listed = X.manifest(spark, a)
+    n = {r["file"]: r["count"] for r in listed.groupBy("file").count().collect()}
+    got = X.audit(spark, listed, b).collect()
+    count = lambda f: {s: sum(r["file"] == f and r["status"] == s for r in got) for s in {r["status"] for r in got if r["file"] == f}}
+    assert count(appended) == {"ok": n[appended] - 1, "damaged": 1, "extra": 1}  # the record without a key, whose CRC-32 is zero
+    assert count(inserted) == {"ok": 10, "moved": n[inserted] - 10, "extra": 1}
+    assert count(resized) == {"ok": 5, "damaged": 1, "moved": n[resized] - 6}
+    assert count(swapped)["moved"] >= 2 and set(count(swapped)) <= {"ok", "moved"}
+    assert count(dropped) == {"ok": 3, "missing": 1, "moved": n[dropped] - 4}
+    assert {r["key"] for r in got if r["status"] == "extra"} == {"999"}
+    rest = set(n) - {appended, inserted, resized, swapped, dropped}
+    assert all(count(f) == {"ok": n[f]} for f in rest)
+
+
+def test_other_writers_records():
+    body = b"GET / HTTP/1.1\r\n\r\n"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 4\r\n\r\na: b"
+    request = b"WARC/1.0\r\nWARC-Type: request\r\nwarc-target-uri: http://h/\r\nWARC-Record-ID: <urn:uuid:2>\r\ncontent-length: %d\r\n\r\n" % len(body) + body
+    for pack in (lambda x: x, gzip.compress):
+        data = b"".join(pack(r + b"\r\n\r\n") for r in (info, request))
+        assert [(k, r) for k, _, r in X.records_in(data)] == [("<urn:uuid:1>", info), ("http://h/ <urn:uuid:2>", request)]
+        assert [at for _, at, _ in X.records_in(data)] == [0, len(info) + 4]
+    assert list(X.records_in(b"")) == []
+    assert [r for _, _, r in X.records_in(gzip.compress(info + b"\r\n\r\n" + request)[:-20])][0] == info
