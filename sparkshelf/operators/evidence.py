@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkshelf.functions.similarity import plain_ratio, token_set
+from sparkshelf.operators.resolution import searched
 
 
 def probe_hits(probes: DataFrame, texts: DataFrame, text_id: str, text: str, most: int = 2, around: int = 70) -> DataFrame:
@@ -40,13 +41,13 @@ def name_lookup(rows: DataFrame, name: str, query: str, group: str, id_col: str,
     return near.join(F.broadcast(groups)).withColumn("answer", F.when(F.col("__g") == 1, "single").otherwise("several")).drop("__g").orderBy(F.desc("score"), id_col)
 
 
-def nearest_compound(left: DataFrame, a: str, right: DataFrame, b: str, id_col: str, most: int = 50_000) -> DataFrame:
-    """For each a the id of the right row with the greatest (token-set ratio, ratio, id). right has at most ``most`` rows, counted first."""
-    if right.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows")
-    met = left.select(a).distinct().join(F.broadcast(right.select(F.col(b).alias("__b"), id_col)))
-    scored = met.select(a, F.struct(token_set(F.col(a), F.col("__b")).alias("s"), plain_ratio(F.col(a), F.col("__b")).alias("r"), F.col(id_col).alias("id")).alias("k"))
-    return scored.groupBy(a).agg(F.max("k").alias("k")).select(a, F.col("k.id").alias(id_col), F.col("k.s").alias("score"))
+def nearest_compound(left: DataFrame, a: str, right: DataFrame, b: str, id_col: str) -> DataFrame:
+    """For each a the id of the right row with the greatest (token-set ratio, ratio, id); a without any that scores above 0 gives no row."""
+    found = searched(left, a, right, b, "token_set")
+    top = found.groupBy("text").agg(F.max("score").alias("s")).join(found, "text").where("score = s")
+    met = top.join(right.select(F.col(b).alias("ref"), id_col), "ref")
+    key = F.struct(F.col("s"), plain_ratio(F.col("text"), F.col("ref")).alias("r"), F.col(id_col).alias("id"))
+    return met.groupBy(F.col("text").alias(a)).agg(F.max(key).alias("k")).select(a, F.col("k.id").alias(id_col), F.col("k.s").alias("score"))
 
 
 def admissible(options: DataFrame, choices: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from sparkshelf.functions import similarity
 from sparkshelf.operators.joins import longest_contained
 
+#: The least confidence of a match.
 CPU_THRESHOLD, GPU_THRESHOLD = 0.90, 0.85
 #: Strings that stand for no model.
 PLACEHOLDERS = ("unknown", "n/a", "none", "-")
@@ -34,21 +36,64 @@ LAPTOP_SUFFIX = " laptop gpu"
 DROPPED = "®™©℠⁰¹²³⁴⁵⁶⁷⁸⁹‘’“”"
 
 
+#: Signs that join a number to what follows it: hyphen, non-breaking hyphen, en dash.
+DASHES = "-\u2011\u2013"
+
+
 @F.pandas_udf(T.StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _counted(words: Column) -> Column:
+    """Core counts as two bare words, whether they came as ``(10-core)``, ``10-core`` or ``(10 core)``."""
+    bare = lambda w: F.translate(w, "()", "")
+    number = lambda w: F.coalesce(bare(w).rlike("^[0-9]+$"), F.lit(False))
+    core = lambda w: F.coalesce(bare(w) == "core", F.lit(False))
+
+    def one(w: Column, i: Column) -> Column:
+        pair = number(w) & core(F.get(words, i + 1)) | core(w) & number(F.get(words, i - 1))
+        return F.when(bare(w).rlike(f"^[0-9]+[{DASHES}]core$"), F.split(bare(w), f"[{DASHES}]")).otherwise(F.array(F.when(pair, bare(w)).otherwise(w)))
+
+    return F.flatten(F.transform(words, one))
+
+
+def _parts_joined(words: Column) -> Column:
+    """Part numbers such as ``x1e-78-100`` or ``x1e 78 100`` as one word without dashes."""
+    like = lambda i, pattern: F.coalesce(F.translate(F.get(words, i), DASHES, "").rlike(pattern), F.lit(False))
+    head, two, five, three, most = "^x[12][ep]?$", "^[0-9]{2}$", "^[0-9]{5}$", "^[0-9]{3}$", "^x[12][ep]?[0-9]{2}$"
+
+    def one(w: Column, i: Column) -> Column:
+        flat = lambda n: F.translate(F.array_join(F.slice(words, i + 1, n), ""), DASHES, "")
+        begins = F.when(like(i, "^x[12][ep]?[0-9]{5}$"), flat(1)).when(like(i, most) & like(i + 1, three) | like(i, head) & like(i + 1, five), flat(2)).when(like(i, head) & like(i + 1, two) & like(i + 2, three), flat(3))
+        goes_on = like(i - 1, most) & like(i, three) | like(i - 1, head) & like(i, five) | like(i - 1, head) & like(i, two) & like(i + 1, three) | like(i - 2, head) & like(i - 1, two) & like(i, three)
+        return F.when(goes_on, F.lit(None)).otherwise(F.coalesce(begins, w))
+
+    return F.array_compact(F.transform(words, one))
+
+
+def _without_frame(words: Column) -> Column:
+    """``arm apple ... 0 mhz`` without its first word and its last two."""
+    framed = (F.get(words, F.lit(0)) == "arm") & (F.get(words, F.lit(1)) == "apple")
+    n = F.size(words)
+    clock = F.coalesce((F.get(words, n - 2) == "0") & (F.get(words, n - 1) == "mhz") & (n > 3), F.lit(False))
+    return F.when(F.coalesce(framed, F.lit(False)), F.slice(words, 2, n - 1 - F.when(clock, 2).otherwise(0))).otherwise(words)
+
+
 def normal_name(c: Column) -> Column:
-    """Canonical form of a part name: marks dropped, compatibility forms decomposed (only where there is any other than ASCII),
-    lower case, ``processor`` dropped, core counts as ``N core``, part numbers joined, single spaces. Applying it twice changes nothing."""
+    """Canonical form of a part name, word by word: marks dropped, compatibility forms decomposed (only where there is any other than
+    ASCII), lower case, the word ``processor`` dropped, core counts as ``N core``, part numbers in one word, single spaces. Applying it
+    twice changes nothing. Null stays null."""
     s = F.translate(c, DROPPED, "")
     s = F.lower(F.when(s.rlike(r"[^\x00-\x7F]"), _decomposed(s)).otherwise(s))
-    s = F.regexp_replace(s, r"\bprocessor\b", " ")
-    s = F.regexp_replace(s, "\\(?(\\d+)(?:\\s*[-\u2011\u2013]\\s*|\\s+)core\\)?", " $1 core ")
-    s = F.regexp_replace(F.regexp_replace(s, r"\bprocessor\b", " "), r"\s+", " ")
-    s = F.regexp_replace(s, "\\b(x[12][ep]?)[ \\-\u2011\u2013]*(\\d{2})[ \\-\u2011\u2013]*(\\d{3})\\b", "$1$2$3")
-    return F.trim(F.regexp_replace(s, r"^arm (apple .*?)(?: 0 mhz)?$", "$1"))
+    words = F.filter(F.split(F.replace(s, F.lit("("), F.lit(" (")), r"\s+"), lambda w: ~w.isin("", "processor"))
+    out = _let(words, lambda w: _let(_counted(w), lambda x: _let(_parts_joined(x), lambda y: F.array_join(_without_frame(y), " "))))
+    return F.when(c.isNotNull(), F.coalesce(out, F.lit("")))
 
 
 def is_placeholder(c: Column) -> Column:
@@ -68,26 +113,76 @@ def variant_key(c: Column) -> Column:
 PART_NUMBER = r"\b(x[12][ep]?\d{5})\b"
 
 
-def resolve(strings: DataFrame, name: str, marks: DataFrame, threshold: float = CPU_THRESHOLD, most_marks: int = 50_000) -> DataFrame:
+#: References in a block, strings in a chunk, and references that are sent to all tasks at most; more meet the chunks in a join.
+BLOCK, TOGETHER, MOST_SENT = 4096, 16, 50_000
+MEASURES = {"token_set": similarity.token_set_ratio, "weighted": similarity.weighted_ratio}
+
+
+def _packed(texts: DataFrame, each: int) -> tuple[DataFrame, int, int]:
+    """(part, texts): distinct texts in parts of about ``each`` by hash; how many parts and texts there are."""
+    n = texts.count()
+    parts = max(1, -(-n // each))
+    return texts.groupBy(F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int").alias("part")).agg(F.sort_array(F.collect_list("t")).alias("ts")), parts, n
+
+
+def searched(left: DataFrame, text: str, right: DataFrame, ref: str, measure: str, k: int = 1, below: bool = False, least: float | None = None) -> DataFrame:
+    """(text, ref, score) of distinct texts against distinct references: those of the k best scores of each block of references with ties (with
+    below, also of the next lower score), or, with least, all at or above it. Scores of 0 give no row.
+
+    Both sides are packed: a chunk of texts meets each block of references once, so a reference is sent per chunk, not per text, and
+    neither side has a size limit."""
+    chunks, n_chunks, _ = _packed(left.select(F.col(text).alias("t")).where("t is not null").distinct(), TOGETHER)
+    blocks, n_blocks, n = _packed(right.select(F.col(ref).alias("t")).where("t <> ''").distinct(), BLOCK)
+    asked = chunks.select("ts", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("part")).repartition(min(4096, n_chunks * n_blocks))
+    blocks = blocks.withColumnRenamed("ts", "refs")
+    met = asked.join(F.broadcast(blocks) if n <= MOST_SENT else blocks, "part")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, part = MEASURES[measure], None
+        for batch in batches:
+            for i in range(len(batch)):
+                if part != batch.column("part")[i].as_py():
+                    part = batch.column("part")[i].as_py()
+                    refs = similarity.References(batch.column("refs")[i].as_py())
+                rows = []
+                for t in batch.column("ts")[i].as_py():
+                    found = refs.over(t, of, least) if least is not None else refs.best(t, of, k, below)
+                    rows += [(t, refs.texts[j], s) for s, j in found]
+                columns = list(zip(*rows)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (pa.string(), pa.string(), pa.float64()))], ["text", "ref", "score"])
+
+    return met.select("part", "ts", "refs").mapInArrow(search, "text string, ref string, score double")
+
+
+def _reference(marks: DataFrame) -> DataFrame:
+    """ref (canonical name), matched, mark, part; of names that are one in canonical form, the greatest."""
+    ref = marks.select(F.col("name").alias("matched"), "mark", normal_name(F.col("name")).alias("ref")).groupBy("ref").agg(F.max_by(F.struct("matched", "mark"), "matched").alias("m")).select("ref", "m.*")
+    return ref.withColumn("part", F.regexp_extract("ref", PART_NUMBER, 1))
+
+
+def _keyed(strings: DataFrame, name: str) -> DataFrame:
+    """name, key and part of distinct strings that stand for a model."""
+    d = strings.select(F.col(name).alias("name")).distinct().where(~is_placeholder(F.col("name")))
+    return d.withColumn("key", normal_name(F.col("name"))).withColumn("part", F.regexp_extract("key", PART_NUMBER, 1))
+
+
+def resolve(strings: DataFrame, name: str, marks: DataFrame, threshold: float = CPU_THRESHOLD) -> DataFrame:
     """(name, mark, matched, confidence) for every distinct name of strings; mark is null below the threshold.
 
-    marks: name, mark, a reference list of at most most_marks rows (counted), which is then sent to all tasks. Names that equal a
-    reference name after normalisation, or share its part number, never reach the similarity measure; the rest are compared
-    with the whole list, one row of it at a time for each distinct name. Ties: the lesser reference name."""
-    if marks.limit(most_marks + 1).count() > most_marks:
-        raise ValueError(f"more than {most_marks} reference names")
+    marks: name, mark, a reference list of any size. Names that equal a reference name in canonical form, or share its part
+    number, never reach the search; of the rest, each distinct canonical form is searched for once. Ties: the lesser reference name."""
     d = strings.select(F.col(name).alias("name")).distinct()
-    ref = marks.select(F.col("name").alias("matched"), "mark", normal_name(F.col("name")).alias("ref")).groupBy("ref").agg(F.max_by(F.struct("matched", "mark"), "matched").alias("m")).select("ref", "m.*")
-    ref = ref.withColumn("part", F.regexp_extract("ref", PART_NUMBER, 1))
-    known = d.where(~is_placeholder(F.col("name"))).withColumn("key", normal_name(F.col("name"))).withColumn("part", F.regexp_extract("key", PART_NUMBER, 1))
+    ref, known = _reference(marks), _keyed(strings, name)
     best = Window.partitionBy("name").orderBy(F.desc("confidence"), "ref")
-    by_part = known.where("part <> ''").join(F.broadcast(ref.where("part <> ''")), "part").withColumn("confidence", similarity.w_ratio("key", "ref"))
+    by_part = known.where("part <> ''").join(ref.where("part <> ''"), "part").withColumn("confidence", similarity.w_ratio("key", "ref"))
     by_part = by_part.withColumn("n", F.row_number().over(best)).where("n = 1").select("name", "mark", "matched", F.lit(1.0).alias("confidence"))
     left = known.join(by_part.select("name"), "name", "left_anti")
-    equal = left.join(F.broadcast(ref.drop("part")), F.col("key") == F.col("ref")).select("name", "mark", "matched", F.lit(1.0).alias("confidence"))
+    equal = left.join(ref.drop("part"), F.col("key") == F.col("ref")).select("name", "mark", "matched", F.lit(1.0).alias("confidence"))
     rest = left.join(equal.select("name"), "name", "left_anti").select("name", "key")
-    listed = ref.agg(F.sort_array(F.collect_list(F.struct("ref", "matched", "mark"))).alias("refs"))
-    scored = rest.join(F.broadcast(listed)).select("name", _best(F.col("key"), F.col("refs")).alias("b")).select("name", "b.mark", "b.matched", "b.confidence")
+    top = searched(rest, "key", ref, "ref", "weighted").groupBy("text").agg(F.max(F.struct("score")).alias("s"), F.collect_list(F.struct("score", "ref")).alias("found"))
+    first = F.array_min(F.transform(F.filter("found", lambda x: x["score"] == F.col("s.score")), lambda x: x["ref"]))
+    top = top.select(F.col("text").alias("key"), first.alias("ref"), (F.col("s.score") / 100).alias("confidence"))
+    scored = rest.join(top, "key").join(ref.drop("part"), "ref").select("name", "mark", "matched", "confidence")
     found = by_part.unionByName(equal).unionByName(scored)
     ok = F.col("confidence") >= threshold
     found = found.withColumnRenamed("name", "__found")
@@ -95,33 +190,14 @@ def resolve(strings: DataFrame, name: str, marks: DataFrame, threshold: float =
     return out.withColumnRenamed("name", name)
 
 
-def _best(key: Column, refs: Column) -> Column:
-    @F.pandas_udf("struct<mark:bigint,matched:string,confidence:double>")
-    def best(keys: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        rows = []
-        for k, refs_ in zip(keys, lists):
-            top = (None, None, 0.0)
-            for r in refs_ if refs_ is not None else ():
-                s = similarity.weighted_ratio(k, r["ref"])
-                if s > top[2]:
-                    top = (r["mark"], r["matched"], s)
-            rows.append((top[0], top[1], top[2] / 100))
-        return pd.DataFrame(rows, columns=["mark", "matched", "confidence"])
-
-    return best(key, refs)
-
-
-def resolve_gpu(pairs: DataFrame, gpu: str, cpu: str, marks: DataFrame, integrated: DataFrame) -> DataFrame:
-    """(gpu, cpu, gpu_mark, gpu_resolution, gpu_is_proxy) for every distinct pair. integrated: cpu, gpu, the graphics built into CPUs.
-
-    A name with a model number is direct, or the laptop row of the same part if it does not say laptop itself; else a core count's stand-in;
-    else the graphics of the CPU (longest matching CPU name); else unresolved."""
+def _ladder(pairs: DataFrame, gpu: str, cpu: str, marks: DataFrame, integrated: DataFrame) -> DataFrame:
+    """(gpu, cpu, __i, how, __name) for every distinct pair: the names to try, in order. No name at all: one row of nulls."""
     d = pairs.select(gpu, cpu).distinct().withColumn("__anchor", has_anchor(F.col(gpu))).withColumn("__key", normal_name(F.coalesce(F.col(gpu), F.lit(""))))
     laptop = marks.withColumn("__n", normal_name(F.col("name"))).where(F.col("__n").endswith(LAPTOP_SUFFIX))
     laptop = laptop.select(variant_key(F.expr(f"left(__n, length(__n) - {len(LAPTOP_SUFFIX)})")).alias("__vk"), F.col("name").alias("__variant")).groupBy("__vk").agg(F.min("__variant").alias("__variant"))
     fixed = F.create_map(*[F.lit(x) for kv in VARIANT_OVERRIDES.items() for x in kv])
     equal = F.create_map(*[F.lit(x) for kv in CORE_COUNT_EQUIVALENTS.items() for x in kv])
-    d = d.withColumn("__vk", variant_key(F.col("__key"))).join(F.broadcast(laptop), "__vk", "left")
+    d = d.withColumn("__vk", variant_key(F.col("__key"))).join(laptop, "__vk", "left")
     keys = integrated.select(normal_name(F.col("cpu")).alias("__ck"), F.col("gpu").alias("__igpu"))
     own = longest_contained(d.select(normal_name(F.coalesce(F.col(cpu), F.lit(""))).alias("__cpu_key")), "__cpu_key", keys, "__ck", "__igpu")
     d = d.withColumn("__cpu_key", normal_name(F.coalesce(F.col(cpu), F.lit("")))).join(own, "__cpu_key", "left")
@@ -130,78 +206,73 @@ def resolve_gpu(pairs: DataFrame, gpu: str, cpu: str, marks: DataFrame, integrat
     tries = tries.otherwise(F.array_compact(F.array(
         F.when(equal[F.translate("__key", "-\u2011\u2013", "   ")].isNotNull(), F.struct(F.lit("apple_equivalent").alias("how"), equal[F.translate("__key", "-\u2011\u2013", "   ")].alias("name"))),
         F.when(F.col("__igpu").isNotNull(), F.struct(F.lit("integrated").alias("how"), F.col("__igpu").alias("name"))))))
-    each = d.select(gpu, cpu, F.posexplode_outer(tries).alias("__i", "__try")).select(gpu, cpu, "__i", "__try.how", F.col("__try.name").alias("__name"))
+    return d.select(gpu, cpu, F.posexplode_outer(tries).alias("__i", "__try")).select(gpu, cpu, "__i", "__try.how", F.col("__try.name").alias("__name"))
+
+
+def resolve_gpu(pairs: DataFrame, gpu: str, cpu: str, marks: DataFrame, integrated: DataFrame) -> DataFrame:
+    """(gpu, cpu, gpu_mark, gpu_resolution, gpu_is_proxy) for every distinct pair. integrated: cpu, gpu, the graphics built into CPUs.
+
+    A name with a model number is direct, or the laptop row of the same part if it does not say laptop itself; else a core count's stand-in;
+    else the graphics of the CPU (longest matching CPU name); else unresolved."""
+    each = _ladder(pairs, gpu, cpu, marks, integrated)
     got = resolve(each.where("__name is not null"), "__name", marks, GPU_THRESHOLD)
     best = each.join(got, "__name", "left").groupBy(gpu, cpu).agg(F.min(F.when(F.col("mark").isNotNull(), F.struct("__i", "how", "mark"))).alias("b"))
     how = F.coalesce("b.how", F.lit("unresolved"))
     return best.select(gpu, cpu, F.col("b.mark").alias("gpu_mark"), how.alias("gpu_resolution"), (~how.isin("direct", "laptop_variant")).alias("gpu_is_proxy"))
 
 
-def candidates(strings: DataFrame, name: str, marks: DataFrame, k: int = 3) -> DataFrame:
-    """The k nearest reference names of each distinct string with their scores, for diagnosis: a report over few, unresolved strings."""
-    d = strings.select(F.col(name).alias("name")).where(~is_placeholder(F.col(name))).distinct()
-    ref = marks.select(F.col("name").alias("matched"), "mark")
-    met = d.join(F.broadcast(ref)).withColumn("score", similarity.w_ratio(normal_name(F.col("name")), normal_name(F.col("matched"))))
-    w = Window.partitionBy("name").orderBy(F.desc("score"), "matched")
-    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumnRenamed("name", name)
+def closest(strings: DataFrame, name: str, marks: DataFrame, threshold: float = CPU_THRESHOLD, k: int = 3) -> DataFrame:
+    """What the matcher weighed: (name, kind, message, threshold, place, matched, mark, confidence), up to k rows of the nearest references
+    of each distinct name, best first (the lesser reference on a tie).
+
+    kind: ``placeholder`` (one row without candidate), ``qualcomm_part`` (only references of the same part number, confidence 1),
+    ``qualcomm_part_missing`` (no reference has the part number; the nearest of all follow) or ``fuzzy``."""
+    ref, known = _reference(marks), _keyed(strings, name)
+    has = ref.where("part <> ''").select("part").distinct().withColumn("has", F.lit(True))
+    known = known.join(has, "part", "left").withColumn("kind", F.when(F.col("has"), "qualcomm_part").when(F.col("part") != "", "qualcomm_part_missing").otherwise("fuzzy"))
+    same = known.where("has").join(ref, "part").select("name", "kind", "part", "ref", similarity.w_ratio("key", "ref").alias("score"), F.lit(1.0).alias("confidence"))
+    free = known.where("has is null")
+    near = searched(free, "key", ref, "ref", "weighted", k=k)
+    near = free.join(near, free["key"] == near["text"]).select("name", "kind", "part", "ref", "score", F.round(F.col("score") / 100, 3).alias("confidence"))
+    w = Window.partitionBy("name").orderBy(F.desc("score"), "ref")
+    ranked = same.unionByName(near).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).join(ref.drop("part"), "ref")
+    message = F.when(F.col("kind") == "qualcomm_part_missing", F.concat(F.lit("Exact part number "), F.upper("part"), F.lit(": no row carries it")))
+    out = ranked.select("name", "kind", message.alias("message"), "place", "matched", "mark", "confidence")
+    none = strings.select(F.col(name).alias("name")).distinct().where(is_placeholder(F.col("name"))).select("name", F.lit("placeholder").alias("kind"), F.lit("Placeholder, not a part name").alias("message"))
+    return out.unionByName(none, allowMissingColumns=True).withColumn("threshold", F.lit(threshold)).withColumnRenamed("name", name)
+
+
+def closest_gpu(pairs: DataFrame, gpu: str, cpu: str, marks: DataFrame, integrated: DataFrame, k: int = 3) -> DataFrame:
+    """closest() along the ladder of resolve_gpu: for each distinct pair the nearest references of the first name that it would try. A GPU without
+    any (no model number, no stand-in, no graphics known for its CPU) is of kind ``no_igpu_entry``."""
+    first = _ladder(pairs, gpu, cpu, marks, integrated).where("__i is null or __i = 0")
+    found = closest(first.where("__name is not null"), "__name", marks, GPU_THRESHOLD, k)
+    out = first.join(found, "__name", "left")
+    kind = F.when(F.col("__name").isNull(), "no_igpu_entry").otherwise(F.col("kind"))
+    message = F.when(F.col("__name").isNull(), F.concat(F.lit("No integrated-GPU entry for CPU "), F.coalesce(F.nullif(F.col(cpu), F.lit("")), F.lit("unknown")))).otherwise(F.col("message"))
+    return out.select(gpu, cpu, kind.alias("kind"), message.alias("message"), "place", "matched", "mark", "confidence", F.lit(GPU_THRESHOLD).alias("threshold"))
+
+
+def best_fuzzy(left: DataFrame, text: str, right: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(text, matched, score, gap, tied) for each distinct text: the best key by token-set ratio (the lesser key on a tie) if it reaches the
+    threshold, else null; the distance to the next lower score above 0 and how many keys share the best. No key that scores: 0 and 0."""
+    found = searched(left, text, right, key, "token_set", below=True).groupBy("text").agg(F.collect_list(F.struct("score", "ref")).alias("f"))
+    top = F.array_max(F.transform("f", lambda x: x["score"]))
+    at = F.transform(F.filter("f", lambda x: x["score"] == F.col("score")), lambda x: x["ref"])
+    lower = F.array_max(F.transform(F.filter("f", lambda x: x["score"] < F.col("score")), lambda x: x["score"]))
+    found = found.withColumn("score", top).select("text", "score", F.array_min(at).alias("matched"), (F.col("score") - lower).alias("gap"), F.size(at).alias("tied"))
+    d = left.select(F.col(text).alias("text")).where("text is not null").distinct()
+    out = d.join(found, "text", "left").select(F.col("text").alias(text), F.when(F.col("score") >= threshold, F.col("matched")).alias("matched"), F.coalesce("score", F.lit(0.0)).alias("score"), "gap", F.coalesce("tied", F.lit(0)).alias("tied"))
+    return out
 
 
-def best_fuzzy(left: DataFrame, text: str, right: DataFrame, key: str, threshold: float, most: int = 50_000) -> DataFrame:
-    """(text, matched, score, gap, tied) for each distinct text: the best key by token-set ratio (the lesser key on a tie) if it reaches the
-    threshold, else null; the distance to the next lower score and how many keys share the best. right has at most ``most`` keys."""
-    if right.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} keys")
-    keys = right.select(F.col(key).alias("k")).where("k is not null").distinct().agg(F.sort_array(F.collect_list("k")).alias("ks"))
-
-    @F.pandas_udf("struct<matched:string,score:double,gap:double,tied:int>")
-    def best(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, ks in zip(texts, lists):
-            scores = [similarity.token_set_ratio(t, k) for k in ks]
-            if not scores:
-                rows.append((None, 0.0, None, 0))
-                continue
-            top = max(scores)
-            below = max((s for s in scores if s < top), default=None)
-            rows.append((ks[scores.index(top)], top, None if below is None else top - below, scores.count(top)))
-        return pd.DataFrame(rows, columns=["matched", "score", "gap", "tied"])
-
-    d = left.select(text).where(F.col(text).isNotNull()).distinct()
-    got = d.join(F.broadcast(keys)).select(text, best(F.col(text), F.col("ks")).alias("b")).select(text, "b.*")
-    return got.withColumn("matched", F.when(F.col("score") >= threshold, F.col("matched")))
-
-
-def similar_pairs(names: DataFrame, key: str, threshold: float, most: int = 50_000) -> DataFrame:
-    """(a, b, score): unordered pairs of distinct keys with a token-set ratio at or above the threshold. A check for short lists: at most
-    ``most`` keys, which every task gets as a whole and compares with its own."""
-    d = names.select(F.col(key).alias("a")).where("a is not null").distinct()
-    if d.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} keys")
-    listed = d.agg(F.sort_array(F.collect_list("a")).alias("ks"))
-
-    @F.pandas_udf("array<struct<b:string,score:double>>")
-    def near(own: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for k, ks in zip(own, lists):
-            scores = ((o, similarity.token_set_ratio(k, o)) for o in ks if o > k)
-            out.append([{"b": o, "score": s} for o, s in scores if s >= threshold])
-        return pd.Series(out)
-
-    met = d.join(F.broadcast(listed)).select("a", F.explode(near(F.col("a"), F.col("ks"))).alias("p"))
-    return met.select("a", "p.b", "p.score")
+def similar_pairs(names: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b, score): unordered pairs of distinct keys with a token-set ratio at or above the threshold (above 0)."""
+    met = searched(names, key, names, key, "token_set", least=threshold)
+    return met.where("text < ref").select(F.col("text").alias("a"), F.col("ref").alias("b"), "score")
 
 
 def match_key(c: Column) -> Column:
     """A product title without parentheses and unit words, single spaces, lower case."""
     s = F.regexp_replace(F.lower(c), r"\([^)]*\)", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"\b(gb|tb|ssd|inch|laptop|notebook)\b", " "), r"\s+", " "))
-
-
-def normalize_once(s: str) -> str:
-    """normal_name for one string, for tests and driver-side lists."""
-    s = unicodedata.normalize("NFKD", s.translate({ord(c): None for c in DROPPED})).lower()
-    s = re.sub(r"\bprocessor\b", " ", s)
-    s = re.sub("\\(?(\\d+)(?:\\s*[-\u2011\u2013]\\s*|\\s+)core\\)?", r" \1 core ", s)
-    s = re.sub(r"\s+", " ", re.sub(r"\bprocessor\b", " ", s))
-    s = re.sub("\\b(x[12][ep]?)[ \\-\u2011\u2013]*(\\d{2})[ \\-\u2011\u2013]*(\\d{3})\\b", r"\1\2\3", s)
-    return re.sub(r"^arm (apple .*?)(?: 0 mhz)?$", r"\1", s).strip()

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkshelf.operators.windows import dedup_first
+from sparkshelf.operators.windows import dedup_first, range_of
 
 FACTORS = ("price", "cpu", "gpu", "ram_storage", "portability", "battery", "screen_size", "brand")
 #: General weights, use-case profiles, purpose and portability multipliers.
@@ -57,17 +57,17 @@ def weights(preference: Mapping | None = None, profile: Mapping | None = None) -
 
 def percentile_map(distribution: DataFrame, probes: DataFrame, columns: Mapping[str, str | None]) -> DataFrame:
     """(factor, value, percentile) for every distinct value of the columns on either side: where it stands among the distribution's rows,
-    halfway through equal ones. Probes need not be members. All columns share one pass: values are counted, dealt by ranges of
-    (factor, value) and summed within each range; the few range totals complete the running sums."""
+    halfway through equal ones. Probes need not be members. All columns share one pass: values are counted, dealt by range_of
+    the value and summed within each range; the range totals, which do not grow with the rows, complete the running sums."""
     def long(df: DataFrame, conditions: bool, n: int) -> DataFrame:
         pairs = [F.when(F.expr(c) if c and conditions else F.lit(True), F.struct(F.lit(name).alias("factor"), F.col(name).cast("double").alias("value"))) for name, c in columns.items()]
         each = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("x")).where("x.value is not null")
         return each.groupBy("x.factor", "x.value").agg((F.count(F.lit(1)) * n).alias("eq"))
 
     both = long(distribution, True, 1).union(long(probes, False, 0)).groupBy("factor", "value").agg(F.sum("eq").alias("eq"))
-    parts = both.repartitionByRange("factor", "value").withColumn("p", F.spark_partition_id())
+    parts = both.withColumn("p", range_of(F.col("value")))
     within = parts.withColumn("inside", F.sum("eq").over(Window.partitionBy("p", "factor").orderBy("value")))
-    totals = within.groupBy("factor", "p").agg(F.sum("eq").alias("t"))
+    totals = parts.groupBy("factor", "p").agg(F.sum("eq").alias("t"))
     w = Window.partitionBy("factor").orderBy("p")
     before = totals.select("factor", "p", (F.sum("t").over(w) - F.col("t")).alias("before"), F.sum("t").over(Window.partitionBy("factor")).alias("n"))
     upto = F.col("inside") + F.col("before")

@@ -51,14 +51,21 @@ def midpoint_percentile(df: DataFrame, value: str, out: str = "percentile", part
     return df.join(ranked, on, "left").drop("__v", *[f"__k{i}" for i in range(len(keys))])
 
 
+def range_of(value: Column) -> Column:
+    """Number of the range that a number lies in: ranges of equal ratio, in ascending order, each a thousandth of a doubling. A plain
+    function of the value, so it is the same wherever a plan computes it, however partitions are dealt or coalesced."""
+    v = value.cast("double")
+    place = lambda x: F.floor(F.log2(x) * 1000).cast("bigint") + 2_000_000
+    return F.when(v > 0, place(v)).when(v < 0, -place(-v)).when(v == 0, F.lit(0).cast("bigint")).otherwise(F.lit(4_000_000).cast("bigint"))
+
+
 def running_over_ranges(df: DataFrame, by: str, amount: str, out: str) -> DataFrame:
-    """df with the sum of amount over all rows of a lesser or equal ``by`` (distinct values), without one task that sees all rows: rows are
-    dealt by ranges, summed inside each, and the few range totals are added up."""
-    parts = df.repartitionByRange(by).withColumn("__p", F.spark_partition_id())
-    within = parts.withColumn("__in", F.sum(amount).over(Window.partitionBy("__p").orderBy(by)))
-    totals = within.groupBy("__p").agg(F.sum(amount).alias("__t"), F.min(by).alias("__first"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__t").over(Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(F.broadcast(before.select("__p", "__before")), "__p").withColumn(out, F.col("__in") + F.col("__before")).drop("__p", "__in", "__before")
+    """df with the sum of amount over all rows of a lesser or equal ``by`` (distinct numbers), without one task that sees all rows: rows are
+    dealt by range_of, summed inside each range, and the totals of the ranges, which do not grow with the rows, are added up."""
+    within = df.withColumn("__p", range_of(F.col(by))).withColumn("__in", F.sum(amount).over(Window.partitionBy("__p").orderBy(by)))
+    totals = df.groupBy(range_of(F.col(by)).alias("__p")).agg(F.sum(amount).alias("__t"))
+    before = totals.withColumn("__before", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return within.join(before.select("__p", "__before"), "__p").withColumn(out, F.col("__in") + F.col("__before")).drop("__p", "__in", "__before")
 
 
 def bisect_percentile(values: Column, x: Column, inverse: bool = False) -> Column:

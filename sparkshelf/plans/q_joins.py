@@ -203,11 +203,11 @@ def _(t: Tables):
     return t.orders.join(c, "o_custkey", "left").select("o_orderkey", F.coalesce("c_nationkey", F.lit(-1)).alias("nation"))
 
 
-@q("j_36", """WITH j AS (SELECT o_orderkey AS job, o_orderdate AS a, o_orderdate + INTERVAL 2 DAY AS b FROM orders WHERE o_orderkey % 50 = 0)
-SELECT job, l_orderkey, l_linenumber FROM j JOIN lineitem ON l_shipdate BETWEEN a AND b AND l_orderkey % 10 = 1""")
+@q("j_36", """WITH j AS (SELECT DISTINCT o_orderdate AS a, o_orderdate + INTERVAL 2 DAY AS b FROM orders)
+SELECT a AS day, l_orderkey, l_linenumber FROM j JOIN lineitem ON l_shipdate BETWEEN a AND b""")
 def _(t: Tables):
-    jobs = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("job"), F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + F.expr("interval 2 days")).alias("b"))
-    return J.interval_join(t.lineitem.where("l_orderkey % 10 = 1").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_shipdate", jobs, "a", "b", 86_400_000_000).select("job", "l_orderkey", "l_linenumber")
+    jobs = t.orders.select(F.col("o_orderdate").alias("day")).distinct().select("day", F.col("day").alias("a"), (F.col("day") + F.expr("interval 2 days")).alias("b"))
+    return J.interval_join(t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate"), "l_shipdate", jobs, "a", "b", 86_400_000_000).select("day", "l_orderkey", "l_linenumber")
 
 
 @q("j_37", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a, part b WHERE a.p_size = 3 AND b.p_size < 20 AND len(list_filter(string_split(lower(a.p_name), ' '), lambda x: NOT list_contains(string_split(lower(b.p_name), ' '), x))) = 0")

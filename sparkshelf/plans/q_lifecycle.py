@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkshelf.operators import lifecycle as L
 from sparkshelf.operators import resolution as B
 from sparkshelf.plans.registry import Registry, Tables
+from sparkshelf.plans.sql_fuzzy import measures
 
 q = Registry()
 def count_all():
@@ -275,10 +276,10 @@ def _(t: Tables):
     return t.part.groupBy("p_type").agg(count_all().alias("n"), F.count_distinct("p_brand").alias("brands")).where("brands > 1").orderBy(F.desc("n"), "p_type")
 
 
-@q("aud_06")
+@q("aud_06", f"WITH n AS (SELECT DISTINCT p_name AS name FROM part), {measures('SELECT x.name AS a, y.name AS b FROM n x, n y WHERE x.name < y.name')} SELECT a, b, round(ts, 6)::DOUBLE AS score FROM fz WHERE ts >= 70")
 def _(t: Tables):
     """Part names that look alike."""
-    return B.similar_pairs(t.part.select("p_name"), "p_name", 70.0)
+    return B.similar_pairs(t.part.select("p_name"), "p_name", 70.0).withColumn("score", F.round("score", 6))
 
 
 @q("aud_07", """WITH x AS (SELECT value / 100 AS c FROM events WHERE value <= 100), t AS (SELECT unnest([0.5, 0.7, 0.9]) AS threshold) SELECT threshold::DOUBLE AS threshold, count(*) FILTER (c < threshold) AS rejected, round(100.0 * count(*) FILTER (c < threshold) / count(*), 4) AS pct FROM x, t GROUP BY 1""")

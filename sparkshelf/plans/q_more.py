@@ -13,6 +13,7 @@ from sparkshelf.operators import scoring as SC
 from sparkshelf.plans import q_lifecycle as QL
 from sparkshelf.plans import q_scoring as QS
 from sparkshelf.plans.registry import Registry, Tables
+from sparkshelf.plans.sql_fuzzy import measures
 from sparkshelf.sources import readers as R
 from sparkshelf.sources import writers as W
 from sparkshelf.streaming import streams as S
@@ -28,17 +29,17 @@ def _(t: Tables):
     return R.paged_items(pages, "body", "page", "url string, kind string", ("desktop",)).select("url")
 
 
-@q("src_11", "SELECT p_partkey AS kit_price, CAST(5 AS DOUBLE) AS add_on FROM part WHERE p_size < 5")
+@q("src_11", "SELECT p_partkey AS kit_price, CAST(5 AS DOUBLE) AS add_on FROM part")
 def _(t: Tables):
     opt = '{"body":{"options":{"chip":{"compatibleOptions":{"c":{"isSelected":true,"isBlocked":false,"priceDelta":0}}},"memory":{"compatibleOptions":{"16":{"isSelected":true,"isBlocked":false,"priceDelta":2},"32":{"isSelected":false,"isBlocked":false,"priceDelta":7}}}},"selectedKits":{"priceData":{"amount":'
     body = F.concat(F.lit(opt), F.col("p_partkey").cast("string"), F.lit("}}}}"))
-    return R.configurator(t.part.where("p_size < 5").select(body.alias("body")), "body").where("not is_included").select(F.col("kit_price").cast("bigint").alias("kit_price"), "add_on")
+    return R.configurator(t.part.select(body.alias("body")), "body").where("not is_included").select(F.col("kit_price").cast("bigint").alias("kit_price"), "add_on")
 
 
-@q("src_15", "SELECT p_partkey FROM part WHERE p_retailprice >= 1200 AND p_name LIKE 'blue%'")
+@q("src_15", "SELECT p_partkey FROM part WHERE p_retailprice >= 950 AND p_name LIKE 'blue%' AND p_size % 3 <> 0")
 def _(t: Tables):
-    rows = t.part.where("p_name like 'blue%'").select("p_partkey", "p_retailprice", F.concat(F.lit("ASUS ROG Strix "), "p_name").alias("title"))
-    return R.listings(rows, "title", "p_retailprice", F.lit("ROG Strix"), floor=1200.0).select("p_partkey")
+    rows = t.part.where("p_name like 'blue%'").select("p_partkey", "p_retailprice", F.concat(F.lit("ASUS ROG Strix "), "p_name", F.when(F.col("p_size") % 3 == 0, " Keyboard Cover").otherwise("")).alias("title"))
+    return R.listings(rows, "title", "p_retailprice", F.lit("ROG Strix"), floor=950.0).select("p_partkey")
 
 
 @q("fil_22", "SELECT p_partkey FROM part WHERE p_retailprice >= 800 AND p_size % 2 = 0")
@@ -53,19 +54,17 @@ def _(t: Tables):
     return E.admissible(o, o.where("value in ('1', '3')").select("chip", "option_group", "value"))
 
 
-@q("j_16", "SELECT p_name AS name, CAST(max(p_size) AS BIGINT) AS mark FROM part GROUP BY 1")
+@q("j_16", f"WITH {QS.MISSPELT}, {QS.resolved_sql(0.9)} SELECT mark, count(*) AS n FROM res GROUP BY 1")
 def _(t: Tables):
-    """Every name resolves to its own mark, whatever the case and spacing."""
-    names = t.part.select("p_name", F.concat(F.lit(" "), F.upper("p_name"), F.lit("  ")).alias("name"))
-    got = B.resolve(names, "name", QS.reference_marks(t))
-    return names.distinct().join(got, "name").select(F.col("p_name").alias("name"), "mark")
+    """How many misspelt names each mark gets."""
+    return B.resolve(QS.misspelt(t), "name", QS.reference_marks(t)).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("j_30", """WITH p AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS probe FROM part), d AS (SELECT doc_id, lower(text) || ' blue end' AS t FROM documents WHERE doc_id < 50)
+@q("j_30", """WITH p AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS probe FROM part), d AS (SELECT doc_id, lower(text) || ' blue end' AS t FROM documents)
 SELECT doc_id, probe, CAST(strpos(t, probe) - 1 AS INT) AS at FROM d, p WHERE strpos(t, probe) > 0 AND list_contains(string_split_regex(t, '[^\\p{L}\\p{N}]+'), probe)""")
 def _(t: Tables):
     probes = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("probe")).distinct().withColumn("value", F.col("probe"))
-    texts = t.documents.where("doc_id < 50").select("doc_id", F.concat("text", F.lit(" blue end")).alias("text"))
+    texts = t.documents.select("doc_id", F.concat("text", F.lit(" blue end")).alias("text"))
     return E.probe_hits(probes, texts, "doc_id", "text", most=1).select("doc_id", "probe", "at")
 
 
@@ -93,28 +92,38 @@ def _(t: Tables):
     return RT.shortlist(ranked, RT.Constraints(), "family", 20).select("id")
 
 
-@q("b_04", "SELECT p_partkey, CAST(p_size AS BIGINT) AS mark FROM part WHERE p_size BETWEEN 10 AND 40 AND p_partkey < 60")
+@q("b_04", "SELECT p_partkey, CASE WHEN p_size BETWEEN 10 AND 40 THEN CAST(p_size AS BIGINT) END AS mark FROM part WHERE p_size >= 10")
 def _(t: Tables):
+    """Names that share a part number with a reference, and names whose part number no reference has."""
     part = lambda c: F.concat(F.lit("X1E-"), c.cast("string"), F.lit("-100"))
     marks = t.spark.range(10, 41).select(F.concat(F.lit("Snapdragon X Elite - "), part(F.col("id")), F.lit(" - Qualcomm Oryon")).alias("name"), F.col("id").alias("mark"))
-    own = t.part.where("p_size between 10 and 40 and p_partkey < 60").select("p_partkey", F.concat(F.lit("Snapdragon X1E "), F.col("p_size").cast("string"), F.lit(" 100")).alias("cpu"))
+    own = t.part.where("p_size >= 10").select("p_partkey", F.concat(F.lit("Q X1E "), F.col("p_size").cast("string"), F.lit(" 100")).alias("cpu"))
     return own.join(B.resolve(own, "cpu", marks), "cpu").select("p_partkey", "mark")
 
 
-@q("b_06", "SELECT 0.9::DOUBLE AS cpu, 0.85::DOUBLE AS gpu")
+@q("b_06", f"""WITH {QS.MISSPELT}, {QS.resolved_sql(0.9, out="cpu")}, {QS.resolved_sql(0.85, out="gpu")}
+SELECT 'cpu' AS kind, count(mark) AS n FROM cpu UNION ALL SELECT 'gpu', count(mark) FROM gpu""")
 def _(t: Tables):
-    return t.spark.createDataFrame([(B.CPU_THRESHOLD, B.GPU_THRESHOLD)], "cpu double, gpu double")
+    """How many misspelt names reach each of the two thresholds."""
+    both = [B.resolve(QS.misspelt(t), "name", QS.reference_marks(t), least).agg(F.count("mark").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, least in (("cpu", B.CPU_THRESHOLD), ("gpu", B.GPU_THRESHOLD))]
+    return both[0].union(both[1])
 
 
-@q("b_08")
+@q("b_08", f"""WITH {QS.MISSPELT}, x AS (SELECT name, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS key FROM m UNION ALL SELECT 'Oryon X2P-64-100', 'oryon x2p64100'),
+l AS (SELECT ref, ref AS matched, mark FROM refs UNION ALL SELECT 'snapdragon x1e80100', 'Snapdragon X1E-80-100', 5), {measures("SELECT key AS a, ref AS b FROM x, l")},
+r AS (SELECT name, key, matched, mark, round(round(wr, 9) / 100, 3) AS confidence, row_number() OVER (PARTITION BY name ORDER BY round(wr, 9) DESC, ref) AS n FROM x JOIN fz ON a = key JOIN l ON ref = b WHERE wr > 0)
+SELECT name, CASE WHEN key LIKE '%x2p64100' THEN 'qualcomm_part_missing' ELSE 'fuzzy' END AS kind, CASE WHEN key LIKE '%x2p64100' THEN 'Exact part number X2P64100: no row carries it' END AS message, CAST(n AS INT) AS place, matched, mark, confidence::DOUBLE AS confidence FROM r WHERE n <= 3
+UNION ALL SELECT 'Unknown', 'placeholder', 'Placeholder, not a part name', NULL, NULL, NULL, NULL UNION ALL SELECT 'X1E 80 100', 'qualcomm_part', NULL, 1, 'Snapdragon X1E-80-100', 5, 1.0""")
 def _(t: Tables):
-    """The three nearest reference names of names that do not resolve."""
-    return B.candidates(t.part.where("p_partkey < 8").select(F.reverse("p_name").alias("name")), "name", QS.reference_marks(t))
+    """The three nearest references of misspelt names, of a placeholder and of part numbers with and without a reference."""
+    names = QS.misspelt(t).union(t.spark.createDataFrame([("Unknown",), ("X1E 80 100",), ("Oryon X2P-64-100",)], "name string"))
+    marks = QS.reference_marks(t).union(t.spark.createDataFrame([("Snapdragon X1E-80-100", 5)], "name string, mark bigint"))
+    return B.closest(names, "name", marks).select("name", "kind", "message", "place", "matched", "mark", "confidence")
 
 
-@q("r_13", "SELECT 'Office/Study' AS label")
+@q("r_13", "SELECT * FROM (VALUES ('  office/STUDY ', 'Office/Study'), ('gaming', 'Gaming'), ('Programming/development', 'Programming/Development')) v(given, label)")
 def _(t: Tables):
-    return t.spark.createDataFrame([(SC.purpose_label("  office/STUDY "),)], "label string")
+    return t.spark.createDataFrame([(g, SC.purpose_label(g)) for g in ("  office/STUDY ", "gaming", "Programming/development")], "given string, label string")
 
 
 @q("c_25", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'no_sku' WHEN p_partkey % 3 = 0 THEN 'unchanged' WHEN p_partkey % 3 = 1 THEN 'sku' ELSE 'insert' END AS plan FROM part")
@@ -138,10 +147,9 @@ def _(t: Tables):
     return E.retried(work, fetched, "o_orderkey")
 
 
-@q("c_29", "SELECT CASE WHEN p_size % 2 = 0 THEN 'matched' ELSE 'no match' END AS outcome, count(DISTINCT p_name || CASE WHEN p_size % 2 = 0 THEN '' ELSE 'q' END) AS n FROM part GROUP BY 1")
+@q("c_29", f"{QS.BEST} SELECT CASE WHEN matched IS NULL THEN 'no match' ELSE 'matched' END AS outcome, count(*) AS n FROM bf GROUP BY 1")
 def _(t: Tables):
-    titles = t.part.select(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.lit("qqqqqqqqqqqq zzzzzzzzzz "), F.substring("p_name", 1, 2), F.md5("p_name"))).alias("title"))
-    got = B.best_fuzzy(titles, "title", t.part.select("p_name").distinct(), "p_name", 73.0)
+    got = QS.best_titles(t)
     return E.outcome_counts(got.withColumn("outcome", F.when(F.col("matched").isNotNull(), "matched").otherwise("no match")), "outcome")
 
 
@@ -150,37 +158,42 @@ def _(t: Tables):
     return E.outcome_counts(t.conversations.withColumnRenamed("role", "outcome"), "outcome")
 
 
-@q("c_32", "SELECT p_partkey FROM part WHERE p_size % 2 = 0 AND p_partkey < 100")
+@q("c_32", "SELECT p_partkey FROM part WHERE p_size % 4 = 0")
 def _(t: Tables):
     preview = t.part.select("p_partkey", F.lit("matched").alias("outcome"), F.when(F.col("p_size") % 2 == 0, "differs").otherwise("confirm").alias("decision"))
-    return E.decide(preview, preview.where("decision = 'differs' and p_partkey < 100").select("p_partkey"), ["p_partkey"])
+    return E.decide(preview, t.part.where("p_size % 4 = 0").select("p_partkey"), ["p_partkey"])
 
 
-@q("aud_04", "SELECT count(DISTINCT p_name) AS n FROM part WHERE p_size % 3 = 0")
+@q("aud_04", f"{QS.BEST} SELECT title, matched FROM bf WHERE matched IS NOT NULL AND length(title) % 2 = 0")
 def _(t: Tables):
-    human = t.part.where("p_size % 3 = 0").select(F.col("p_name").alias("title"))
-    return B.best_fuzzy(human, "title", t.part.select("p_name").distinct(), "p_name", 73.0).where("matched is not null").agg(F.count(F.lit(1)).alias("n"))
+    """Titles that a person has linked (here: those of even length) and that a run would link by itself."""
+    return QS.best_titles(t).where("matched is not null and length(title) % 2 = 0").select("title", "matched")
 
 
-@q("aud_09", "SELECT p_name AS name, true AS itself FROM part GROUP BY 1")
+@q("aud_09", f"WITH {QS.MISSPELT}, z AS (SELECT name FROM m UNION SELECT ref FROM refs), {QS.resolved_sql(0.9, names='z')} SELECT name, coalesce(matched = name, false) AS itself FROM res")
 def _(t: Tables):
+    """Targets of a mapping, some of them misspelt: which resolve to themselves."""
     marks = QS.reference_marks(t)
-    return B.resolve(marks, "name", marks).select("name", (F.col("matched") == F.col("name")).alias("itself"))
+    targets = QS.misspelt(t).union(marks.select("name")).distinct()
+    return B.resolve(targets, "name", marks).select("name", F.coalesce(F.col("matched") == F.col("name"), F.lit(False)).alias("itself"))
 
 
-@q("aud_13", "SELECT DISTINCT p_name FROM part")
+@q("aud_13", f"""WITH {QS.MISSPELT}, i AS (SELECT p_name AS b, max(p_partkey) AS id FROM part GROUP BY 1), {measures("SELECT name AS a, ref AS b FROM m, refs")}
+SELECT a AS name, id, round(s, 6)::DOUBLE AS score FROM (SELECT a, id, round(ts, 9) AS s, row_number() OVER (PARTITION BY a ORDER BY round(ts, 9) DESC, round(r, 9) DESC, id DESC) AS n FROM fz JOIN i USING (b) WHERE ts > 0) WHERE n = 1""")
 def _(t: Tables):
     ref = t.part.groupBy(F.col("p_name").alias("b")).agg(F.max("p_partkey").alias("id"))
-    return E.nearest_compound(t.part.select("p_name"), "p_name", ref, "b", "id").where("score = 100").select("p_name")
+    return E.nearest_compound(QS.misspelt(t), "name", ref, "b", "id").withColumn("score", F.round("score", 6))
 
 
-@q("aud_14", "SELECT p_name AS name, CAST(max(p_size) AS BIGINT) AS before, CAST(max(p_size) AS BIGINT) AS after, count(*) AS n FROM part GROUP BY 1")
+@q("aud_14", f"""WITH {QS.MISSPELT}, w AS (SELECT DISTINCT regexp_replace(name, 'x$', '') AS name FROM m), {QS.resolved_sql(0.9, out="one")}, {QS.resolved_sql(0.9, names="w", out="two")}
+SELECT one.name, one.mark AS before, two.mark AS after FROM one JOIN two ON two.name = regexp_replace(one.name, 'x$', '')""")
 def _(t: Tables):
-    marks = QS.reference_marks(t)
-    one = B.resolve(marks, "name", marks).select("name", F.col("mark").alias("before"))
-    upper = marks.select(F.upper("name").alias("name"))
-    two = B.resolve(upper, "name", marks).select(F.lower("name").alias("name"), F.col("mark").alias("after"))
-    return t.part.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).join(one, "name").join(two, "name")
+    """Marks of misspelt names before and after a rewrite that takes off a last x."""
+    marks, names = QS.reference_marks(t), QS.misspelt(t)
+    rewritten = F.regexp_replace("name", "x$", "")
+    two = B.resolve(names.select(rewritten.alias("to")), "to", marks).select("to", F.col("mark").alias("after"))
+    one = B.resolve(names, "name", marks).select("name", F.col("mark").alias("before")).withColumn("to", rewritten)
+    return one.join(two, "to").select("name", "before", "after")
 
 
 @q("aud_16", f"WITH {QL.LINKS} SELECT count(DISTINCT review_id) AS reviews, count(*) AS links, count(*) FILTER (config_id IS NULL) AS open FROM e")
@@ -189,10 +202,9 @@ def _(t: Tables):
     return e.agg(F.count_distinct("review_id").alias("reviews"), F.count(F.lit(1)).alias("links"), F.count_if(F.col("config_id").isNull()).alias("open"))
 
 
-@q("aud_20", "SELECT 'single' AS bucket, count(DISTINCT p_name) AS n FROM part")
+@q("aud_20", f"{QS.BEST} SELECT CASE WHEN tied <= 1 THEN 'single' WHEN tied <= 3 THEN 'few' ELSE 'many' END AS bucket, count(*) AS n, round(avg(gap), 6) AS mean_gap FROM bf GROUP BY 1")
 def _(t: Tables):
-    got = B.best_fuzzy(t.part.select(F.col("p_name").alias("title")), "title", t.part.select("p_name").distinct(), "p_name", 73.0)
-    return E.tie_profile(got).select("bucket", "n")
+    return E.tie_profile(QS.best_titles(t)).select("bucket", "n", F.round("mean_gap", 6).alias("mean_gap"))
 
 
 @q("str_11", "SELECT p_partkey, lower(p_name) AS v FROM part")
@@ -200,14 +212,21 @@ def _(t: Tables):
     return t.part.select("p_partkey", B.match_key(F.concat(F.upper("p_name"), F.lit(" (2024) Laptop  SSD"))).alias("v"))
 
 
-@q("str_25", "SELECT p_partkey, 100.0::DOUBLE AS v FROM part")
+def name_pairs(t: Tables):
+    return QS.misspelt(t).select(F.col("name").alias("a")).join(t.part.select(F.col("p_name").alias("b")).distinct(), F.length("a") - 1 == F.length("b"))
+
+
+PAIRS = f"WITH {QS.MISSPELT}, {measures('SELECT name AS a, ref AS b FROM m, refs WHERE length(name) - 1 = length(ref)')}"
+
+
+@q("str_25", f"{PAIRS} SELECT a, b, round(ts, 6)::DOUBLE AS v FROM fz")
 def _(t: Tables):
-    return t.part.select("p_partkey", similarity.token_set("p_name", F.concat(F.lit("zzz "), "p_name")).alias("v"))
+    return name_pairs(t).select("a", "b", F.round(similarity.token_set("a", "b"), 6).alias("v"))
 
 
-@q("str_26", "SELECT p_partkey, 100.0::DOUBLE AS v FROM part")
+@q("str_26", f"{PAIRS} SELECT a, b, round(wr, 6)::DOUBLE AS v FROM fz")
 def _(t: Tables):
-    return t.part.select("p_partkey", similarity.w_ratio("p_name", "p_name").alias("v"))
+    return name_pairs(t).select("a", "b", F.round(similarity.w_ratio("a", "b"), 6).alias("v"))
 
 
 @q("snk_05", "SELECT conv_id, turn, 'new' AS text FROM conversations WHERE conv_id % 2 = 0 AND turn % 2 = 0 UNION ALL SELECT conv_id, turn, 'old' FROM conversations WHERE conv_id % 2 = 1")

@@ -8,6 +8,7 @@ from sparkshelf.operators import resolution as B
 from sparkshelf.operators import retrieval as R
 from sparkshelf.operators import scoring as S
 from sparkshelf.plans.registry import Registry, Tables
+from sparkshelf.plans.sql_fuzzy import measures
 
 q = Registry()
 
@@ -44,13 +45,19 @@ SCORES = f"""WITH {PRODUCTS}, {MAPS}, x AS ({PCT}), s AS (SELECT *, CASE WHEN pr
 p_ram_gb * 0.6::DOUBLE + (CASE WHEN hdd THEN greatest(0, p_storage_gb - 15) ELSE p_storage_gb END) * 0.4::DOUBLE AS s_ram_storage, CASE WHEN weight_kg IS NULL THEN 50 ELSE 100 - p_weight_kg END AS s_portability, p_battery_wh AS s_battery FROM x)"""
 
 
+FACTORS = "price cpu gpu ram_storage portability battery screen_size brand".split()
+#: The profiles once more, so that the SQL does not take them from the code under test.
+RAW = {"office_study": (9, 6, 2, 5, 7, 8, 2, 1), "programming": (6, 9, 3, 9, 4, 6, 4, 1), "gaming": (4, 8, 10, 7, 1, 1, 4, 1), "creative_work": (3, 8, 9, 8, 3, 3, 5, 1), "general_use": (9, 7, 2, 7, 6, 6, 4, 2)}
+PROFILE_ROWS = ", ".join(f"('{n}', '{f}', {w})" for n, v in RAW.items() for f, w in zip(FACTORS, v))
+
+
 def _total(profile: str) -> str:
-    w = S.weights(profile=S.PROFILES[profile])
-    scored = " + ".join(f"s_{f} * {w[f]!r}::DOUBLE" for f in S.FACTORS[:6])
+    w = {f: x / sum(RAW[profile]) for f, x in zip(FACTORS, RAW[profile])}
+    scored = " + ".join(f"s_{f} * {w[f]!r}::DOUBLE" for f in FACTORS[:6])
     return f"CASE WHEN cpu_mark IS NULL AND gpu_mark IS NULL THEN NULL ELSE CAST(greatest(0, least(100, round_even({scored} + 50 * {w['screen_size']!r}::DOUBLE + 50 * {w['brand']!r}::DOUBLE, 0))) AS INT) END"
 
 
-ALL_SCORES = SCORES + " " + " UNION ALL ".join(f"SELECT id, '{n}' AS use_case, {_total(n)} AS score FROM s" for n in S.PROFILES)
+ALL_SCORES = SCORES + " " + " UNION ALL ".join(f"SELECT id, '{n}' AS use_case, {_total(n)} AS score FROM s" for n in RAW)
 
 
 def scored(t: Tables):
@@ -76,11 +83,13 @@ def _(t: Tables):
     return scorable(t).select("id", S.brand_score({"brand_preferences": ["Brand#12"]}).alias("score"))
 
 
-@q("f_09")
+@q("f_09", f"""WITH r AS (SELECT use_case, factor, w::DOUBLE AS w FROM (VALUES {PROFILE_ROWS}) v(use_case, factor, w) UNION ALL SELECT 'personal', factor, w::DOUBLE * boost * carry FROM (VALUES
+('price', 4, 1.3, 1.0), ('cpu', 9, 1.2, 1.0), ('gpu', 1, 1.3, 1.0), ('ram_storage', 1, 1.1, 1.0), ('portability', 1, 1.2, 1.4), ('battery', 1, 1.2, 1.0), ('screen_size', 1, 1.0, 1.0), ('brand', 1, 1.0, 1.0)) p(factor, w, boost, carry))
+SELECT use_case, factor, round(w / sum(w) OVER (PARTITION BY use_case), 9) AS weight FROM r""")
 def _(t: Tables):
     """Weight vectors of all profiles and of one preference."""
     w = {n: S.weights(profile=p) for n, p in S.PROFILES.items()} | {"personal": S.weights({"priorities": {"cpu": 9, "price": 4}, "purpose": ["Gaming", "Office/Study"], "portability": "Yes, daily"})}
-    return t.spark.createDataFrame([(n, f, x) for n, v in w.items() for f, x in v.items()], "use_case string, factor string, weight double")
+    return t.spark.createDataFrame([(n, f, round(x, 9)) for n, v in w.items() for f, x in v.items()], "use_case string, factor string, weight double")
 
 
 @q("f_10", f"{SCORES} SELECT id, {_total('general_use')} AS score FROM s")
@@ -88,7 +97,7 @@ def _(t: Tables):
     return S.score(S.with_percentiles(scorable(t)), {"general_use": S.PROFILES["general_use"]}).select("id", "score")
 
 
-@q("f_11")
+@q("f_11", f"SELECT use_case, factor, w::DOUBLE AS weight FROM (VALUES {PROFILE_ROWS}) v(use_case, factor, w)")
 def _(t: Tables):
     """The fixed profiles."""
     return t.spark.createDataFrame([(n, f, float(w)) for n, p in S.PROFILES.items() for f, w in p.items()], "use_case string, factor string, weight double")
@@ -138,9 +147,48 @@ def reference_marks(t: Tables):
     return t.part.groupBy(F.col("p_name").alias("name")).agg(F.max("p_size").cast("bigint").alias("mark"))
 
 
-@q("b_01", "SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' ' || p_name), '\\s+', ' ', 'g')) AS name FROM part")
+def misspelt(t: Tables):
+    """Names of parts with a letter too many, one too few, in capitals with wide spaces, or turned round with words added; by brand."""
+    k, first, second = F.substring("p_brand", 7, 9).cast("int"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    other = F.concat(second, F.lit(" "), first, F.lit(" gen "), k.cast("string"))
+    name = F.when(k % 4 == 0, F.concat("p_name", F.lit("x"))).when(k % 4 == 1, F.expr("substr(p_name, 2)")).when(k % 4 == 2, F.upper(F.replace("p_name", F.lit(" "), F.lit("  ")))).otherwise(other)
+    return t.part.select(name.alias("name")).distinct()
+
+
+MISSPELT = """m AS (SELECT DISTINCT CASE k % 4 WHEN 0 THEN p_name || 'x' WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN upper(replace(p_name, ' ', '  ')) ELSE split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || ' gen ' || k END AS name
+FROM (SELECT p_name, CAST(substr(p_brand, 7) AS INT) AS k FROM part)), refs AS (SELECT p_name AS ref, CAST(max(p_size) AS BIGINT) AS mark FROM part GROUP BY 1)"""
+
+
+def resolved_sql(threshold: float, names: str = "m", out: str = "res") -> str:
+    """Entries up to ``out`` (name, mark, matched, confidence): every name against every reference."""
+    keyed = f"{out}_k AS (SELECT name, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS key FROM {names})"
+    scored = measures(f"SELECT key AS a, ref AS b FROM {out}_k, refs").replace("fz", f"{out}_f")
+    return f"""{keyed}, {scored}, {out}_t AS (SELECT name, b, mark, CASE WHEN a = b THEN 1.0 ELSE round(wr, 9) / 100 END AS c, row_number() OVER (PARTITION BY name ORDER BY a = b DESC, round(wr, 9) DESC, b) AS n FROM {out}_k JOIN {out}_f ON a = key JOIN refs ON ref = b),
+{out} AS (SELECT name, CASE WHEN c >= {threshold} THEN mark END AS mark, CASE WHEN c >= {threshold} THEN b END AS matched, round(c, 6)::DOUBLE AS confidence FROM {out}_t WHERE n = 1)"""
+
+
+#: ``bf`` (title, matched, score, gap, tied): the misspelt names against all part names by token-set ratio, threshold 73.
+BEST = f"""WITH {MISSPELT}, {measures("SELECT name AS a, ref AS b FROM m, refs")}, s AS (SELECT a, b, round(ts, 9) AS v FROM fz WHERE ts > 0), t AS (SELECT a, max(v) AS top FROM s GROUP BY 1),
+bf AS (SELECT name AS title, CASE WHEN max(top) >= 73 THEN min(b) FILTER (v = top) END AS matched, round(coalesce(max(top), 0), 6)::DOUBLE AS score, round(max(top) - max(v) FILTER (v < top), 6)::DOUBLE AS gap, CAST(count(*) FILTER (v = top) AS INT) AS tied
+FROM m LEFT JOIN s ON s.a = name LEFT JOIN t ON t.a = name GROUP BY 1)"""
+
+
+def best_titles(t: Tables):
+    names = t.part.select("p_name").distinct()
+    got = B.best_fuzzy(misspelt(t).withColumnRenamed("name", "title"), "title", names, "p_name", 73.0)
+    return got.withColumns({"score": F.round("score", 6), "gap": F.round("gap", 6), "tied": F.col("tied").cast("int")})
+
+
+@q("b_01", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN b || ' ' || n || ' 9' WHEN 1 THEN b || ' ' || n || ' ' || p_size || ' core gpu' WHEN 2 THEN n || ' x1e78' || lpad(CAST(p_size AS VARCHAR), 3, '0') || ' ' || b WHEN 3 THEN 'apple ' || n ELSE n || ' fi ' || b END AS name
+FROM (SELECT p_partkey, p_size, lower(p_brand) AS b, lower(p_name) AS n FROM part)""")
 def _(t: Tables):
-    return t.part.select("p_partkey", B.normal_name(F.concat("p_brand", F.lit("  "), "p_name")).alias("name"))
+    """Names with marks, the word processor, core counts, split part numbers, a frame, compatibility forms."""
+    k, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    count = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" ("), size, F.lit("-Core) GPU"))).otherwise(F.concat(F.lit("  "), size, F.lit(" core GPU")))
+    part = F.concat(F.lit(" X1E-78-"), F.lpad(size, 3, "0"), F.lit(" "))
+    name = F.when(k == 0, F.concat("p_brand", F.lit("\u00ae Processor  "), "p_name", F.lit("\u2122 9"))).when(k == 1, F.concat("p_brand", F.lit(" "), F.upper("p_name"), count)).when(k == 2, F.concat("p_name", part, "p_brand"))
+    name = name.when(k == 3, F.concat(F.lit("ARM Apple "), "p_name", F.lit(" 0 MHz"))).otherwise(F.concat("p_name", F.lit("  \ufb01 "), "p_brand"))
+    return t.part.select("p_partkey", B.normal_name(name).alias("name"))
 
 
 @q("b_02", "SELECT doc_id, coalesce(lower(trim(lang)) IN ('', 'unknown', 'n/a', 'none', '-'), true) AS p FROM documents")
@@ -153,14 +201,14 @@ def _(t: Tables):
     return t.part.select("p_partkey", B.has_anchor(F.col("p_brand")).alias("anchored"))
 
 
-@q("b_05")
+@q("b_05", f"WITH {MISSPELT}, {resolved_sql(0.85)} SELECT * FROM res")
 def _(t: Tables):
     """Misspelt names against the reference list."""
-    names = t.part.where("p_partkey <= 60").select(F.concat(F.col("p_name"), F.lit("x")).alias("name"))
-    return B.resolve(names, "name", reference_marks(t), B.GPU_THRESHOLD)
+    return B.resolve(misspelt(t), "name", reference_marks(t), B.GPU_THRESHOLD).withColumn("confidence", F.round("confidence", 6))
 
 
-@q("b_07")
+@q("b_07", """SELECT * FROM (VALUES ('NVIDIA GeForce RTX 4050', 'Core i7', 14000::BIGINT, 'laptop_variant', false), ('10-core GPU', 'Apple M5', 6000, 'apple_equivalent', true), ('AMD Radeon Graphics', 'AMD Ryzen 7 7730U', 1000, 'integrated', true),
+('Unknown', 'Mystery', NULL, 'unresolved', true), ('GeForce RTX 4070 Laptop GPU', 'x', 18000, 'direct', false)) v(gpu, cpu, gpu_mark, gpu_resolution, gpu_is_proxy)""")
 def _(t: Tables):
     """The resolution ladder on a small list of GPU and CPU names."""
     pairs = t.spark.createDataFrame([("NVIDIA GeForce RTX 4050", "Core i7"), ("10-core GPU", "Apple M5"), ("AMD Radeon Graphics", "AMD Ryzen 7 7730U"), ("Unknown", "Mystery"), ("GeForce RTX 4070 Laptop GPU", "x")], "gpu string, cpu string")
@@ -169,16 +217,15 @@ def _(t: Tables):
     return B.resolve_gpu(pairs, "gpu", "cpu", marks, built_in)
 
 
-@q("j_14")
+@q("j_14", f"{BEST} SELECT title, matched, score FROM bf")
 def _(t: Tables):
-    """Page hosts against supplier names by token-set ratio."""
-    names = t.part.where("p_size = 5").select(F.concat_ws(" ", "p_name", "p_brand").alias("title"))
-    return B.best_fuzzy(names, "title", t.part.select("p_name").distinct(), "p_name", 73.0)
+    """Misspelt titles against part names by token-set ratio."""
+    return best_titles(t).select("title", "matched", "score")
 
 
-@q("j_15", "SELECT p_name AS title, 100.0::DOUBLE AS score, CAST(1 AS INT) AS tied FROM part GROUP BY p_name")
+@q("j_15", f"{BEST} SELECT title, score, gap, tied FROM bf")
 def _(t: Tables):
-    return B.best_fuzzy(t.part.select(F.col("p_name").alias("title")), "title", t.part.select("p_name").distinct(), "p_name", 73.0).select("title", "score", "tied")
+    return best_titles(t).select("title", "score", "gap", "tied")
 
 
 # -- retrieval ---------------------------------------------------------------------------------------------------------
@@ -222,9 +269,11 @@ def _(t: Tables):
     return scorable(t).select("id", R.weight_penalty(F.col("weight_kg"), 2.0).alias("penalty"))
 
 
-@q("r_05", f"WITH {PRODUCTS} SELECT id, 0.08::DOUBLE AS bonus FROM p")
+@q("r_05", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 0.04 WHEN 1 THEN 0.08 ELSE 0.0 END::DOUBLE AS bonus FROM part")
 def _(t: Tables):
-    return scorable(t).select("id", R.purpose_bonus(F.col("cpu_model"), LIMITS.purpose).alias("bonus"))
+    """A word of one purpose, of both, of none."""
+    cpu = F.when(F.col("p_partkey") % 3 == 0, "Apple M3").when(F.col("p_partkey") % 3 == 1, "Core I7").otherwise("Celeron")
+    return t.part.select(F.col("p_partkey").alias("id"), R.purpose_bonus(cpu, LIMITS.purpose).alias("bonus"))
 
 
 @q("r_06", f"WITH {PRODUCTS} SELECT id, ({BRAND})::DOUBLE AS bonus FROM p")

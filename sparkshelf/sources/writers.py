@@ -24,37 +24,74 @@ class Versioned:
         p = jvm.org.apache.hadoop.fs.Path(at)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[str]:
-        """Committed versions, oldest first."""
+    def _commits(self) -> dict[int, str]:
+        """Number of each commit -> its folder. A commit that is being written is not one yet."""
         fs, p = self._fs(f"{self.path}/_commits")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        found: dict[int, str] = {}
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            if s.getPath().getName().isdigit():
+                stream = fs.open(s.getPath())
+                name = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+                if name.endswith("."):
+                    found[int(s.getPath().getName())] = name[:-1]
+        return found
+
+    def versions(self) -> list[str]:
+        """Folders of the committed versions, oldest first."""
+        return [name for _, name in sorted(self._commits().items())]
 
     def read(self, back: int = 0) -> DataFrame | None:
         """The newest version, or one ``back`` versions before it; None if there is none."""
         found = self.versions()
-        if len(found) <= back:
-            return None
-        return self.spark.read.parquet(f"{self.path}/{found[-1 - back].split('-', 1)[1]}")
+        return self.spark.read.parquet(f"{self.path}/{found[-1 - back]}") if len(found) > back else None
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Writes all rows first, then commits by creating one empty file."""
+    def _stored(self, df: DataFrame) -> str:
         name = uuid.uuid4().hex
         df.write.parquet(f"{self.path}/{name}")
-        number = len(self.versions())
-        fs, p = self._fs(f"{self.path}/_commits/{number:09d}-{name}")
-        if not fs.createNewFile(p):
-            raise RuntimeError("the version is already committed")
+        return name
+
+    def _commit(self, number: int, name: str) -> bool:
+        """Creates the file of this number, which names the folder; False if another writer has taken the number. Only one can create it."""
+        fs, p = self._fs(f"{self.path}/_commits/{number:09d}")
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            if fs.exists(p):
+                return False
+            raise e
+        out.write(bytearray(f"{name}.", "ascii"))
+        out.close()
+        return True
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Writes all rows first, then commits by creating one file under the next free number: of writers at once the last one holds."""
+        name = self._stored(df)
+        number = max(self._commits(), default=-1) + 1
+        while not self._commit(number, name):
+            number += 1
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def update(self, change: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
-        return self.write(change(self.read()))
+    def update(self, change: Callable[[DataFrame | None], DataFrame], attempts: int = 20) -> DataFrame:
+        """Commits change of the newest version as the one after it; if another writer was first, change is done again on theirs, so no
+        update is lost."""
+        for _ in range(attempts):
+            commits = self._commits()
+            last = max(commits, default=-1)
+            name = self._stored(change(self.spark.read.parquet(f"{self.path}/{commits[last]}") if commits else None))
+            if self._commit(last + 1, name):
+                return self.spark.read.parquet(f"{self.path}/{name}")
+        raise RuntimeError(f"other writers were first {attempts} times")
 
     def rollback(self) -> DataFrame:
-        """Commits the version before the newest again."""
-        old = self.read(1)
-        if old is None:
+        """Commits the folder of the version before the newest again; no row is rewritten."""
+        commits = self._commits()
+        if len(commits) < 2:
             raise ValueError("there is no earlier version")
-        return self.write(old)
+        name = commits[sorted(commits)[-2]]
+        if not self._commit(max(commits) + 1, name):
+            raise RuntimeError("another writer was first")
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
 
 def upsert(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,7 +215,16 @@ def report_lines(report: list[dict]) -> str:
     return "\n".join(lines)
 
 
-def append_trace(df: DataFrame, path: str, limit: int = 2000) -> None:
-    """Appends rows as JSON lines, texts cut to ``limit`` characters."""
+def append_trace(df: DataFrame, path: str) -> None:
+    """Appends rows as JSON lines, whole."""
+    df.write.mode("append").json(path)
+
+
+#: Fixed value: characters of a preview.
+PREVIEW = 2000
+
+
+def append_telemetry(df: DataFrame, path: str, limit: int = PREVIEW) -> None:
+    """Appends rows as JSON lines, texts cut to previews of ``limit`` characters."""
     cut = [F.left(c, F.lit(limit)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
-    df.select(*cut).write.mode("append").json(path)
+    append_trace(df.select(*cut), path)

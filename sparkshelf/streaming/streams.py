@@ -144,6 +144,7 @@ class VersionedCache:
         return self.held[1]
 
 
+#: The transitions of a work queue.
 QUEUE = {"pending": ("scraped", "failed", "html_uploaded"), "failed": ("pending", "scraped"), "html_uploaded": ("scraped", "failed"), "scraped": ("pending",)}
 
 

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from sparkshelf.operators import joins as J
 from sparkshelf.operators import lifecycle as L
 from sparkshelf.sources import readers as R
 from sparkshelf.sources import writers as W
@@ -22,7 +23,28 @@ def test_versions_commit_and_roll_back(spark, tmp_path):
         t.write(spark.range(1).withColumn("x", F.raise_error(F.lit("boom"))))
     assert t.read().count() == 5
     t.rollback()
-    assert t.read().count() == 3 and len(t.versions()) == 3
+    assert t.read().count() == 3 and len(t.versions()) == 3 and len(set(t.versions())) == 2
+
+
+def test_no_update_is_lost(spark, tmp_path):
+    one, two = W.Versioned(spark, f"file://{tmp_path}/t"), W.Versioned(spark, f"file://{tmp_path}/t")
+    one.write(spark.range(1))
+
+    def slow(old):
+        if two.read().count() == 1:  # the other writer commits while this one is at it
+            two.update(lambda x: x.union(spark.range(10, 12)))
+        return old.union(spark.range(20, 25))
+
+    one.update(slow)
+    assert one.read().count() == 8 and len(one.versions()) == 3
+    names = [one._stored(spark.range(1)) for _ in range(2)]
+    assert [one._commit(7, n) for n in names] == [True, False]
+
+
+def test_exists_on_any_key_keeps_repeats(spark):
+    df = spark.createDataFrame([(1, 2), (1, 2), (3, 4), (None, 9), (None, None)], "a int, b int")
+    other = spark.createDataFrame([(1, 2), (1, 7), (None, 9)], "x int, y int")
+    assert sorted(map(tuple, J.semi_any(df, other, [("a", "x"), ("b", "y")]).collect()), key=str) == [(1, 2), (1, 2), (None, 9)]
 
 
 def test_merge_never_blanks(spark):
@@ -54,7 +76,7 @@ def test_other_writers(spark, tmp_path):
     assert sorted(map(tuple, W.replace_auto_links(links, m).collect())) == [(1, "auto", 9), (1, "human", 6)]
     header = spark.createDataFrame([("h1",)], "file_hash string")
     assert W.load_once(header, header).count() == 0 and W.load_once(None, header).count() == 1
-    W.append_trace(spark.createDataFrame([("x" * 50, 1)], "a string, b int"), f"file://{tmp_path}/log", 10)
+    W.append_telemetry(spark.createDataFrame([("x" * 50, 1)], "a string, b int"), f"file://{tmp_path}/log", 10)
     W.append_trace(spark.createDataFrame([("y", 2)], "a string, b int"), f"file://{tmp_path}/log")
     assert sorted(r["a"] for r in R.json_lines(spark, f"file://{tmp_path}/log", "a string, b int").collect()) == ["x" * 10, "y"]
 
