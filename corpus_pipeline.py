@@ -1,14 +1,16 @@
 """A corpus pipeline: quality rules, near-duplicates, decontamination, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
-columns of documents."""
+columns of documents, extra columns included, with the values that they came with. Nulls: a null text is an empty one (rejected by the
+quality rules), a null doc_id is a document of its own that near-duplicates keep, a null source is a source. Texts of any length are
+worked on whole; repeated rows share a fate; ties go by doc_id or by a hash of id and text; an empty table gives empty results."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkshelf.llm.common import table, written
+from sparkshelf.llm.common import drop_written, table, written
 from sparkshelf.llm.decontaminate import keep_clean
 from sparkshelf.llm.mixing import mixed
 from sparkshelf.llm.quality_rules import keep_good
@@ -48,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents. Each stage's rows are written to the shared folder and read by the next, after which they go; those of the
+    last but one stay until the token files are read."""
+    docs = source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if docs is not source:
+            drop_written(spark, docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
