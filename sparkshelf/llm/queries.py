@@ -1,4 +1,4 @@
-"""The queries of this subpackage, one for each numbered operator and the pipeline."""
+"""The queries of this subpackage, one for each numbered operator."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import decontaminate, fixity, pseudo_lm, url_filter
 from .common import shared_dir, table
 from .mixing import mix
@@ -95,7 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
-        "pipeline": corpus_pipeline.run,
     }
 
 
