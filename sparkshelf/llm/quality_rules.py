@@ -159,6 +159,7 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Da
     facts = docs.select(measures(F.col(text)).alias("m")).select("m.*").select(F.array(*votes()).alias("votes"))
     table = posteriors(facts).where(F.col("p_good") >= threshold).select("votes")
     m, row = fresh(docs, "m"), fresh(docs, "row")
-    judged = docs.select(F.struct(*docs.columns).alias(row), measures(F.col(text)).alias(m)).select(row, f"{m}.*")
+    once = measures.asNondeterministic()  # else the filter and the votes each measure every text again
+    judged = docs.select(F.struct(*docs.columns).alias(row), once(F.col(text)).alias(m)).select(row, f"{m}.*")
     judged = judged.where(~base_failed()).select(row, F.array(*votes()).alias("votes"))
     return judged.join(F.broadcast(table), "votes", "left_semi").select(f"{row}.*")
