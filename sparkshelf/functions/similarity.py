@@ -162,14 +162,20 @@ class References:
         joined = " ".join(sorted(words))
         bag = np.minimum(self.bags, _columns(text)).sum(1).astype(float)
         part = lambda common: np.minimum(100.0, 200 * common / np.maximum(common + np.minimum(self.size["set"], len(joined)), 1e-9)) + 1e-6
-        shared = np.zeros(n, bool)
+        same, many = np.zeros(n), np.zeros(n)  # characters of common words, and how many these are
         for w in words:
             if w in self.holders:
-                shared[self.holders[w]] = True
+                same[self.holders[w]] += len(w)
+                many[self.holders[w]] += 1
+        shared = many > 0
+        same += np.maximum(many - 1, 0)
+        # token sets: the common words against either side are known by their lengths, the two sides have no more in common than the bags
+        sides = 200 * same / np.maximum(same + np.minimum(self.size["set"], len(joined)), 1e-9)
+        sets = np.minimum(100.0, np.maximum(sides, 200 * bag / np.maximum(self.size["set"] + len(joined), 1e-9))) + 1e-6
         empty = (self.size["set"] == 0) | (not words)
         able = (self.size["plain"] <= LANE) & (len(text) <= LANE)
         if measure is token_set_ratio:
-            low, high = np.zeros(n), part(bag)
+            low, high = np.maximum(sides - 1e-6, 0.0), sets
             if len(text) <= LANE:
                 exact = self._ratio(joined, "set")
                 low, high = np.where(able & ~shared, exact, low), np.where(able & ~shared, exact, high)
@@ -180,15 +186,16 @@ class References:
         scale = np.where(longer > 8, 0.6, 0.9)
         whole = longer < 1.5
         some = np.where(shared, 95.0, 0.0)
-        low, high = np.zeros(n), np.maximum(200 * bag / np.maximum(self.size["plain"] + len(text), 1e-9) + 1e-6, np.where(whole, 0.95 * part(bag), scale * np.maximum(part(bag), some)))
+        low, high = np.zeros(n), np.maximum(200 * bag / np.maximum(self.size["plain"] + len(text), 1e-9) + 1e-6, np.where(whole, 0.95 * sets, scale * np.maximum(part(bag), some)))
         if len(text) <= LANE:
-            plain, common = self._ratio(text, "plain"), self._common(text, "plain")
+            common = self._common(text, "plain")
+            plain = 200 * common / np.maximum(self.size["plain"] + len(text), 1)
             in_order = np.maximum(plain, 0.95 * self._ratio(_sorted(text), "sorted"))
             apart = np.maximum(in_order, 0.95 * self._ratio(joined, "set"))
             # a window has no more in common than the whole, sorted words no more than the bag
             window = np.where(shared, part(common), part(bag))
-            at_least = np.where(whole, np.where(shared, in_order, apart), np.maximum(plain, scale * some))
-            at_most = np.where(whole, np.where(shared, np.maximum(in_order, 0.95 * part(bag)), apart), np.maximum(at_least, scale * window))
+            at_least = np.where(whole, np.where(shared, np.maximum(in_order, 0.95 * sides - 1e-6), apart), np.maximum(plain, scale * some))
+            at_most = np.where(whole, np.where(shared, np.maximum(in_order, 0.95 * sets), apart), np.maximum(at_least, scale * window))
             low, high = np.where(able, at_least, low), np.where(able, at_most, high)
         return np.where(self.size["plain"] == 0, 0.0, low), np.where(self.size["plain"] == 0, 0.0, high)
 

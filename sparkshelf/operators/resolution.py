@@ -118,21 +118,26 @@ BLOCK, TOGETHER, MOST_SENT = 4096, 16, 50_000
 MEASURES = {"token_set": similarity.token_set_ratio, "weighted": similarity.weighted_ratio}
 
 
-def _packed(texts: DataFrame, each: int) -> tuple[DataFrame, int, int]:
-    """(part, texts): distinct texts in parts of about ``each`` by hash; how many parts and texts there are."""
-    n = texts.count()
+def _about(df: DataFrame, column: str) -> int:
+    """How many distinct strings a column holds, by a sketch: for the number of parts, on inputs that are cheap to read."""
+    return df.agg(F.approx_count_distinct(column)).first()[0]
+
+
+def _packed(texts: DataFrame, each: int, n: int | None) -> tuple[DataFrame, int, int]:
+    """(part, texts): distinct texts in parts of about ``each`` by hash; how many parts and texts there are. n: about how many, if known."""
+    n = texts.count() if n is None else n
     parts = max(1, -(-n // each))
     return texts.groupBy(F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int").alias("part")).agg(F.sort_array(F.collect_list("t")).alias("ts")), parts, n
 
 
-def searched(left: DataFrame, text: str, right: DataFrame, ref: str, measure: str, k: int = 1, below: bool = False, least: float | None = None) -> DataFrame:
+def searched(left: DataFrame, text: str, right: DataFrame, ref: str, measure: str, k: int = 1, below: bool = False, least: float | None = None, sizes: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """(text, ref, score) of distinct texts against distinct references: those of the k best scores of each block of references with ties (with
     below, also of the next lower score), or, with least, all at or above it. Scores of 0 give no row.
 
     Both sides are packed: a chunk of texts meets each block of references once, so a reference is sent per chunk, not per text, and
     neither side has a size limit."""
-    chunks, n_chunks, _ = _packed(left.select(F.col(text).alias("t")).where("t is not null").distinct(), TOGETHER)
-    blocks, n_blocks, n = _packed(right.select(F.col(ref).alias("t")).where("t <> ''").distinct(), BLOCK)
+    chunks, n_chunks, _ = _packed(left.select(F.col(text).alias("t")).where("t is not null").distinct(), TOGETHER, sizes[0])
+    blocks, n_blocks, n = _packed(right.select(F.col(ref).alias("t")).where("t <> ''").distinct(), BLOCK, sizes[1])
     asked = chunks.select("ts", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("part")).repartition(min(4096, n_chunks * n_blocks))
     blocks = blocks.withColumnRenamed("ts", "refs")
     met = asked.join(F.broadcast(blocks) if n <= MOST_SENT else blocks, "part")
@@ -179,7 +184,7 @@ def resolve(strings: DataFrame, name: str, marks: DataFrame, threshold: float =
     left = known.join(by_part.select("name"), "name", "left_anti")
     equal = left.join(ref.drop("part"), F.col("key") == F.col("ref")).select("name", "mark", "matched", F.lit(1.0).alias("confidence"))
     rest = left.join(equal.select("name"), "name", "left_anti").select("name", "key")
-    top = searched(rest, "key", ref, "ref", "weighted").groupBy("text").agg(F.max(F.struct("score")).alias("s"), F.collect_list(F.struct("score", "ref")).alias("found"))
+    top = searched(rest, "key", ref, "ref", "weighted", sizes=(_about(strings, name), _about(marks, "name"))).groupBy("text").agg(F.max(F.struct("score")).alias("s"), F.collect_list(F.struct("score", "ref")).alias("found"))
     first = F.array_min(F.transform(F.filter("found", lambda x: x["score"] == F.col("s.score")), lambda x: x["ref"]))
     top = top.select(F.col("text").alias("key"), first.alias("ref"), (F.col("s.score") / 100).alias("confidence"))
     scored = rest.join(top, "key").join(ref.drop("part"), "ref").select("name", "mark", "matched", "confidence")
