@@ -27,7 +27,7 @@ RULES = (
     ("hex", r"[0-9a-f]+", 0, 24),
 )
 #: Unseen hashes that are broadcast, at about 100 bytes each; hashes that a task keeps to pass over repeats, at about 100 bytes each.
-MOST_UNSEEN, REMEMBERED = 500_000, 200_000
+MOST_UNSEEN, REMEMBERED = 20_000, 200_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 LEDGER = "blob string, rule_version string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
