@@ -36,9 +36,9 @@ def op3_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudo_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's masked pseudo-log-likelihood under a network trained on all of them."""
+    """Every document's masked pseudo-log-likelihood under a network trained on all of them and the contexts of all others."""
     docs = table(spark, sf_dir, "documents")
-    return pseudo_lm.score(docs, *pseudo_lm.fit(docs))
+    return pseudo_lm.score(docs, *pseudo_lm.fit(docs), contexts=pseudo_lm.CONTEXTS)
 
 
 def op8_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
