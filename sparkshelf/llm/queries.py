@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fixity, pseudo_lm, url_filter
+from . import bpe, decontaminate, fim, fixity, phrases, pseudo_lm, url_filter
 from .common import shared_dir, table
 from .mixing import mix
 from .quality_rules import quality_rules
@@ -81,6 +81,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(F.broadcast(shares.withColumnRenamed("source", "__s")), out["source"].eqNullSafe(F.col("__s"))).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-middle form, cuts, and hashes of its output and of the text restored from that."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and hashes of its ids and of the text decoded from them."""
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 phrases."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -93,8 +108,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
+        "op11_fim": op11_fim,
+        "op12_bpe": op12_bpe,
+        "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.ORACLE}
+    return {"op6_decontaminate": decontaminate.ORACLE, "op11_fim": fim.ORACLE, "op13_phrases": phrases.ORACLE}
