@@ -27,7 +27,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: follows it, and of a run of white space before a word the last one goes with the word.
 LOOSE = re.compile(r" (?:\s|\Z)")
 #: Bytes that a worker's memory of words may hold, as estimated; a full one becomes the old one, where words that come again are found.
-MOST_BYTES, ENTRY = 96 << 20, 170
+MOST_BYTES, ENTRY = 40 << 20, 170
 
 
 def tokenizer_path() -> str:

@@ -7,8 +7,9 @@ row whatever their number.
 Pigeonring: a 64-bit fingerprint is a ring of three segments of 22, 21 and 21 bits. If two fingerprints differ in at most two
 bits, some segment starts a chain in which every prefix of length l differs in at most l * 2 / 3 bits: the first segment in
 none, the first two in at most one, all three in at most two. The join keys take both conditions together: a segment whole, plus
-one half of the next segment, of which at least one is equal if the two differ in one bit at most. That is six keys of 32 bits or
-more for a fingerprint, so buckets stay near one member at any corpus size.
+one half of the next segment, of which at least one is equal if the two differ in one bit at most. That is six keys of 31 bits or
+more for a fingerprint: a bucket holds the distinct fingerprints of the corpus divided by 2^31 by chance (about one at two thousand million of them), besides
+those that are alike.
 
 A bucket of more than ``hot`` members (a large group of near copies) is never paired. Its members go another exact way:
 fingerprints link iff some value lies within one bit of both, so each emits itself and its 64 one-bit neighbours, and all that
@@ -123,9 +124,11 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that stand for their group: the row of the least id. Repeated rows of that id stay as they are (they
-    are one document), and rows of null id stay too."""
+    """The rows of docs that stand for their group: those of the least id. A row goes by its id and fingerprint together, so an unlike text under the id of
+    a near copy stays. Repeated rows of the least id stay as they are (they are one document), as do rows of null id and all columns; null and empty texts
+    are near copies of one another; texts are read whole; an empty table stays empty."""
     groups = simhash_groups(docs, text, id_col)
-    gone = groups.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    stay = fresh(docs, "gone")
-    return docs.join(gone.withColumnRenamed(id_col, stay), docs[id_col] == F.col(stay), "left_anti").select(*docs.columns)
+    own, name, value = (fresh(docs, c) for c in ("own_fp", "gone_id", "gone_fp"))
+    gone = groups.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias(name), F.col("fp").alias(value)).distinct()
+    rows = docs.withColumn(own, fingerprints(F.col(text)))
+    return rows.join(gone, (rows[id_col] == F.col(name)) & (rows[own] == F.col(value)), "left_anti").select(*docs.columns)

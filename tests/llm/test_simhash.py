@@ -84,3 +84,9 @@ def test_one_of_each_group_stays(spark):
     rows = [(5, "a b c d e", 1), (3, "A b c d e", 2), (9, "quite another text here", 3), (9, "quite another text here", 3), (None, "a b c d e", 4), (1, None, 5), (2, "", 6)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, gone int")
     assert sorted(map(tuple, S.keep_one(d).collect()), key=str) == sorted([rows[1], rows[2], rows[3], rows[4], rows[5]], key=str)
+
+
+def test_an_unlike_text_under_a_shared_id_stays(spark):
+    rows = [(3, "a b c d e", 1), (5, "a b c d e", 2), (5, "nothing like the others at all", 3), (5, "A B c d e", 4)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, gone_fp int")
+    assert sorted(map(tuple, S.keep_one(d).collect())) == [rows[0], rows[2]]
