@@ -1,4 +1,4 @@
-"""Evidence of configurations in texts, catalog lookups by name, review ingest and re-scrape plans."""
+"""Catalog lookups by name, review ingest and re-scrape plans."""
 
 from __future__ import annotations
 
@@ -9,29 +9,6 @@ from sparkshelf.functions.similarity import plain_ratio, token_set
 from sparkshelf.operators.resolution import searched
 
 
-def probe_hits(probes: DataFrame, texts: DataFrame, text_id: str, text: str, most: int = 2, around: int = 70) -> DataFrame:
-    """(text_id, probe, value, at, context): the first ``most`` places where each probe string stands in a text, whatever the case, with what is
-    around it.
-
-    probes: probe, value; their words are the blocking key: texts are cut into distinct words once and meet only the probes whose
-    first word they hold, instead of all texts meeting all probes."""
-    p = probes.select(F.lower("probe").alias("probe"), "value").where("probe <> ''").withColumn("__w", F.element_at(F.split("probe", r"[^\p{L}\p{N}]+"), 1)).where("__w <> ''")
-    t = texts.select(text_id, F.lower(text).alias("__t")).where("__t is not null")
-    words = t.select(text_id, F.explode(F.array_distinct(F.split("__t", r"[^\p{L}\p{N}]+"))).alias("__w"))
-    pairs = words.join(p, "__w").select(text_id, "probe", "value")
-    met = pairs.join(t, text_id)
-
-    first = F.call_function("locate", F.col("probe"), F.col("__t"), F.lit(1))
-    spots = [first]
-    for _ in range(most - 1):
-        prev = spots[-1]
-        spots.append(F.when(prev > 0, F.call_function("locate", F.col("probe"), F.col("__t"), prev + F.length("probe"))).otherwise(0))
-    each = met.select(text_id, "probe", "value", "__t", F.explode(F.filter(F.array(*spots), lambda x: x > 0)).alias("at"))
-    low = F.greatest(F.lit(1), F.col("at") - around)
-    context = F.substring(F.col("__t"), low, F.col("at") - low + F.length("probe") + around)
-    return each.select(text_id, "probe", "value", (F.col("at") - 1).alias("at"), context.alias("context"))
-
-
 def name_lookup(rows: DataFrame, name: str, query: str, group: str, id_col: str, least: float = 60.0, margin: float = 10.0) -> DataFrame:
     """Rows whose name is close to the query: at least ``least`` and within ``margin`` of the best, with ``answer``: one group, several, or none."""
     scored = rows.withColumn("score", token_set(F.lower(name), F.lit(query.lower()))).where(F.col("score") >= least)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkshelf.functions import similarity
 from sparkshelf.operators import evidence as E
+from sparkshelf.operators import probes as PR
 from sparkshelf.operators import lifecycle as L
 from sparkshelf.operators import resolution as B
 from sparkshelf.operators import retrieval as RT
@@ -60,12 +61,46 @@ def _(t: Tables):
     return B.resolve(QS.misspelt(t), "name", QS.reference_marks(t)).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("j_30", """WITH p AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS probe FROM part), d AS (SELECT doc_id, lower(text) || ' blue end' AS t FROM documents)
-SELECT doc_id, probe, CAST(strpos(t, probe) - 1 AS INT) AS at FROM d, p WHERE strpos(t, probe) > 0 AND list_contains(string_split_regex(t, '[^\\p{L}\\p{N}]+'), probe)""")
+#: Reviews are documents, of families by id; a document of the id describes a review, a conversation of the id is its transcript, 15 seconds a turn.
+#: Members are benchmark items, told apart by their second word and their next two.
+def spoken(t: Tables):
+    description = t.documents.select(F.col("doc_id").alias("key"), F.lit("description").alias("source"), F.lit(0).alias("place"), "text", F.lit(None).cast("bigint").alias("seconds"))
+    transcript = t.conversations.select(F.col("conv_id").alias("key"), F.lit("transcript").alias("source"), F.col("turn").cast("int").alias("place"), "text", (F.col("turn") * 15).cast("bigint").alias("seconds"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
+    members = t.benchmark.select((F.col("item_id").cast("int") % 7).alias("family"), F.col("item_id").cast("bigint").alias("id"), words.alias("w")).where(F.size("w") >= 4)
+    members = members.select("family", "id", F.get("w", F.lit(1)).alias("word"), F.concat_ws(" ", F.get("w", F.lit(2)), F.get("w", F.lit(3))).alias("pair"))
+    reviews = t.documents.select(F.col("doc_id").alias("key"), (F.col("doc_id") % 7).cast("int").alias("family"))
+    return reviews, description.union(transcript), members, {"word": lambda c: F.array(c), "pair": lambda c: F.array(c)}
+
+
+SIDE = r"[^\p{L}\p{N}_]"
+SPOKEN = rf"""seg AS (SELECT doc_id AS key, 'description' AS source, 0 AS place, text, CAST(NULL AS BIGINT) AS seconds FROM documents WHERE text <> '' UNION ALL SELECT conv_id, 'transcript', turn, text, turn * 15 FROM conversations WHERE text <> ''),
+st AS (SELECT key, source, seconds, coalesce(sum(length(text) + 1) OVER (PARTITION BY key, source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM seg),
+t AS (SELECT key, source, string_agg(text, ' ' ORDER BY place) AS text, lower(string_agg(text, ' ' ORDER BY place)) AS low FROM seg GROUP BY 1, 2),
+m AS (SELECT CAST(item_id AS INT) % 7 AS family, CAST(item_id AS BIGINT) AS id, ws[2] AS word, ws[3] || ' ' || ws[4] AS pair FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{{L}}+') AS ws FROM benchmark) WHERE len(ws) >= 4),
+p AS (SELECT family, col, value, list_sort(list(DISTINCT id)) AS members FROM (SELECT family, id, 'word' AS col, word AS value FROM m UNION ALL SELECT family, id, 'pair', pair FROM m) GROUP BY 1, 2, 3),
+pd AS (SELECT p.* FROM p JOIN (SELECT family, col FROM p GROUP BY 1, 2 HAVING count(*) > 1) USING (family, col)),
+h1 AS (SELECT key, family, source, col, value, members, text, low, length(regexp_extract(low, '(?s)^(|.*?{SIDE})' || value || '(?:{SIDE}|$)', 1)) AS at_ FROM t JOIN pd ON family = key % 7 WHERE regexp_matches(low, '(?s)(?:^|{SIDE})' || value || '(?:{SIDE}|$)')),
+h2 AS (SELECT * REPLACE (at_ + length(value) + length(regexp_extract(low[at_ + length(value) + 1:], '(?s)^(.*?{SIDE})' || value || '(?:{SIDE}|$)', 1)) AS at_) FROM h1 WHERE regexp_matches(low[at_ + length(value) + 1:], '(?s){SIDE}' || value || '(?:{SIDE}|$)')),
+h AS (SELECT *, 1 AS nth FROM h1 UNION ALL SELECT *, 2 FROM h2),
+hit AS (SELECT h.key, h.family, h.source, h.col, h.value, h.nth, h.at_, h.members, text[at_ + 1:at_ + length(value)] AS matched, trim(regexp_replace(text[greatest(at_ - 70, 0) + 1:at_ + length(value) + 70], '\s+', ' ', 'g')) AS context, arg_max(st.seconds, st.pos) AS seconds
+ FROM h JOIN st ON st.key = h.key AND st.source = h.source AND st.pos <= h.at_ GROUP BY ALL)"""
+
+
+@q("j_30", f"""WITH {SPOKEN} SELECT key, source, col AS kind, value, nth, at_ AS "at", matched, context, seconds, array_to_string(members, ',') AS members FROM hit""")
+def _(t: Tables):
+    """Where each review's description and transcript name the words that tell its family's members apart."""
+    reviews, segments, members, builders = spoken(t)
+    hits = PR.evidence(reviews, segments, members, builders)
+    return hits.select("key", "source", F.col("column").alias("kind"), "value", "nth", "at", "matched", "context", "seconds", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+@q("j_30_searched", f"""WITH {SPOKEN}, a AS (SELECT family, count(*) AS n FROM pd GROUP BY 1), s AS (SELECT key, count(DISTINCT source) AS n FROM seg GROUP BY 1), x AS (SELECT key, count(*) AS n FROM hit GROUP BY 1)
+SELECT doc_id AS key, coalesce(a.n, 0) AS "values", coalesce(a.n, 0) AS probes, coalesce(s.n, 0) AS sources, x.n IS NULL AND s.n > 0 AND a.n > 0 AS found_nothing FROM documents LEFT JOIN a ON a.family = doc_id % 7 LEFT JOIN s ON s.key = doc_id LEFT JOIN x ON x.key = doc_id""")
 def _(t: Tables):
-    probes = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("probe")).distinct().withColumn("value", F.col("probe"))
-    texts = t.documents.select("doc_id", F.concat("text", F.lit(" blue end")).alias("text"))
-    return E.probe_hits(probes, texts, "doc_id", "text", most=1).select("doc_id", "probe", "at")
+    """What was looked for in each review's sources, and whether in vain."""
+    reviews, segments, members, builders = spoken(t)
+    return PR.searched(reviews, segments, members, PR.evidence(reviews, segments, members, builders), builders)
 
 
 @q("j_32", "SELECT p_partkey FROM part WHERE p_name = 'blue bolt'")
