@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkshelf.sources import page_state as PS
 from sparkshelf.sources import readers as R
+from sparkshelf.sources import spec_pages as SP
 from sparkshelf.sources import writers as W
 from sparkshelf.streaming import streams as S
 from sparkshelf.plans.registry import Registry, Tables
@@ -29,6 +31,39 @@ def _(t: Tables):
     return t.pages.select("page_id", R.freshness(F.concat(F.lit("<p>Last updated on the "), F.col("page_id").cast("string"), F.lit("th of May.</p>"))).alias("v"))
 
 
+@q("src_08", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'call' WHEN 1 THEN 'flat' WHEN 2 THEN 'call' END AS form, CASE WHEN page_id % 4 < 2 THEN page_id END AS id, CASE WHEN page_id % 4 < 2 THEN url END AS url, CASE WHEN page_id % 4 < 2 THEN 'a,' || url END AS tags, page_id % 4 = 2 AS broken FROM pages WHERE url IS NOT NULL""")
+def _(t: Tables):
+    """Pages with a state of either form, with one that is cut off, and with none: the state's id, url and tags."""
+    k, url = F.col("page_id").cast("string"), F.col("url")
+    call = F.concat(F.lit("<script>window.__NUXT__=(function(a,b,c){b[1]=a;c.more=void 0;return {data:{id:"), k, F.lit(',url:a,"tags":b,deep:{c}}}}("'), url, F.lit('",["a",null],{}));</script>'))
+    flat = F.concat(F.lit('<script type="application/json" id="__NUXT_DATA__">[["Reactive",1],{"data":2},{"id":3,"url":4,"tags":5,"more":-1},'), k, F.lit(',"'), url, F.lit('",["Set",6,4],"a"]</script>'))
+    state = F.when(F.col("page_id") % 4 == 0, call).when(F.col("page_id") % 4 == 1, flat).when(F.col("page_id") % 4 == 2, F.concat(F.lit("<script>window.__NUXT__=(function(a){return {id:a}}("), k, F.lit(")</script>"))).otherwise("")
+    pages = t.pages.where("url is not null").select("page_id", F.concat(F.coalesce("html", F.lit("")), state).alias("html"))
+    s = PS.state_column(F.col("state"), "data struct<id:bigint,url:string,tags:array<string>>")["data"]
+    return PS.states(pages).select("page_id", "form", s["id"].alias("id"), s["url"].alias("url"), F.array_join(s["tags"], ",").alias("tags"), F.col("error").isNotNull().alias("broken"))
+
+
+@q("src_09", """WITH b AS (SELECT *, p_partkey % 5 AS m, p_brand || ' ' || p_name AS name FROM part)
+SELECT p_partkey, 1 AS variant, name || ' (' || p_type || ')' AS product, '' AS section, 'Size' AS label, CAST(p_size AS VARCHAR) AS value, CASE WHEN m = 1 THEN printf('%.2f', p_retailprice) END AS price, false AS broken FROM b WHERE m < 2
+UNION ALL SELECT p_partkey, 2, name || ' (second)', '', 'Size', '1', NULL, false FROM b WHERE m = 0
+UNION ALL SELECT p_partkey, 1, name, 'Body', 'Size', p_size || ' in', printf('%.2f', p_retailprice), false FROM b WHERE m = 2
+UNION ALL SELECT p_partkey, 1, name, '', '', CASE n WHEN 1 THEN p_type ELSE 'Size ' || p_size END, NULL, false FROM b, (VALUES (1), (2)) x(n) WHERE m = 3
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, true FROM b WHERE m = 4""")
+def _(t: Tables):
+    """Specification pages of four makers and pages without specifications, made from parts, read by the layout of each."""
+    k, size, price, kind = F.col("p_partkey") % 5, F.col("p_size").cast("string"), F.format_string("%.2f", "p_retailprice"), F.col("p_type")
+    name = F.concat("p_brand", F.lit(" "), "p_name")
+    put = lambda text, *values: F.format_string(text, *values)
+    flat = put('<script id="__NUXT_DATA__">[{"pinia":1},{"pdPageStore":2},{"productTabList":3,"PDTechSpec":5},{"ModelName":4},"%s",{"TechSpec":6},[7,11],{"Name":8,"SpecList":9},"%s",{"Size":10},%s,{"Name":12,"SpecList":13},"second",{"Size":14},1]</script>', name, kind, size)
+    call = put('<script>window.__NUXT__=(function(a){return {state:{Spec:{spec:[{mktName:"%s",skuName:a,price:%s,specContent:[{displayField:"Size",descriptionText:"%s"}]}]}}}}("%s"));</script>', name, price, size, kind)
+    groups = put('<title>%s</title><b data-price-type="finalPrice">RM%s</b><div class="product-spec-swapper"><i class="product-spec-group">Body</i><dl class="product-spec-attribute"><dt class="label">Size</dt><dd class="value">%s <u>in</u></dd></dl></div>', name, price, size)
+    lines = put('<title>%s - Specs</title><section class="techspecs-section a"><p>%s</p><div>Size<!-- --> %s</div><p hidden>old</p></section>', name, kind, size)
+    maker = F.when(k == 0, "flat").when(k == 1, "call").when(k == 2, "groups").otherwise("lines")
+    pages = t.part.select("p_partkey", F.when(k == 0, flat).when(k == 1, call).when(k == 2, groups).when(k == 3, lines).otherwise("<p>one moment</p>").alias("html"), maker.alias("maker"))
+    out = SP.spec_rows(pages, "p_partkey", "html", "maker")
+    return out.select("p_partkey", "variant", "product", "section", "label", "value", "price", F.col("error").isNotNull().alias("broken"))
+
+
 @q("src_10", "SELECT page_id, url AS v FROM pages")
 def _(t: Tables):
     head = F.concat(F.lit("<html><head><meta property='og:url' content='http://other/'><link href='"), "url", F.lit("' rel='canonical'></head>"), "html")
@@ -98,9 +133,20 @@ def _(t: Tables):
     return S.rate_limit(t.events.select("user_id", "ts"), "user_id", "ts", 3, 3600.0)
 
 
-@q("stm_05", "SELECT event_id, round(sum(value) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW), 4) AS spent FROM events WHERE value IS NOT NULL")
+@q("stm_05", "SELECT event_id, round(sum(CAST(value AS DECIMAL(28, 6))) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)::DOUBLE, 4) AS spent FROM events WHERE value IS NOT NULL")
+def _(t: Tables):
+    spent = S.spent_in_window(t.events.where("value is not null").select("event_id", "ts", "value"), "ts", "value")
+    return spent.select("event_id", F.round(F.col("spent").cast("double"), 4).alias("spent"))
+
+
+@q("stm_05_corrected", """WITH e AS (SELECT event_id, epoch_us(ts) AS us, CAST(value AS DECIMAL(28, 6)) AS n, CASE WHEN event_id % 3 <> 0 THEN epoch_us(ts) + event_id % 5400 * 1000000 END AS at, CAST(event_id % 11 AS DECIMAL(28, 6)) AS real FROM events WHERE value IS NOT NULL)
+SELECT a.event_id, sum(CASE WHEN b.at <= a.us THEN b.real ELSE b.n END)::DOUBLE AS spent, sum(CASE WHEN b.at <= a.us THEN b.real ELSE b.n END) <= 600 OR sum(CASE WHEN b.at <= a.us THEN b.real ELSE b.n END) = any_value(a.n) AS fits FROM e a JOIN e b ON b.us <= a.us AND b.us > a.us - 3600000000 GROUP BY 1""")
 def _(t: Tables):
-    return S.spent_in_window(t.events.where("value is not null").select("event_id", "ts", "value"), "ts", "value").select("event_id", F.round("spent", 4).alias("spent"))
+    """An hour's spending, with two of three calls corrected up to ninety minutes after they were estimated."""
+    rows = t.events.where("value is not null").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    told = rows.where("event_id % 3 <> 0").select("event_id", F.timestamp_micros(F.unix_micros("ts") + F.col("event_id").cast("bigint") % 5400 * 1_000_000).alias("at"), (F.col("event_id") % 11).alias("tokens"))
+    out = S.spent_in_window(rows, "ts", "value", 3600, told, "event_id", 600.0)
+    return out.select("event_id", F.col("spent").cast("double").alias("spent"), "fits")
 
 
 @q("stm_08", "SELECT event_id FROM events WHERE event_id % 3 <> 0")

@@ -55,11 +55,6 @@ def paged_items(pages: DataFrame, body: str, page: str, schema: str, dropped: Se
     return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("item.*")
 
 
-def page_state(c: str | Column, schema: str, marker: str = "__NUXT_DATA__") -> Column:
-    """The state object that a page carries in a JSON script element."""
-    return F.from_json(F.regexp_extract(_c(c), rf"(?s)<script[^>]*id=\"{marker}\"[^>]*>(.*?)</script>", 1), schema)
-
-
 def spec_pairs(c: str | Column) -> Column:
     """label -> value of a specification page's definition lists and two-cell rows."""
     pairs = lambda p: F.arrays_zip(F.regexp_extract_all(_c(c), F.lit(p), F.lit(1)).alias("k"), F.regexp_extract_all(_c(c), F.lit(p), F.lit(2)).alias("v"))
