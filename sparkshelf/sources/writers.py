@@ -1,97 +1,191 @@
-"""Writers for tables of files: upserts, replace-by-key, staged swaps, change logs.
+"""Writers for tables of files: a commit log over one or several tables, upserts, replace-by-key, staged swaps, change logs.
 
-A table is a folder of versions and a pointer. A write makes a new version and then moves the pointer, so readers see the old
-or the new rows and never a mixture, and a job that dies leaves the old version in place. All paths go through Hadoop's file
-systems."""
+A store is a folder of table versions and a log. A write makes new versions and then commits them by one entry of the log, so readers see the old
+or the new rows of all its tables and never a mixture, and a job that dies leaves the old ones in place. All paths go through Hadoop's file systems."""
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-class Versioned:
-    """A table under ``path``."""
+class Store:
+    """Tables under ``path`` with a log of commits.
+
+    An entry of the log says for each table which folder holds it. It is written whole under another name and then renamed to its number, which fails if
+    the number is taken; so an entry is there whole or not at all, and a writer that dies before the rename leaves a file that nobody reads. Entries that can't be
+    read (of other makers, or cut off) keep their numbers and are stepped over. The rename is exclusive where the file system's is (HDFS and its like);
+    object stores that copy instead need one writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.jvm = spark.sparkContext._jvm
 
     def _fs(self, at: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(at)
+        p = self.jvm.org.apache.hadoop.fs.Path(at)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _commits(self) -> dict[int, str]:
-        """Number of each commit -> its folder. A commit that is being written is not one yet."""
+    def _numbers(self) -> list[int]:
+        """Numbers that the log has given out, in order, whatever their entries hold."""
         fs, p = self._fs(f"{self.path}/_commits")
-        found: dict[int, str] = {}
-        for s in fs.listStatus(p) if fs.exists(p) else []:
-            if s.getPath().getName().isdigit():
-                stream = fs.open(s.getPath())
-                name = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                stream.close()
-                if name.endswith("."):
-                    found[int(s.getPath().getName())] = name[:-1]
-        return found
-
-    def versions(self) -> list[str]:
-        """Folders of the committed versions, oldest first."""
-        return [name for _, name in sorted(self._commits().items())]
+        return sorted(int(s.getPath().getName()) for s in (fs.listStatus(p) if fs.exists(p) else []) if s.getPath().getName().isdigit())
 
-    def read(self, back: int = 0) -> DataFrame | None:
-        """The newest version, or one ``back`` versions before it; None if there is none."""
-        found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/{found[-1 - back]}") if len(found) > back else None
+    def _entry(self, number: int) -> dict[str, str] | None:
+        fs, p = self._fs(f"{self.path}/_commits/{number:09d}")
+        try:
+            stream = fs.open(p)
+        except Exception:
+            if fs.exists(p):
+                raise
+            return None  # cleaned away since it was listed
+        try:
+            found = json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") or "null")
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+        return found if isinstance(found, dict) else None
+
+    def log(self) -> list[tuple[int, dict[str, str]]]:
+        """(number, folders by table) of the commits that are kept, oldest first."""
+        return [(n, e) for n in self._numbers() if (e := self._entry(n)) is not None]
+
+    def _newest(self, back: int = 0) -> tuple[int, dict[str, str]]:
+        """The number that the next commit takes, and the entry ``back`` commits before the newest; reads no more entries than that."""
+        numbers = self._numbers()
+        for n in reversed(numbers):
+            entry = self._entry(n)
+            if entry is not None and back == 0:
+                return numbers[-1] + 1, entry
+            back -= entry is not None
+        return (numbers[-1] + 1 if numbers else 0), {}
+
+    def _table(self, folder: str | None) -> DataFrame | None:
+        return None if folder is None else self.spark.read.parquet(f"{self.path}/{folder}")
+
+    def read(self, table: str, back: int = 0) -> DataFrame | None:
+        """The newest version of a table, or that of ``back`` commits before; None if there is none."""
+        return self._table(self._newest(back)[1].get(table))
 
     def _stored(self, df: DataFrame) -> str:
         name = uuid.uuid4().hex
         df.write.parquet(f"{self.path}/{name}")
         return name
 
-    def _commit(self, number: int, name: str) -> bool:
-        """Creates the file of this number, which names the folder; False if another writer has taken the number. Only one can create it."""
-        fs, p = self._fs(f"{self.path}/_commits/{number:09d}")
+    def _commit(self, number: int, entry: Mapping[str, str]) -> bool:
+        """Puts an entry under this number; False if another writer has taken it."""
+        fs, made = self._fs(f"{self.path}/_commits/.{uuid.uuid4().hex}")
+        out = fs.create(made, False)
+        out.write(bytearray(json.dumps(dict(entry)), "utf-8"))
+        out.close()
+        _, wanted = self._fs(f"{self.path}/_commits/{number:09d}")
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(wanted.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            out = fs.create(p, False)
+            context.rename(made, wanted, options)
         except Exception as e:
-            if fs.exists(p):
+            taken = fs.exists(wanted)
+            fs.delete(made, False)
+            if taken:
                 return False
             raise e
-        out.write(bytearray(f"{name}.", "ascii"))
-        out.close()
         return True
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Writes all rows first, then commits by creating one file under the next free number: of writers at once the last one holds."""
-        name = self._stored(df)
-        number = max(self._commits(), default=-1) + 1
-        while not self._commit(number, name):
-            number += 1
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def update(self, change: Callable[[DataFrame | None], DataFrame], attempts: int = 20) -> DataFrame:
-        """Commits change of the newest version as the one after it; if another writer was first, change is done again on theirs, so no
-        update is lost."""
+    def write(self, tables: Mapping[str, DataFrame]) -> None:
+        """Writes all rows of the tables first, then commits them together: of writers at once the last one holds. Other tables stay as they are."""
+        made = {t: self._stored(df) for t, df in tables.items()}
+        while True:
+            number, entry = self._newest()
+            if self._commit(number, {**entry, **made}):
+                return
+
+    def update(self, change: Callable[[Callable[[str], DataFrame | None]], Mapping[str, DataFrame]], attempts: int = 20) -> None:
+        """Commits what change makes of the newest versions (it is given a reader of them); if another writer was first, change is done again on
+        theirs, so no update of any table is lost."""
         for _ in range(attempts):
-            commits = self._commits()
-            last = max(commits, default=-1)
-            name = self._stored(change(self.spark.read.parquet(f"{self.path}/{commits[last]}") if commits else None))
-            if self._commit(last + 1, name):
-                return self.spark.read.parquet(f"{self.path}/{name}")
+            number, entry = self._newest()
+            made = {t: self._stored(df) for t, df in change(lambda t, entry=entry: self._table(entry.get(t))).items()}
+            if self._commit(number, {**entry, **made}):
+                return
         raise RuntimeError(f"other writers were first {attempts} times")
 
-    def rollback(self) -> DataFrame:
-        """Commits the folder of the version before the newest again; no row is rewritten."""
-        commits = self._commits()
-        if len(commits) < 2:
+    def rollback(self) -> None:
+        """Commits the entry before the newest again; no row is rewritten."""
+        number, _ = self._newest()
+        _, before = self._newest(1)
+        if not before:
             raise ValueError("there is no earlier version")
-        name = commits[sorted(commits)[-2]]
-        if not self._commit(max(commits) + 1, name):
+        if not self._commit(number, before):
             raise RuntimeError("another writer was first")
-        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def clean(self, keep: int = 10, hours: float = 24.0) -> int:
+        """Removes entries of the log but for the newest ``keep``, and what no kept entry names and nobody has touched for ``hours``: folders of old versions
+        and of writers that died, and entries that never got a number. Returns how many folders went. hours must be longer than any write
+        or read takes: a write is safe before its commit only by its age."""
+        if keep < 1:
+            raise ValueError("the newest commit stays")
+        kept = self.log()[-keep:]
+        named = {folder for _, entry in kept for folder in entry.values()}
+        fs, root = self._fs(self.path)
+        if not fs.exists(root):
+            return 0
+        old = self.jvm.java.lang.System.currentTimeMillis() - int(hours * 3_600_000)
+        gone = 0
+        for n in self._numbers():
+            if kept and n < kept[0][0]:
+                fs.delete(self._fs(f"{self.path}/_commits/{n:09d}")[1], False)
+        for s in fs.listStatus(root):
+            name = s.getPath().getName()
+            if s.isDirectory() and name != "_commits" and name not in named and s.getModificationTime() <= old:
+                gone += bool(fs.delete(s.getPath(), True))
+        _, commits = self._fs(f"{self.path}/_commits")
+        for s in fs.listStatus(commits) if fs.exists(commits) else []:
+            if s.getPath().getName().startswith(".") and not s.getPath().getName().endswith(".crc") and s.getModificationTime() <= old:
+                fs.delete(s.getPath(), False)
+        return gone
+
+
+class Versioned:
+    """A store of one table."""
+
+    TABLE = "rows"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.store = Store(spark, path)
+
+    def versions(self) -> list[str]:
+        """Folders of the committed versions, oldest first."""
+        return [entry[self.TABLE] for _, entry in self.store.log()]
+
+    def read(self, back: int = 0) -> DataFrame | None:
+        """The newest version, or one ``back`` versions before it; None if there is none."""
+        return self.store.read(self.TABLE, back)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.store.write({self.TABLE: df})
+        return self.read()
+
+    def update(self, change: Callable[[DataFrame | None], DataFrame], attempts: int = 20) -> DataFrame:
+        """Commits change of the newest version as the one after it; see Store.update."""
+        self.store.update(lambda read: {self.TABLE: change(read(self.TABLE))}, attempts)
+        return self.read()
+
+    def rollback(self) -> DataFrame:
+        self.store.rollback()
+        return self.read()
+
+    def clean(self, keep: int = 10, hours: float = 24.0) -> int:
+        return self.store.clean(keep, hours)
+
+    def _stored(self, df: DataFrame) -> str:
+        return self.store._stored(df)
+
+    def _commit(self, number: int, name: str) -> bool:
+        return self.store._commit(number, {self.TABLE: name})
 
 
 def upsert(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
