@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +20,8 @@ CPU_WORDS = {"Programming/Development": ("i5", "i7", "i9", "ryzen 5", "ryzen 7",
 class Constraints:
     budget: float | None = None
     weight_limit: float | None = None
-    purpose: tuple[str, ...] = ()
-    brands: tuple[str, ...] = field(default=())
+    purpose: tuple[str, ...] | Column = ()
+    brands: tuple[str, ...] | Column = field(default=())
 
 
 def recall(products: DataFrame, query: list[float], budget: float | None = None, vector: str = "embedding", k: int = RECALL) -> DataFrame:
@@ -62,13 +61,18 @@ def weight_penalty(weight: Column, limit: float | Column | None) -> Column:
     return F.when(m.isNull() | weight.isNull() | (weight <= m), 1.0).when((weight - m) / m <= 0.20, 0.7).otherwise(0.2)
 
 
-def purpose_bonus(cpu: Column, purpose: tuple[str, ...]) -> Column:
-    """0.04 for each purpose of which the CPU name holds a word, 0.08 at most."""
-    hits = [F.when(F.coalesce(F.lower(cpu), F.lit("")).rlike("|".join(w.replace(".", r"\.") for w in CPU_WORDS[p])), 0.04).otherwise(0.0) for p in purpose if p in CPU_WORDS]
+def purpose_bonus(cpu: Column, purpose: tuple[str, ...] | Column) -> Column:
+    """0.04 for each purpose of which the CPU name holds a word, 0.08 at most. Purposes may also be an array column."""
+    asked = lambda p: F.coalesce(F.array_contains(purpose, p), F.lit(False)) if isinstance(purpose, Column) else F.lit(p in purpose)
+    holds = lambda p: F.coalesce(F.lower(cpu), F.lit("")).rlike("|".join(w.replace(".", r"\.") for w in CPU_WORDS[p]))
+    hits = [F.when(asked(p) & holds(p), 0.04).otherwise(0.0) for p in CPU_WORDS]
     return F.least(F.lit(0.08), sum(hits, F.lit(0.0)))
 
 
-def brand_bonus(brand: Column, brands: tuple[str, ...]) -> Column:
+def brand_bonus(brand: Column, brands: tuple[str, ...] | Column) -> Column:
+    if isinstance(brands, Column):
+        open_ = brands.isNull() | (F.size(brands) == 0) | F.array_contains(brands, "no preference")
+        return F.when(open_, 0.0).when(F.array_contains(brands, F.lower(brand)), 0.05).otherwise(-0.25)
     if not brands or "no preference" in brands:
         return F.lit(0.0)
     return F.when(F.lower(brand).isin(*brands), 0.05).otherwise(-0.25)
@@ -144,21 +148,3 @@ def shortlist(ranked: DataFrame, c: Constraints, group: str = "family", k: int =
     if c.budget is None:
         return dedup_first(rows, group, "__rank").orderBy("__rank").limit(min(k, 6)).drop("__rank")
     return dedup_closest(rows, group, "__rank", "price", c.budget).orderBy("place").limit(min(k, 6)).drop("__rank", "place")
-
-
-def search(products: DataFrame, query: list[float], c: Constraints, group: str = "family", k: int = 6) -> DataFrame:
-    """Recall, rerank, relax, gate and shortlist; no rows if gated."""
-    ranked = relaxed(products, query, c)
-    open_ = ranked.agg(F.max("final").alias("__top")).where(F.col("__top") >= GATE)
-    return shortlist(ranked.join(F.broadcast(open_)).drop("__top"), c, group, k)
-
-
-def evaluate(cases: Mapping[str, tuple[list[float], Constraints]], products: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
-    """(case, ndcg) of each case's reranked results against truth (case, id, relevance). One job for each case, of which there are few."""
-    from sparkshelf.operators.aggregates import ndcg
-
-    parts = [rerank(recall(products, q, c.budget), c).select(F.lit(n).alias("case"), "id", "final") for n, (q, c) in cases.items()]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return ndcg(rows.join(truth, ["case", "id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0))), "case", "relevance", [F.desc("final"), F.asc("id")], k)
