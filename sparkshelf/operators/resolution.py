@@ -50,15 +50,31 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _dashes_dropped(words: Column) -> Column:
+    """Words without the lone dashes inside a core count (``10 - core``) or a part number (``x1e - 78 - 100``)."""
+    flat = lambda i: F.translate(F.get(words, i), f"{DASHES}()", "")
+    like = lambda i, pattern: F.coalesce(flat(i).rlike(pattern), F.lit(False))
+    lone = lambda i: F.coalesce(F.get(words, i).rlike(f"^[{DASHES}]+$"), F.lit(False))
+    head, two, three = "^x[12][ep]?$", "^[0-9]{2}$", "^[0-9]{3}$"
+
+    def stays(w: Column, i: Column) -> Column:
+        count = like(i - 1, "^[0-9]+$") & like(i + 1, "^core$")
+        begun = like(i - 1, head) & (like(i + 1, two) | like(i + 1, "^[0-9]{5}$")) | like(i - 1, "^x[12][ep]?[0-9]{2}$") & like(i + 1, three)
+        going_on = like(i - 1, two) & like(i + 1, three) & (like(i - 2, head) | lone(i - 2) & like(i - 3, head))
+        return ~(lone(i) & (count | begun | going_on))
+
+    return F.filter(words, stays)
+
+
 def _counted(words: Column) -> Column:
-    """Core counts as two bare words, whether they came as ``(10-core)``, ``10-core`` or ``(10 core)``."""
+    """Core counts as two bare words, whether they came as ``(10-core)``, ``10-core``, ``10- core`` or ``(10 core)``."""
     bare = lambda w: F.translate(w, "()", "")
-    number = lambda w: F.coalesce(bare(w).rlike("^[0-9]+$"), F.lit(False))
-    core = lambda w: F.coalesce(bare(w) == "core", F.lit(False))
+    number = lambda w: F.coalesce(bare(w).rlike(f"^[0-9]+[{DASHES}]?$"), F.lit(False))
+    core = lambda w: F.coalesce(bare(w).rlike(f"^[{DASHES}]?core$"), F.lit(False))
 
     def one(w: Column, i: Column) -> Column:
         pair = number(w) & core(F.get(words, i + 1)) | core(w) & number(F.get(words, i - 1))
-        return F.when(bare(w).rlike(f"^[0-9]+[{DASHES}]core$"), F.split(bare(w), f"[{DASHES}]")).otherwise(F.array(F.when(pair, bare(w)).otherwise(w)))
+        return F.when(bare(w).rlike(f"^[0-9]+[{DASHES}]core$"), F.split(bare(w), f"[{DASHES}]")).otherwise(F.array(F.when(pair, F.translate(bare(w), DASHES, "")).otherwise(w)))
 
     return F.flatten(F.transform(words, one))
 
@@ -91,8 +107,9 @@ def normal_name(c: Column) -> Column:
     twice changes nothing. Null stays null."""
     s = F.translate(c, DROPPED, "")
     s = F.lower(F.when(s.rlike(r"[^\x00-\x7F]"), _decomposed(s)).otherwise(s))
-    words = F.filter(F.split(F.replace(s, F.lit("("), F.lit(" (")), r"\s+"), lambda w: ~w.isin("", "processor"))
-    out = _let(words, lambda w: _let(_counted(w), lambda x: _let(_parts_joined(x), lambda y: F.array_join(_without_frame(y), " "))))
+    s = F.regexp_replace(s, r"(?<![\p{L}\p{N}_])processor(?![\p{L}\p{N}_])", " ")
+    words = F.filter(F.split(F.replace(s, F.lit("("), F.lit(" (")), r"\s+"), lambda w: w != "")
+    out = _let(words, lambda w: _let(_counted(_dashes_dropped(w)), lambda x: _let(_parts_joined(x), lambda y: F.array_join(_without_frame(y), " "))))
     return F.when(c.isNotNull(), F.coalesce(out, F.lit("")))
 
 

@@ -3,11 +3,13 @@ distributions are value counts joined by value."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkshelf.operators.aggregates import exact_percentiles
 from sparkshelf.operators.windows import dedup_first, range_of
 
 FACTORS = ("price", "cpu", "gpu", "ram_storage", "portability", "battery", "screen_size", "brand")
@@ -184,14 +186,25 @@ def configured(products: DataFrame, changes: Mapping[str, Column]) -> DataFrame:
     return products.withColumns(dict(changes))
 
 
+def configured_scores(own: DataFrame, catalog: DataFrame, cpu: str = "cpu_model", gpu: str | None = None, profiles: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """(id, scores, reason) of configured machines measured against the catalog: the score of every profile by name, or, if neither processor nor
+    graphics have a mark, none of them and why. Configured machines are no part of the distribution."""
+    rows = score(with_percentiles(own, catalog), profiles or PROFILES)
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in (cpu, gpu) if c is not None]
+    reason = F.concat(F.lit("no benchmark for "), F.concat_ws(" or ", *named), F.lit(": no score rather than an invented one"))
+    held = F.map_from_entries(F.sort_array(F.collect_list(F.struct("use_case", "score"))))
+    why = F.max(F.when(F.col("flags.score_withheld"), reason))
+    return rows.groupBy("id").agg(held.alias("scores"), why.alias("reason")).select("id", F.when(F.col("reason").isNull(), F.col("scores")).alias("scores"), "reason")
+
+
 def curves(df: DataFrame, column: str) -> DataFrame:
     """The column under other normalisations: min-max, clamped to the 5th and 95th percentile, and logarithmic."""
-    b = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.percentile(column, F.lit(0.05)).alias("p5"), F.percentile(column, F.lit(0.95)).alias("p95"))
-    x = F.col(column)
-    span = lambda v, lo, hi: F.when(hi > lo, (v - lo) / (hi - lo) * 100.0).otherwise(50.0)
-    clamp = F.greatest(F.col("p5"), F.least(F.col("p95"), x))
-    out = df.join(F.broadcast(b)).withColumns({"minmax": span(x, F.col("lo"), F.col("hi")), "clamped": span(clamp, F.col("p5"), F.col("p95")), "logged": span(F.log1p(x - F.col("lo")), F.lit(0.0), F.log1p(F.col("hi") - F.col("lo")))})
-    return out.drop("lo", "hi", "p5", "p95")
+    lo, p5, p95, hi = exact_percentiles(df, column, (0.0, 0.05, 0.95, 1.0))
+    x, span = F.col(column), lambda v, a, b: F.when(F.lit(b) > F.lit(a), (v - F.lit(a)) / F.lit(b - a) * 100.0).otherwise(50.0)
+    if lo is None:
+        return df.withColumns({c: F.lit(None).cast("double") for c in ("minmax", "clamped", "logged")})
+    clamp = F.greatest(F.lit(p5), F.least(F.lit(p95), x))
+    return df.withColumns({"minmax": span(x, lo, hi), "clamped": span(clamp, p5, p95), "logged": span(F.log1p(x - F.lit(lo)), 0.0, math.log1p(hi - lo))})
 
 
 def use_case_order(use_cases: Sequence[str] = tuple(PROFILES)) -> list[str]:

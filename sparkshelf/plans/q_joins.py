@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkshelf.functions import vectors
+from sparkshelf.functions import text as X
 from sparkshelf.operators import joins as J
 from sparkshelf.operators import windows as W
 from sparkshelf.plans.registry import Registry, Tables
@@ -216,12 +217,18 @@ def _(t: Tables):
     return J.all_tokens_contained(a, "tokens", t.part.where("p_size < 20"), "p_name", "p_partkey").select("a", F.col("p_partkey_match").alias("b"))
 
 
-@q("j_38", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'url' WHEN regexp_extract(url, '/([0-9]+)', 1) <> '' THEN 'slug' ELSE 'none' END AS how FROM pages""")
+URL_KEY = "lower(regexp_replace(regexp_extract(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', ''), '[^/]*$'), '\\.[a-z]+$', ''))"
+
+
+@q("j_38", f"""WITH t AS (SELECT page_id AS target, page_id % 2 AS brand, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'https://shop.example/old/' || upper({URL_KEY}) || '.html?v=2' END AS url FROM pages WHERE page_id % 3 < 2),
+k AS (SELECT target, brand, url, nullif({URL_KEY}, '') AS key FROM t), p AS (SELECT page_id, page_id % 2 AS brand, url, nullif({URL_KEY}, '') AS key FROM pages)
+SELECT page_id, coalesce(u, s) AS target, CASE WHEN u IS NOT NULL THEN 'url' WHEN s IS NOT NULL THEN 'slug' ELSE 'none' END AS how FROM (SELECT page_id, (SELECT min(target) FROM k WHERE k.url = p.url AND k.brand = p.brand) AS u, (SELECT min(target) FROM k WHERE k.key = p.key AND k.brand = p.brand) AS s FROM p)""")
 def _(t: Tables):
-    known = t.pages.where("page_id % 2 = 0").select("url", F.lit("url").alias("how"), F.col("page_id"))
-    slug = F.regexp_extract("url", "/([0-9]+)", 1)
-    exact = t.pages.select("page_id", "url").join(known.select("page_id", "how"), "page_id", "left")
-    return exact.select("page_id", F.coalesce("how", F.when(slug != "", "slug"), F.lit("none")).alias("how"))
+    """Pages against targets of the same brand: a third of these have a page's own URL, a third only its last path segment, in another spelling."""
+    pages = t.pages.select("page_id", "url", (F.col("page_id") % 2).alias("brand"))
+    moved = F.concat(F.lit("https://shop.example/old/"), F.upper(X.slug("url")), F.lit(".html?v=2"))
+    targets = pages.where("page_id % 3 < 2").select(F.col("page_id").alias("target"), F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(moved).alias("url"), "brand")
+    return J.match_urls(pages, targets, "page_id", "target", X.slug, owner="brand")
 
 
 @q("j_39", "SELECT DISTINCT lower(source) AS name FROM documents WHERE lower(source) NOT IN (SELECT lower(c_mktsegment) FROM customer)")

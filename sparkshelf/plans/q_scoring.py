@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkshelf.operators import resolution as B
 from sparkshelf.operators import retrieval as R
 from sparkshelf.operators import scoring as S
+from sparkshelf.operators import search as M
 from sparkshelf.plans.registry import Registry, Tables
 from sparkshelf.plans.sql_fuzzy import measures
 
@@ -121,12 +122,17 @@ def _(t: Tables):
     return S.score(chosen, {"programming": S.PROFILES["programming"]}).select("id", "score")
 
 
-@q("f_15")
+OWN = f"""x AS (SELECT o.*, coalesce(pv.pct, 50) AS p_price, 100.0::DOUBLE AS p_ram_gb, {", ".join(f"coalesce(r_{c}.pct, 50) AS p_{c}" for c in COLUMNS if c not in ("price", "ram_gb"))} FROM own o LEFT JOIN pv ON pv.v = o.price {" ".join(f"LEFT JOIN r_{c} ON r_{c}.v = o.{c}" for c in COLUMNS if c not in ("price", "ram_gb"))})"""
+MACHINES = SCORES.replace(f"x AS ({PCT})", f"""own AS (SELECT * REPLACE (price + 777.5 AS price, 48 AS ram_gb) FROM p), pv AS (SELECT v, (count(*) FILTER (c.price < v) + count(*) FILTER (c.price = v) / 2.0::DOUBLE) / count(*) * 100 AS pct FROM (SELECT DISTINCT price AS v FROM own) CROSS JOIN (SELECT price FROM p WHERE status = 'active' AND price > 0) c GROUP BY v), {OWN}""")
+
+
+@q("f_15", f"""{MACHINES} SELECT id, {", ".join(f"{_total(n)} AS {n}" for n in RAW)}, CASE WHEN cpu_mark IS NULL AND gpu_mark IS NULL THEN 'no benchmark for ' || CASE WHEN id % 3 = 0 THEN 'Core i7' ELSE 'Ryzen 5' END || ': no score rather than an invented one' END AS reason FROM s""")
 def _(t: Tables):
-    """A configured machine: prices and memory that no catalog row has, ranked against the catalog."""
+    """Configured machines: every product at prices and with memory that no catalog row has, ranked against the catalog."""
     products = scorable(t)
-    own = S.configured(products.where("id <= 20"), {"price": F.col("price") + 777.5, "ram_gb": F.lit(48)})
-    return S.score(S.with_percentiles(own, products), S.PROFILES).select("id", "use_case", "score")
+    own = S.configured(products, {"price": F.col("price") + 777.5, "ram_gb": F.lit(48)})
+    out = S.configured_scores(own, products)
+    return out.select("id", *[F.col("scores")[n].alias(n) for n in S.PROFILES], "reason")
 
 
 @q("f_16", "SELECT p_partkey, round((p_retailprice - lo) / (hi - lo) * 100, 6) AS minmax, round((greatest(p5, least(p95, p_retailprice)) - p5) / (p95 - p5) * 100, 6) AS clamped FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, quantile_cont(p_retailprice, 0.05) AS p5, quantile_cont(p_retailprice, 0.95) AS p95 FROM part)")
@@ -179,14 +185,16 @@ def best_titles(t: Tables):
     return got.withColumns({"score": F.round("score", 6), "gap": F.round("gap", 6), "tied": F.col("tied").cast("int")})
 
 
-@q("b_01", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN b || ' ' || n || ' 9' WHEN 1 THEN b || ' ' || n || ' ' || p_size || ' core gpu' WHEN 2 THEN n || ' x1e78' || lpad(CAST(p_size AS VARCHAR), 3, '0') || ' ' || b WHEN 3 THEN 'apple ' || n ELSE n || ' fi ' || b END AS name
+@q("b_01", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN b || CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE ' , ' END || n || ' 9' WHEN 1 THEN b || ' ' || n || ' ' || p_size || ' core gpu' WHEN 2 THEN n || ' x1e78' || lpad(CAST(p_size AS VARCHAR), 3, '0') || ' ' || b WHEN 3 THEN 'apple ' || n ELSE n || ' fi ' || b END AS name
 FROM (SELECT p_partkey, p_size, lower(p_brand) AS b, lower(p_name) AS n FROM part)""")
 def _(t: Tables):
-    """Names with marks, the word processor, core counts, split part numbers, a frame, compatibility forms."""
+    """Names with marks, the word processor, core counts, split part numbers (dashes with and without spaces), a frame, compatibility forms."""
     k, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
-    count = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" ("), size, F.lit("-Core) GPU"))).otherwise(F.concat(F.lit("  "), size, F.lit(" core GPU")))
-    part = F.concat(F.lit(" X1E-78-"), F.lpad(size, 3, "0"), F.lit(" "))
-    name = F.when(k == 0, F.concat("p_brand", F.lit("\u00ae Processor  "), "p_name", F.lit("\u2122 9"))).when(k == 1, F.concat("p_brand", F.lit(" "), F.upper("p_name"), count)).when(k == 2, F.concat("p_name", part, "p_brand"))
+    third, even = F.col("p_partkey") % 3, F.col("p_partkey") % 2 == 0
+    count = F.when(even, F.concat(F.lit(" ("), size, F.lit("-Core) GPU"))).when(third == 0, F.concat(F.lit(" "), size, F.lit(" \u2013 Core GPU"))).when(third == 1, F.concat(F.lit(" "), size, F.lit("- core GPU"))).otherwise(F.concat(F.lit("  "), size, F.lit(" core GPU")))
+    dash = F.when(third == 0, " - ").when(third == 1, " \u2013").otherwise("-")
+    part = F.concat(F.lit(" X1E"), dash, F.lit("78"), dash, F.lpad(size, 3, "0"), F.lit(" "))
+    name = F.when(k == 0, F.concat("p_brand", F.when(even, "\u00ae Processor  ").otherwise("\u00ae Processor, "), "p_name", F.lit("\u2122 9"))).when(k == 1, F.concat("p_brand", F.lit(" "), F.upper("p_name"), count)).when(k == 2, F.concat("p_name", part, "p_brand"))
     name = name.when(k == 3, F.concat(F.lit("ARM Apple "), "p_name", F.lit(" 0 MHz"))).otherwise(F.concat("p_name", F.lit("  \ufb01 "), "p_brand"))
     return t.part.select("p_partkey", B.normal_name(name).alias("name"))
 
@@ -307,14 +315,53 @@ def _(t: Tables):
     return R.bottleneck(R.rerank(R.recall(vectors(t), question(t), 1200.0), LIMITS))
 
 
-@q("r_12")
+def many(t: Tables):
+    """Every twentieth vector as a query, with and without limits, brands and purposes; one in five has no vector."""
+    k, none = F.col("vec_id"), F.array().cast("array<string>")
+    return t.embeddings.where("vec_id % 20 = 0").select(
+        k.cast("bigint").alias("case"), F.when(k % 100 != 60, F.col("embedding")).alias("embedding"), F.when(k % 60 != 0, 500.0 + (k % 7) * 110).alias("budget"), F.when(k % 40 == 0, 1.2).alias("weight_limit"),
+        F.when(k % 3 == 0, F.array(F.lit("Programming/Development"))).alias("purposes"), F.when(k % 80 == 0, F.array(F.lit("brand#2"), F.lit("brand#17"))).otherwise(none).alias("brands"),
+    )
+
+
+MANY = f"""{SCORES},
+q AS (SELECT CAST(vec_id AS BIGINT) AS c, CASE WHEN vec_id % 100 <> 60 THEN CAST(embedding AS DOUBLE[]) END AS e, CASE WHEN vec_id % 60 <> 0 THEN 500.0::DOUBLE + (vec_id % 7) * 110 END AS b0, CASE WHEN vec_id % 40 = 0 THEN 1.2::DOUBLE END AS w0, vec_id % 3 = 0 AS prog, vec_id % 80 = 0 AS picky FROM embeddings WHERE vec_id % 20 = 0),
+st AS (SELECT *, 0 AS step, NULL AS field, CAST(NULL AS DOUBLE) AS original, b0 AS b, w0 AS w, CASE WHEN e IS NULL THEN w0 END AS cap FROM q UNION ALL SELECT q.*, n, 'weight_limit', w0, b0, w0 + 0.2::DOUBLE * n, NULL FROM q, (VALUES (1), (2)) x(n) WHERE w0 IS NOT NULL UNION ALL SELECT q.*, 2 + n, 'budget', b0, b0 + 500.0::DOUBLE * n, w0, NULL FROM q, (VALUES (1), (2), (3)) x(n) WHERE b0 IS NOT NULL),
+pe AS (SELECT p.*, CAST(v.embedding AS DOUBLE[]) AS pv FROM p JOIN embeddings v ON v.vec_id = p.id WHERE status = 'active'),
+nr AS (SELECT *, row_number() OVER (PARTITION BY c, step ORDER BY CASE WHEN e IS NULL THEN price ELSE d END, id) AS n FROM (SELECT st.*, pe.id, pe.family, lower(pe.brand) AS brand, pe.price, pe.weight_kg, pe.cpu, CASE WHEN e IS NOT NULL THEN round(1 - list_cosine_similarity(pv, e), 9) END AS d FROM st JOIN pe ON (b IS NULL OR price <= b) AND (cap IS NULL OR weight_kg <= cap))),
+pen AS (SELECT *, CASE WHEN e IS NULL THEN 0.58::DOUBLE ELSE round(1 - d, 4) END AS similarity, CASE WHEN b IS NULL OR price <= b THEN 1.0 ELSE 0.1 END AS on_price, CASE WHEN w IS NULL OR weight_kg <= w THEN 1.0 WHEN (weight_kg - w) / w <= 0.20 THEN 0.7 ELSE 0.2 END AS on_weight,
+ CASE WHEN prog AND (cpu LIKE '%i7%' OR cpu LIKE '%ryzen 5%') THEN 0.04 ELSE 0 END::DOUBLE + CASE WHEN NOT picky THEN 0 WHEN brand IN ('brand#2', 'brand#17') THEN 0.05 ELSE -0.25 END::DOUBLE AS bonus FROM nr WHERE n <= 50 AND (w IS NULL OR weight_kg IS NOT NULL)),
+fin AS (SELECT *, round(similarity * (on_price::DOUBLE * on_weight::DOUBLE) + bonus, 4) AS final FROM pen),
+rk AS (SELECT f.*, row_number() OVER (PARTITION BY f.c ORDER BY final DESC, f.id) AS place FROM fin f JOIN (SELECT c, min(step) AS step FROM fin WHERE final >= 0.33 GROUP BY 1) USING (c, step)),
+lg AS (SELECT q.c, q.e IS NULL AS fallback, max(final) AS top_score, coalesce(max(final) >= 0.53, false) AS passed, any_value(field) AS relaxed_field, any_value(original) AS relaxed_from, any_value(CASE field WHEN 'budget' THEN b WHEN 'weight_limit' THEN w END) AS relaxed_to, count(*) FILTER (place <= 10 AND on_weight < 1) AS heavy, count(rk.id) AS n, string_agg(rk.id::VARCHAR, ',' ORDER BY place) AS ids FROM q LEFT JOIN rk USING (c) GROUP BY q.c, q.e IS NULL)"""
+SHOWN = ", ".join(f"{{'at': {i}, 'f': '{f}', 'raw': {raw}, 'c': round_even({raw} * {RAW['general_use'][i] / sum(RAW['general_use'])!r}::DOUBLE, 2)}}" for i, (f, raw) in enumerate((f, f"s_{f}" if i < 6 else "50.0::DOUBLE") for i, f in enumerate(FACTORS)))
+
+
+@q("r_12", f"""{MANY}, sh AS (SELECT rk.*, min(place) OVER (PARTITION BY c, family) AS at_, row_number() OVER (PARTITION BY c, family ORDER BY abs(price - b), place) AS o FROM rk WHERE c IN (SELECT c FROM lg WHERE passed)),
+tp AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY at_) AS pos FROM sh WHERE o = 1),
+fx AS (SELECT s.id, {_total("general_use")} AS score, [{SHOWN}] AS fs FROM s)
+SELECT c AS "case", CAST(pos AS INT) AS place, tp.id, family, similarity, final, step, field, score AS pick_score, CASE WHEN score IS NOT NULL THEN (SELECT string_agg(x.f || ' ' || CAST(round_even(round_even(x.raw, 2), 0) AS INT), ', ' ORDER BY x.c DESC, x.at) FROM (SELECT y AS x FROM (SELECT unnest(fs) AS y) ORDER BY y.c DESC, y.at LIMIT 3)) END AS top_factors, score IS NULL AS no_score
+FROM tp JOIN fx ON fx.id = tp.id WHERE pos <= 6""")
+def _(t: Tables):
+    """The whole search of many queries: shortlists with scores and factors."""
+    short, _ = M.search(vectors(t), many(t), scorable(t))
+    return short.select("case", "place", "id", "family", "similarity", "final", "step", "field", "pick_score", "top_factors", F.col("unavailable").isNotNull().alias("no_score"))
+
+
+@q("r_12_log", f"""{MANY} SELECT c AS "case", CASE WHEN passed THEN 'pass' ELSE 'gated' END AS status, top_score, CASE WHEN NOT passed THEN CASE WHEN heavy > 0 THEN 'weight_limit' ELSE 'general' END END AS bottleneck, relaxed_field, relaxed_from, relaxed_to, fallback, CASE WHEN passed THEN n ELSE 0 END AS n_candidates, CASE WHEN passed THEN ids ELSE '' END AS candidates FROM lg""")
 def _(t: Tables):
-    """The whole search, one product of each family."""
-    return R.search(vectors(t), question(t), R.Constraints(budget=1500.0)).select("id", "family", "final")
+    """The log of the same queries, a row each."""
+    _, log = M.search(vectors(t), many(t))
+    return log.select("case", "status", "top_score", "bottleneck", "relaxed_field", "relaxed_from", "relaxed_to", "fallback", "n_candidates", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
 
 
-@q("r_14")
+@q("r_14", f"""{MANY}, tr AS (SELECT q.c, v.vec_id AS id, CASE WHEN v.vec_id = q.c THEN 3 WHEN v.label = z.label THEN 1 ELSE 0 END AS rel FROM q JOIN embeddings z ON z.vec_id = q.c JOIN embeddings v ON v.vec_id % 4 = 0),
+dc AS (SELECT rk.c, sum(coalesce(rel, 0) / log2(place + 1.0)) AS d FROM rk LEFT JOIN tr ON tr.c = rk.c AND tr.id = rk.id WHERE place <= 10 GROUP BY 1),
+im AS (SELECT c, sum(rel / log2(n + 1.0)) AS i FROM (SELECT c, rel, row_number() OVER (PARTITION BY c ORDER BY rel DESC) AS n FROM tr) WHERE n <= 10 GROUP BY 1)
+SELECT lg.c AS "case", CASE WHEN passed AND i > 0 THEN round(d / i, 4) ELSE 0.0 END::DOUBLE AS ndcg, CASE WHEN passed THEN 'pass' ELSE 'gated' END AS status, relaxed_field FROM lg LEFT JOIN dc USING (c) LEFT JOIN im USING (c)""")
 def _(t: Tables):
-    """Ranking quality of two cases whose truth is the label of the query vector."""
-    truth = t.embeddings.where("label = 1").select(F.explode(F.array(F.lit("open"), F.lit("tight"))).alias("case"), F.col("vec_id").alias("id"), F.lit(3).alias("relevance"))
-    return R.evaluate({"open": (question(t), R.Constraints()), "tight": (question(t), R.Constraints(budget=1100.0))}, vectors(t), truth)
+    """Ranking quality of the same queries: a query's own product is worth 3, others of its label 1, where a truth is known at all."""
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").cast("bigint").alias("case"), F.col("label").alias("own"))
+    known = t.embeddings.where("vec_id % 4 = 0").select(F.col("vec_id").cast("bigint").alias("id"), "label")
+    truth = known.join(F.broadcast(asked)).select("case", "id", F.when(F.col("case") == F.col("id"), 3).when(F.col("own") == F.col("label"), 1).otherwise(0).alias("relevance"))
+    return M.evaluate(vectors(t), many(t), truth).select("case", "ndcg", "status", "relaxed_field")
