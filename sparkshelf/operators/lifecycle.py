@@ -135,7 +135,8 @@ def price_differences(options: DataFrame, standard: DataFrame) -> DataFrame:
 
 def complete_kits(options: DataFrame, other_price: str) -> DataFrame:
     """Options of the chips all of whose rows have the other price."""
-    return options.withColumn("__ok", F.bool_and(F.col(other_price).isNotNull()).over(Window.partitionBy("chip"))).where("__ok").drop("__ok")
+    whole = options.groupBy("chip").agg(F.bool_and(F.col(other_price).isNotNull()).alias("__ok")).where("__ok")
+    return options.join(whole.select("chip"), "chip", "left_semi")
 
 
 def visible_discount(df: DataFrame, price: str, discounted: str) -> DataFrame:

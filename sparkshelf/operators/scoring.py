@@ -57,6 +57,35 @@ def weights(preference: Mapping | None = None, profile: Mapping | None = None) -
     return {f: w / total for f, w in raw.items()}
 
 
+def purpose_of(c: Column) -> Column:
+    """The canonical label of a purpose column, whatever the case and spacing; null for anything else."""
+    known = F.create_map(*[F.lit(x) for label in PURPOSES for x in (label.casefold(), label)])
+    return F.try_element_at(known, F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))))
+
+
+def weight_rows(preferences: DataFrame, key: str) -> DataFrame:
+    """(key, factor, weight) of many preferences at once, as weights() gives them for one: priorities (map of factor to number; a missing one is 1), purpose
+    (array of labels; unknown ones change nothing), portability (text that begins with an answer; else neutral). Null columns say nothing."""
+
+    def asked(factor: str) -> Column:
+        boosts = F.create_map(*[F.lit(x) for label, m in PURPOSES.items() for x in (label, m.get(factor, 1.0))])
+        each = F.transform(F.coalesce("purpose", F.array().cast("array<string>")), lambda p: F.coalesce(F.try_element_at(boosts, p), F.lit(1.0)))
+        return F.coalesce(F.array_max(each), F.lit(1.0))
+
+    raw = []
+    for f in FACTORS:
+        boost = F.least(F.lit(1.3), F.greatest(F.lit(1.0), asked(f)))
+        carry = F.lit(1.0)
+        if f == "portability":
+            for answer, m in reversed(CARRYING.items()):
+                carry = F.when(F.col("portability").startswith(answer), F.lit(m)).otherwise(carry)
+        given = F.coalesce(F.try_element_at("priorities", F.lit(f)).cast("double"), F.lit(1.0))
+        raw.append(F.struct(F.lit(f).alias("factor"), (given * boost * carry).alias("w")))
+    rows = preferences.select(F.col(key), F.array(*raw).alias("__r"))
+    total = F.aggregate("__r", F.lit(0.0), lambda a, r: a + r["w"])
+    return rows.withColumn("__t", total).select(key, F.explode("__r").alias("__e"), "__t").select(key, "__e.factor", (F.col("__e.w") / F.col("__t")).alias("weight"))
+
+
 def percentile_map(distribution: DataFrame, probes: DataFrame, columns: Mapping[str, str | None]) -> DataFrame:
     """(factor, value, percentile) for every distinct value of the columns on either side: where it stands among the distribution's rows,
     halfway through equal ones. Probes need not be members. All columns share one pass: values are counted, dealt by range_of

@@ -190,9 +190,9 @@ def _(t: Tables):
     return J.set_outcome(a, b, "doc_id", "quality").select("doc_id", "change")
 
 
-@q("j_34", "SELECT p_partkey, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_shipdate DESC, l_orderkey DESC) AS latest FROM (SELECT p_partkey, l_orderkey, l_shipdate, row_number() OVER (PARTITION BY p_partkey ORDER BY l_shipdate DESC, l_orderkey DESC) AS n FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size = 7) WHERE n <= 5 GROUP BY 1")
+@q("j_34", "SELECT p_partkey, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_shipdate DESC, l_orderkey DESC) AS latest FROM (SELECT p_partkey, l_orderkey, l_shipdate, row_number() OVER (PARTITION BY p_partkey ORDER BY l_shipdate DESC, l_orderkey DESC) AS n FROM part JOIN lineitem ON l_partkey = p_partkey) WHERE n <= 5 GROUP BY 1")
 def _(t: Tables):
-    met = t.lineitem.join(t.part.where("p_size = 7").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "l_orderkey", "l_shipdate")
+    met = t.lineitem.join(t.part.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "l_orderkey", "l_shipdate")
     w = Window.partitionBy("p_partkey").orderBy(F.desc("l_shipdate"), F.desc("l_orderkey"))
     five = met.withColumn("n", F.row_number().over(w)).where("n <= 5").groupBy("p_partkey").agg(F.sort_array(F.collect_list(F.struct("n", "l_orderkey"))).alias("l"))
     return five.select("p_partkey", F.array_join(F.transform("l", lambda x: x["l_orderkey"].cast("string")), ",").alias("latest"))
@@ -211,10 +211,10 @@ def _(t: Tables):
     return J.interval_join(t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate"), "l_shipdate", jobs, "a", "b", 86_400_000_000).select("day", "l_orderkey", "l_linenumber")
 
 
-@q("j_37", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a, part b WHERE a.p_size = 3 AND b.p_size < 20 AND len(list_filter(string_split(lower(a.p_name), ' '), lambda x: NOT list_contains(string_split(lower(b.p_name), ' '), x))) = 0")
+@q("j_37", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a, part b WHERE len(list_filter(string_split(lower(a.p_name), ' '), lambda x: NOT list_contains(string_split(lower(b.p_name), ' '), x))) = 0")
 def _(t: Tables):
-    a = t.part.where("p_size = 3").select(F.col("p_partkey").alias("a"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("tokens"))
-    return J.all_tokens_contained(a, "tokens", t.part.where("p_size < 20"), "p_name", "p_partkey").select("a", F.col("p_partkey_match").alias("b"))
+    a = t.part.select(F.col("p_partkey").alias("a"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("tokens"))
+    return J.all_tokens_contained(a, "tokens", t.part, "p_name", "p_partkey").select("a", F.col("p_partkey_match").alias("b"))
 
 
 URL_KEY = "lower(regexp_replace(regexp_extract(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', ''), '[^/]*$'), '\\.[a-z]+$', ''))"

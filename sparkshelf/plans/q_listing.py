@@ -34,9 +34,9 @@ def _(t: Tables):
     return L.apply_filters(t.part, {"brand": first, "size": [1, 5, 9, 14, 23], "type": [], "price": None}, PART).select("p_partkey", "p_brand", "p_size")
 
 
-@q("fil_02", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice >= 1000 AND p_retailprice <= 1200")
+@q("fil_02", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice >= 920 AND p_retailprice <= 960.5")
 def _(t: Tables):
-    return L.apply_range(t.part, "p_retailprice", 1000.0, 1200.0).select("p_partkey", "p_retailprice")
+    return L.apply_range(t.part, "p_retailprice", 920.0, 960.5).select("p_partkey", "p_retailprice")
 
 
 @q("fil_03", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')")

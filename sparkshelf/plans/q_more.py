@@ -156,9 +156,13 @@ def _(t: Tables):
     return B.closest(names, "name", marks).select("name", "kind", "message", "place", "matched", "mark", "confidence")
 
 
-@q("r_13", "SELECT * FROM (VALUES ('  office/STUDY ', 'Office/Study'), ('gaming', 'Gaming'), ('Programming/development', 'Programming/Development')) v(given, label)")
+@q("r_13", """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Office/Study' WHEN 1 THEN 'Gaming' WHEN 2 THEN 'Programming/Development' WHEN 3 THEN 'Creative Work' END AS label, c_custkey % 6 > 3 AS rejected FROM customer""")
 def _(t: Tables):
-    return t.spark.createDataFrame([(g, SC.purpose_label(g)) for g in ("  office/STUDY ", "gaming", "Programming/development")], "given string, label string")
+    """Purposes that customers give, in any spelling, under their canonical labels; market segments and blanks are none."""
+    k = F.col("c_custkey") % 6
+    given = F.when(k == 0, "  office/STUDY ").when(k == 1, "gaming").when(k == 2, "Programming/development").when(k == 3, "CREATIVE \t  work").when(k == 4, F.col("c_mktsegment")).otherwise(" ")
+    label = SC.purpose_of(given)
+    return t.customer.select("c_custkey", label.alias("label"), label.isNull().alias("rejected"))
 
 
 @q("c_25", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'no_sku' WHEN p_partkey % 3 = 0 THEN 'unchanged' WHEN p_partkey % 3 = 1 THEN 'sku' ELSE 'insert' END AS plan FROM part")

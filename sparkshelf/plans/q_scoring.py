@@ -84,13 +84,18 @@ def _(t: Tables):
     return scorable(t).select("id", S.brand_score({"brand_preferences": ["Brand#12"]}).alias("score"))
 
 
-@q("f_09", f"""WITH r AS (SELECT use_case, factor, w::DOUBLE AS w FROM (VALUES {PROFILE_ROWS}) v(use_case, factor, w) UNION ALL SELECT 'personal', factor, w::DOUBLE * boost * carry FROM (VALUES
-('price', 4, 1.3, 1.0), ('cpu', 9, 1.2, 1.0), ('gpu', 1, 1.3, 1.0), ('ram_storage', 1, 1.1, 1.0), ('portability', 1, 1.2, 1.4), ('battery', 1, 1.2, 1.0), ('screen_size', 1, 1.0, 1.0), ('brand', 1, 1.0, 1.0)) p(factor, w, boost, carry))
-SELECT use_case, factor, round(w / sum(w) OVER (PARTITION BY use_case), 9) AS weight FROM r""")
+@q("f_09", """WITH p AS (SELECT c_custkey, c_custkey % 9 + 1 AS cpu, c_nationkey + 1 AS price, c_custkey % 3 AS gaming, c_custkey % 5 = 0 AS office, CASE c_custkey % 4 WHEN 0 THEN 1.4 WHEN 2 THEN 0.5 ELSE 1.0 END AS carry FROM customer),
+r AS (SELECT c_custkey, f AS factor, CAST(CASE f WHEN 'cpu' THEN cpu WHEN 'price' THEN price ELSE 1 END AS DOUBLE) * greatest(CASE WHEN gaming = 0 THEN CASE f WHEN 'gpu' THEN 1.3 WHEN 'cpu' THEN 1.2 WHEN 'ram_storage' THEN 1.1 ELSE 1.0 END ELSE 1.0 END, CASE WHEN office THEN CASE f WHEN 'price' THEN 1.3 WHEN 'battery' THEN 1.2 WHEN 'portability' THEN 1.2 WHEN 'cpu' THEN 1.1 ELSE 1.0 END ELSE 1.0 END)::DOUBLE * CASE WHEN f = 'portability' THEN carry ELSE 1.0 END::DOUBLE AS w
+ FROM p, (VALUES ('price'), ('cpu'), ('gpu'), ('ram_storage'), ('portability'), ('battery'), ('screen_size'), ('brand')) v(f))
+SELECT c_custkey, factor, round(w / sum(w) OVER (PARTITION BY c_custkey), 9) AS weight FROM r""")
 def _(t: Tables):
-    """Weight vectors of all profiles and of one preference."""
-    w = {n: S.weights(profile=p) for n, p in S.PROFILES.items()} | {"personal": S.weights({"priorities": {"cpu": 9, "price": 4}, "purpose": ["Gaming", "Office/Study"], "portability": "Yes, daily"})}
-    return t.spark.createDataFrame([(n, f, round(x, 9)) for n, v in w.items() for f, x in v.items()], "use_case string, factor string, weight double")
+    """Weight vectors of every customer's preference."""
+    k, none = F.col("c_custkey"), F.array().cast("array<string>")
+    priorities = F.create_map(F.lit("cpu"), (k % 9 + 1).cast("double"), F.lit("price"), (F.col("c_nationkey") + 1).cast("double"))
+    purpose = F.concat(F.when(k % 3 == 0, F.array(F.lit("Gaming"))).otherwise(none), F.when(k % 5 == 0, F.array(F.lit("Office/Study"))).otherwise(none), F.when(k % 7 == 0, F.array(F.lit("Other"))).otherwise(none))
+    carry = F.when(k % 4 == 0, "Yes, daily").when(k % 4 == 1, "Neutral").when(k % 4 == 2, "No")
+    rows = t.customer.select("c_custkey", priorities.alias("priorities"), purpose.alias("purpose"), carry.alias("portability"))
+    return S.weight_rows(rows, "c_custkey").withColumn("weight", F.round("weight", 9))
 
 
 @q("f_10", f"{SCORES} SELECT id, {_total('general_use')} AS score FROM s")
@@ -98,10 +103,11 @@ def _(t: Tables):
     return S.score(S.with_percentiles(scorable(t)), {"general_use": S.PROFILES["general_use"]}).select("id", "score")
 
 
-@q("f_11", f"SELECT use_case, factor, w::DOUBLE AS weight FROM (VALUES {PROFILE_ROWS}) v(use_case, factor, w)")
+@q("f_11", f"SELECT id, use_case, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, use_case) AS n FROM ({ALL_SCORES}) WHERE score IS NOT NULL) WHERE n = 1")
 def _(t: Tables):
-    """The fixed profiles."""
-    return t.spark.createDataFrame([(n, f, float(w)) for n, p in S.PROFILES.items() for f, w in p.items()], "use_case string, factor string, weight double")
+    """The profile that each product scores best under."""
+    best = F.min(F.struct((-F.col("score")).alias("s"), "use_case"))
+    return scored(t).where("score is not null").groupBy("id").agg(best.alias("b")).select("id", "b.use_case", (-F.col("b.s")).alias("score"))
 
 
 @q("f_12", ALL_SCORES)
@@ -115,10 +121,11 @@ def _(t: Tables):
     return S.ranking(scored(t), "gaming", "family").select("id", "family", "score")
 
 
-@q("f_14", f"{SCORES} SELECT id, {_total('programming')} AS score FROM s WHERE id IN (5, 8, 13, 21)")
+@q("f_14", f"{SCORES} SELECT id, {_total('programming')} AS score FROM s WHERE brand = 'Brand#12'")
 def _(t: Tables):
+    """The products of one brand, scored on demand against the whole catalog."""
     products = scorable(t)
-    chosen = S.with_percentiles(products.where(F.col("id").isin(5, 8, 13, 21)), products)
+    chosen = S.with_percentiles(products.where("brand = 'Brand#12'"), products)
     return S.score(chosen, {"programming": S.PROFILES["programming"]}).select("id", "score")
 
 
@@ -215,14 +222,20 @@ def _(t: Tables):
     return B.resolve(misspelt(t), "name", reference_marks(t), B.GPU_THRESHOLD).withColumn("confidence", F.round("confidence", 6))
 
 
-@q("b_07", """SELECT * FROM (VALUES ('NVIDIA GeForce RTX 4050', 'Core i7', 14000::BIGINT, 'laptop_variant', false), ('10-core GPU', 'Apple M5', 6000, 'apple_equivalent', true), ('AMD Radeon Graphics', 'AMD Ryzen 7 7730U', 1000, 'integrated', true),
-('Unknown', 'Mystery', NULL, 'unresolved', true), ('GeForce RTX 4070 Laptop GPU', 'x', 18000, 'direct', false)) v(gpu, cpu, gpu_mark, gpu_resolution, gpu_is_proxy)""")
+@q("b_07", """SELECT DISTINCT CASE m WHEN 0 THEN 'GeForce RTX ' || n || ' Laptop GPU' WHEN 1 THEN 'NVIDIA GeForce RTX ' || n WHEN 2 THEN '10-core GPU' WHEN 3 THEN 'AMD Radeon Graphics' ELSE 'Unknown' END AS gpu, CASE m WHEN 0 THEN 'x' WHEN 1 THEN 'Core i7' WHEN 2 THEN 'Apple M5' WHEN 3 THEN 'AMD Ryzen 7 ' || (7000 + s) || 'U' ELSE 'Mystery' END AS cpu,
+CASE m WHEN 0 THEN n * 10 WHEN 1 THEN n * 10 WHEN 2 THEN 6000 WHEN 3 THEN s END AS gpu_mark, CASE m WHEN 0 THEN 'direct' WHEN 1 THEN 'laptop_variant' WHEN 2 THEN 'apple_equivalent' WHEN 3 THEN 'integrated' ELSE 'unresolved' END AS gpu_resolution, m > 1 AS gpu_is_proxy FROM (SELECT p_partkey % 5 AS m, CAST(p_size AS BIGINT) AS s, CAST(4000 + p_size AS BIGINT) AS n FROM part)""")
 def _(t: Tables):
-    """The resolution ladder on a small list of GPU and CPU names."""
-    pairs = t.spark.createDataFrame([("NVIDIA GeForce RTX 4050", "Core i7"), ("10-core GPU", "Apple M5"), ("AMD Radeon Graphics", "AMD Ryzen 7 7730U"), ("Unknown", "Mystery"), ("GeForce RTX 4070 Laptop GPU", "x")], "gpu string, cpu string")
-    marks = t.spark.createDataFrame([("GeForce RTX 4050 Laptop GPU", 14000), ("GeForce RTX 4050", 17000), ("GeForce RTX 4070 Laptop GPU", 18000), ("Qualcomm Adreno X2-90 GPU", 6000), ("Radeon 610M", 1000)], "name string, mark bigint")
-    built_in = t.spark.createDataFrame([("ryzen 7 7730u", "Radeon 610M")], "cpu string, gpu string")
-    return B.resolve_gpu(pairs, "gpu", "cpu", marks, built_in)
+    """The resolution ladder on names of parts: laptop names, bare ones, core counts, graphics built into a CPU, none."""
+    k, size = F.col("p_partkey") % 5, F.col("p_size").cast("bigint")
+    model = F.concat(F.lit("GeForce RTX "), (size + 4000).cast("string"))
+    gpu = F.when(k == 0, F.concat(model, F.lit(" Laptop GPU"))).when(k == 1, F.concat(F.lit("NVIDIA "), model)).when(k == 2, "10-core GPU").when(k == 3, "AMD Radeon Graphics").otherwise("Unknown")
+    ryzen = F.concat(F.lit("AMD Ryzen 7 "), (size + 7000).cast("string"), F.lit("U"))
+    cpu = F.when(k == 0, "x").when(k == 1, "Core i7").when(k == 2, "Apple M5").when(k == 3, ryzen).otherwise("Mystery")
+    radeon = F.concat(F.lit("Radeon "), (size + 600).cast("string"), F.lit("M"))
+    own = t.part.select(F.explode(F.array(F.struct(F.concat(model, F.lit(" Laptop GPU")).alias("name"), ((size + 4000) * 10).alias("mark")), F.struct(model.alias("name"), (size + 90_000).alias("mark")), F.struct(radeon.alias("name"), size.alias("mark")))).alias("m")).select("m.*").distinct()
+    marks = own.union(own.sparkSession.range(1).select(F.lit("Qualcomm Adreno X2-90 GPU"), F.lit(6000).cast("bigint")))
+    built_in = t.part.select(F.substring(ryzen, 5, 99).alias("cpu"), radeon.alias("gpu")).distinct()
+    return B.resolve_gpu(t.part.select(gpu.alias("gpu"), cpu.alias("cpu")), "gpu", "cpu", marks, built_in)
 
 
 @q("j_14", f"{BEST} SELECT title, matched, score FROM bf")
@@ -299,7 +312,10 @@ def _(t: Tables):
     return R.rerank(R.recall(vectors(t), question(t), 1200.0), LIMITS).agg(F.coalesce(F.max("final") >= R.VIABLE, F.lit(False)).alias("viable"))
 
 
-@q("r_09")
+@q("r_09", f"""WITH {PRODUCTS}, st AS (SELECT * FROM (VALUES (0, NULL, 1000, 1.1::DOUBLE), (1, 'weight_limit', 1000, 1.1 + 0.2::DOUBLE), (2, 'weight_limit', 1000, 1.1 + 0.4::DOUBLE), (3, 'budget', 1500, 1.1), (4, 'budget', 2000, 1.1), (5, 'budget', 2500, 1.1)) v(step, field, b, w)),
+nr AS (SELECT st.*, p.id, p.brand, p.weight_kg, round({COS}, 4) AS similarity, row_number() OVER (PARTITION BY step ORDER BY 1 - {COS}, p.id) AS n FROM st JOIN p ON price <= b AND status = 'active' JOIN embeddings e ON e.vec_id = p.id JOIN embeddings z ON z.vec_id = 4),
+fin AS (SELECT step, field, id, round(similarity * CASE WHEN weight_kg <= w THEN 1.0 WHEN (weight_kg - w) / w <= 0.20 THEN 0.7 ELSE 0.2 END::DOUBLE + CASE WHEN lower(brand) = 'brand#12' THEN 0.05 ELSE -0.25 END::DOUBLE, 4) AS final FROM nr WHERE n <= 50 AND weight_kg IS NOT NULL)
+SELECT id, step, field, final FROM fin WHERE step = (SELECT coalesce(min(step) FILTER (final >= 0.33), 0) FROM fin)""")
 def _(t: Tables):
     """The ladder: which step is the first with a viable row, and its rows."""
     return R.relaxed(vectors(t), question(t), R.Constraints(budget=1000.0, weight_limit=1.1, brands=("brand#12",))).select("id", "step", "field", "final")

@@ -70,6 +70,20 @@ def _(t: Tables):
     return t.pages.select("page_id", R.canonical_url(head).alias("v"))
 
 
+@q("src_12", """SELECT p_partkey AS page, 'UX' || lpad(CAST(p_size AS VARCHAR), 4, '0') || '-A' || p_partkey AS sku, CASE p_partkey % 4 WHEN 0 THEN 1000.0 + p_size WHEN 1 THEN 2000.0 + p_size WHEN 3 THEN 3000.0 + p_size END::DOUBLE AS price FROM part""")
+def _(t: Tables):
+    """Price lists as positioned words, a page a part: the price in one word, in two, above its SKU (which is none), and the nearer of two below."""
+    k, size = F.col("p_partkey") % 4, F.col("p_size")
+    word = lambda text, x0, x1, top: F.struct(text.alias("text"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), F.lit(top).alias("top"))
+    money = lambda more: F.format_number(size + more, 0)
+    sku = word(F.concat(F.lit("UX"), F.lpad(size.cast("string"), 4, "0"), F.lit("-A"), F.col("p_partkey").cast("string")), 10.0, 60.0, 100.0)
+    one, far, above = word(F.concat(F.lit("RM"), money(1000)), 12.0, 40.0, 120.0), word(F.concat(F.lit("RM"), money(3000)), 14.0, 40.0, 130.0), word(F.concat(F.lit("RM"), money(500)), 10.0, 40.0, 80.0)
+    two = [word(F.lit("RM"), 12.0, 25.0, 120.0), word(money(2000), 28.0, 60.0, 121.0)]
+    later, aside = word(F.concat(F.lit("RM"), money(9000)), 14.0, 40.0, 150.0), word(F.concat(F.lit("RM"), money(100)), 300.0, 340.0, 110.0)
+    words = F.when(k == 0, F.array(sku, one, aside)).when(k == 1, F.array(sku, *two)).when(k == 2, F.array(sku, above)).otherwise(F.array(sku, later, far))
+    return R.price_rows(t.part.select(F.col("p_partkey").alias("page"), F.explode(words).alias("w")).select("page", "w.*")).select("page", "sku", "price")
+
+
 @q("src_14", "SELECT event_id % 500 AS video_id, min_by(event_id, (CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, value > 50, event_id)) AS position FROM events GROUP BY 1")
 def _(t: Tables):
     lang = F.when(F.col("event_type") == "view", "en-GB").when(F.col("event_type") == "click", "zh").otherwise("ms")
@@ -92,6 +106,20 @@ def _(t: Tables):
     return W.upsert(old, new, ["c_custkey"])
 
 
+@q("snk_04", """SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS model, len(embedding) AS n FROM embeddings UNION ALL SELECT vec_id + 1000000, 'new', len(embedding) FROM embeddings WHERE vec_id % 3 = 0""")
+def _(t: Tables):
+    """Vectors of a second model over those of a first: a third is replaced, as many are added."""
+    old = t.embeddings.select("vec_id", "embedding", F.lit("old").alias("model"))
+    some = old.where("vec_id % 3 = 0").withColumn("model", F.lit("new"))
+    out = W.upsert(old, some.unionByName(some.withColumn("vec_id", F.col("vec_id") + 1_000_000)), ["vec_id"])
+    return out.select("vec_id", "model", F.size("embedding").alias("n"))
+
+
+@q("snk_08", "SELECT doc_id, left(text, 2000) AS text, lang FROM documents")
+def _(t: Tables):
+    return W.previews(t.documents.select("doc_id", "text", "lang"))
+
+
 @q("snk_06", "SELECT l_partkey, l_orderkey FROM (SELECT *, lag(l_discount) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_discount) AS prev FROM (SELECT l_partkey, l_shipdate, max(l_discount) AS l_discount, max(l_orderkey) AS l_orderkey FROM lineitem WHERE l_discount > 0 GROUP BY 1, 2)) WHERE prev IS DISTINCT FROM l_discount")
 def _(t: Tables):
     points = t.lineitem.where("l_discount > 0").groupBy("l_partkey", "l_shipdate").agg(F.max("l_discount").alias("l_discount"), F.max("l_orderkey").alias("l_orderkey"))
@@ -127,7 +155,10 @@ def _(t: Tables):
     return W.stamp_seen(rows, F.col("s_suppkey"), t.lineitem.where("l_quantity > 49"), "l_suppkey", F.lit("seen")).select("s_suppkey", "last_seen_at")
 
 
-@q("stm_03")
+@q("stm_03", """WITH RECURSIVE e AS (SELECT user_id, ts, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+r AS (SELECT user_id, ts, i, [t] AS held, CAST(NULL AS DOUBLE) AS retry_after FROM e WHERE i = 1 UNION ALL
+SELECT user_id, ts, i, CASE WHEN len(live) >= 3 THEN live ELSE list_append(live, t) END, CASE WHEN len(live) >= 3 THEN 3600 - (t - live[1]) END FROM (SELECT e.*, list_filter(r.held, lambda x: e.t - x < 3600) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, ts, retry_after FROM r""")
 def _(t: Tables):
     """Hits of a user beyond three in an hour."""
     return S.rate_limit(t.events.select("user_id", "ts"), "user_id", "ts", 3, 3600.0)

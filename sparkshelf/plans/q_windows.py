@@ -75,7 +75,9 @@ def _(t: Tables):
     return W.running_total(daily, "d", "n", F.lit(100)).select("d", "n", "total")
 
 
-@q("win_10")
+@q("win_10", """WITH RECURSIVE s AS (SELECT conv_id, text, turn * 1.0::DOUBLE AS start, length(text) / 5.0::DOUBLE AS dur, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+r AS (SELECT conv_id, i, 0 AS n, dur AS total FROM s WHERE i = 1 UNION ALL SELECT s.conv_id, s.i, CASE WHEN r.total >= 45 THEN r.n + 1 ELSE r.n END, CASE WHEN r.total >= 45 THEN s.dur ELSE r.total + s.dur END FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.i + 1)
+SELECT r.conv_id, n, string_agg(text, ' ' ORDER BY r.i) AS text, min(start) AS start, arg_max(total, r.i) AS duration FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.i GROUP BY r.conv_id, n""")
 def _(t: Tables):
     """Turns of a conversation as segments of a second for each five characters, gathered into windows of 45 seconds."""
     seg = F.struct("turn", F.col("text").alias("text"), (F.col("turn") * 1.0).alias("start"), (F.length("text") / 5.0).alias("duration"))

@@ -318,7 +318,11 @@ def append_trace(df: DataFrame, path: str) -> None:
 PREVIEW = 2000
 
 
+def previews(df: DataFrame, limit: int = PREVIEW) -> DataFrame:
+    """df with its texts cut to ``limit`` characters."""
+    return df.select(*[F.left(c, F.lit(limit)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
 def append_telemetry(df: DataFrame, path: str, limit: int = PREVIEW) -> None:
     """Appends rows as JSON lines, texts cut to previews of ``limit`` characters."""
-    cut = [F.left(c, F.lit(limit)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
-    append_trace(df.select(*cut), path)
+    append_trace(previews(df, limit), path)

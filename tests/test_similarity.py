@@ -46,6 +46,8 @@ NAMES = {
     "Intel\u00ae Core\u2122 Ultra 7 Processor 255H": "intel core ultra 7 255h", "Apple M5 (10-core)": "apple m5 10 core", "Apple M5 10 Core": "apple m5 10 core", "Apple M5 10-core GPU(20 core)": "apple m5 10 core gpu 20 core",
     "ARM Apple M6 12 Core 0 MHz": "apple m6 12 core", "ARM Apple M6": "apple m6", "Snapdragon X Elite X1E-78-100": "snapdragon x elite x1e78100", "X1E 78 100": "x1e78100", "x1e 78100 foo": "x1e78100 foo",
     "  AMD  Ryzen 7 ": "amd ryzen 7", "Athlon 64 X2 4200+": "athlon 64 x2 4200+", "Athlon X2 64 dual": "athlon x2 64 dual", "\ufb01ne \u00bd": "fine 1\u20442", "Core processor": "core", "(10 Core)": "10 core", "": "", None: None,
+    "Apple M5 10 - Core GPU": "apple m5 10 core gpu", "M5 10 -Core": "m5 10 core", "M5 10\u2013 Core": "m5 10 core", "(10 - Core)": "10 core", "X1E - 78 - 100": "x1e78100", "X1E- 78 -100 x": "x1e78100 x", "Q X1 \u2013 26 \u2013 100": "q x126100",
+    "Intel Processor, N100": "intel , n100", "Intel Processor-N100": "intel -n100", "coreprocessor 5": "coreprocessor 5", "foo 12 - 345": "foo 12 - 345", "a - core": "a - core",
 }
 
 
