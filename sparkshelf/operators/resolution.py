@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from sparkshelf.functions import similarity
 from sparkshelf.operators.joins import longest_contained
+from sparkshelf.tables import settled
 
 #: The least confidence of a match.
 CPU_THRESHOLD, GPU_THRESHOLD = 0.90, 0.85
@@ -135,11 +136,6 @@ BLOCK, TOGETHER, MOST_SENT = 4096, 16, 50_000
 MEASURES = {"token_set": similarity.token_set_ratio, "weighted": similarity.weighted_ratio}
 
 
-def _about(df: DataFrame, column: str) -> int:
-    """How many distinct strings a column holds, by a sketch: for the number of parts, on inputs that are cheap to read."""
-    return df.agg(F.approx_count_distinct(column)).first()[0]
-
-
 def _packed(texts: DataFrame, each: int, n: int | None) -> tuple[DataFrame, int, int]:
     """(part, texts): distinct texts in parts of about ``each`` by hash; how many parts and texts there are. n: about how many, if known."""
     n = texts.count() if n is None else n
@@ -194,20 +190,19 @@ def resolve(strings: DataFrame, name: str, marks: DataFrame, threshold: float =
     marks: name, mark, a reference list of any size. Names that equal a reference name in canonical form, or share its part
     number, never reach the search; of the rest, each distinct canonical form is searched for once. Ties: the lesser reference name."""
     d = strings.select(F.col(name).alias("name")).distinct()
-    ref, known = _reference(marks), _keyed(strings, name)
-    best = Window.partitionBy("name").orderBy(F.desc("confidence"), "ref")
-    by_part = known.where("part <> ''").join(ref.where("part <> ''"), "part").withColumn("confidence", similarity.w_ratio("key", "ref"))
-    by_part = by_part.withColumn("n", F.row_number().over(best)).where("n = 1").select("name", "mark", "matched", F.lit(1.0).alias("confidence"))
-    left = known.join(by_part.select("name"), "name", "left_anti")
-    equal = left.join(ref.drop("part"), F.col("key") == F.col("ref")).select("name", "mark", "matched", F.lit(1.0).alias("confidence"))
-    rest = left.join(equal.select("name"), "name", "left_anti").select("name", "key")
-    top = searched(rest, "key", ref, "ref", "weighted", sizes=(_about(strings, name), _about(marks, "name"))).groupBy("text").agg(F.max(F.struct("score")).alias("s"), F.collect_list(F.struct("score", "ref")).alias("found"))
+    ref, known = settled(_reference(marks), "references"), settled(_keyed(strings, name), "names")  # distinct names, which every branch reads
+    shared = known.where("part <> ''").join(ref.where("part <> ''"), "part").select("name", F.struct((-similarity.w_ratio("key", "ref")).alias("s"), "ref", "mark", "matched").alias("by_part"))
+    equal = ref.select(F.col("ref").alias("key"), F.struct("mark", "matched").alias("equal"))
+    main = known.join(shared.groupBy("name").agg(F.min("by_part").alias("by_part")), "name", "left").join(equal, "key", "left")
+    rest = main.where("by_part is null and equal is null").select("key").distinct()
+    top = searched(rest, "key", ref, "ref", "weighted", sizes=(known.count(), ref.count())).groupBy("text").agg(F.max(F.struct("score")).alias("s"), F.collect_list(F.struct("score", "ref")).alias("found"))
     first = F.array_min(F.transform(F.filter("found", lambda x: x["score"] == F.col("s.score")), lambda x: x["ref"]))
-    top = top.select(F.col("text").alias("key"), first.alias("ref"), (F.col("s.score") / 100).alias("confidence"))
-    scored = rest.join(top, "key").join(ref.drop("part"), "ref").select("name", "mark", "matched", "confidence")
-    found = by_part.unionByName(equal).unionByName(scored)
+    top = top.select(F.col("text").alias("key"), first.alias("ref"), (F.col("s.score") / 100).alias("near")).join(ref.select("ref", F.struct("mark", "matched").alias("like")), "ref").select("key", "near", "like")
+    found = main.join(top, "key", "left")
+    pick = lambda c: F.when(F.col("by_part").isNotNull(), F.col(f"by_part.{c}")).when(F.col("equal").isNotNull(), F.col(f"equal.{c}")).otherwise(F.col(f"like.{c}"))
+    confidence = F.when(F.col("by_part").isNotNull() | F.col("equal").isNotNull(), F.lit(1.0)).otherwise(F.col("near"))
+    found = found.select(F.col("name").alias("__found"), pick("mark").alias("mark"), pick("matched").alias("matched"), confidence.alias("confidence"))
     ok = F.col("confidence") >= threshold
-    found = found.withColumnRenamed("name", "__found")
     out = d.join(found, F.col("name").eqNullSafe(F.col("__found")), "left").select("name", F.when(ok, F.col("mark")).alias("mark"), F.when(ok, F.col("matched")).alias("matched"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     return out.withColumnRenamed("name", name)
 
@@ -236,7 +231,7 @@ def resolve_gpu(pairs: DataFrame, gpu: str, cpu: str, marks: DataFrame, integrat
 
     A name with a model number is direct, or the laptop row of the same part if it does not say laptop itself; else a core count's stand-in;
     else the graphics of the CPU (longest matching CPU name); else unresolved."""
-    each = _ladder(pairs, gpu, cpu, marks, integrated)
+    each = settled(_ladder(pairs, gpu, cpu, marks, integrated), "ladder")
     got = resolve(each.where("__name is not null"), "__name", marks, GPU_THRESHOLD)
     best = each.join(got, "__name", "left").groupBy(gpu, cpu).agg(F.min(F.when(F.col("mark").isNotNull(), F.struct("__i", "how", "mark"))).alias("b"))
     how = F.coalesce("b.how", F.lit("unresolved"))
@@ -249,7 +244,7 @@ def closest(strings: DataFrame, name: str, marks: DataFrame, threshold: float =
 
     kind: ``placeholder`` (one row without candidate), ``qualcomm_part`` (only references of the same part number, confidence 1),
     ``qualcomm_part_missing`` (no reference has the part number; the nearest of all follow) or ``fuzzy``."""
-    ref, known = _reference(marks), _keyed(strings, name)
+    ref, known = settled(_reference(marks), "references"), settled(_keyed(strings, name), "names")
     has = ref.where("part <> ''").select("part").distinct().withColumn("has", F.lit(True))
     known = known.join(has, "part", "left").withColumn("kind", F.when(F.col("has"), "qualcomm_part").when(F.col("part") != "", "qualcomm_part_missing").otherwise("fuzzy"))
     same = known.where("has").join(ref, "part").select("name", "kind", "part", "ref", similarity.w_ratio("key", "ref").alias("score"), F.lit(1.0).alias("confidence"))
