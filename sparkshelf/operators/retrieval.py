@@ -148,3 +148,14 @@ def shortlist(ranked: DataFrame, c: Constraints, group: str = "family", k: int =
     if c.budget is None:
         return dedup_first(rows, group, "__rank").orderBy("__rank").limit(min(k, 6)).drop("__rank")
     return dedup_closest(rows, group, "__rank", "price", c.budget).orderBy("place").limit(min(k, 6)).drop("__rank", "place")
+
+
+def search(products: DataFrame, query: list[float], c: Constraints, group: str = "family", k: int = 6) -> DataFrame:
+    """Recall, rerank, relax, gate and shortlist of one query, in order; no rows if gated. Members are chosen by the budget in force, the relaxed one if it was
+    raised. operators/search.py does this for any number of queries in one plan."""
+    from sparkshelf.operators.search import shortlists
+
+    ranked = relaxed(products, query, c)
+    open_ = ranked.agg(F.max("final").alias("__top")).where(F.col("__top") >= GATE)
+    rows = ranked.join(F.broadcast(open_)).drop("__top").withColumn("case", F.lit(0))
+    return shortlists(rows, group, min(k, 6)).orderBy("place").drop("case", "place")
