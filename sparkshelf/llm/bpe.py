@@ -27,7 +27,9 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: follows it, and of a run of white space before a word the last one goes with the word.
 LOOSE = re.compile(r" (?:\s|\Z)")
 #: Bytes that a worker's memory of words may hold, as estimated; a full one becomes the old one, where words that come again are found.
-MOST_BYTES, ENTRY = 40 << 20, 170
+MOST_BYTES, ENTRY = 64 << 20, 170
+#: Places of the marks of words that came once.
+SEEN = 1 << 22
 
 
 def tokenizer_path() -> str:
@@ -80,6 +82,7 @@ class Coder(dict):
         self.piece = regex.compile(PIECE)
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
         self.held = 0
 
     def __missing__(self, word: str) -> bytes:
@@ -87,6 +90,10 @@ class Coder(dict):
         if ids is None:
             pieces = self.piece.findall(f" {word}")
             ids = self._merged(pieces[0]) if len(pieces) == 1 else self._of(pieces)
+            place = hash(word) & (SEEN - 1)
+            if not self.seen[place]:  # most new words never come again: one is kept from the second time on
+                self.seen[place] = 1
+                return ids
         self.held += ENTRY + 2 * len(word) + len(ids)
         self[word] = ids
         return ids
@@ -150,6 +157,7 @@ class Coder(dict):
             self.old = dict(self)
             self.clear()
             self.pieces.clear()
+            self.seen = bytearray(SEEN)
             self.held = 0
         if self.added_at is None:
             return self._ordinary(text)
