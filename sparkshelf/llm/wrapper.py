@@ -14,10 +14,12 @@ checks, meet the pages in a join that Spark broadcasts while they are small and
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -148,18 +150,10 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1
 
 
-#: A page of more blocks has one slot for all children of one label under a parent, as matching takes the product of two sizes.
-MOST_SLOTS = 500
-
-
 def shrink(root: Node) -> Slot:
-    return _shrunk(root, True) or _shrunk(root, False)
-
-
-def _shrunk(root: Node, apart: bool) -> Slot | None:
-    """The small tree; None if siblings are kept apart and it has more than MOST_SLOTS slots."""
-    top, n = Slot(0), 1
-    stack, merged = [(root, top, False)], {}
+    """The small tree: a slot for each block, however many a page has."""
+    top = Slot(0)
+    stack = [(root, top, False)]
     while stack:
         node, slot, link = stack.pop()
         slot.nodes.append(node)
@@ -172,15 +166,8 @@ def _shrunk(root: Node, apart: bool) -> Slot | None:
                     slot.h.update(" ".join(words).encode("utf-8", "surrogatepass") + b"\n")
             elif part.tag not in RAW:
                 if part.tag in BLOCK:
-                    label = _hash(part.label)
-                    kid = None if apart else merged.get((id(slot), label))
-                    if kid is None:
-                        kid = merged[id(slot), label] = Slot(label)
-                        slot.kids.append(kid)
-                        n += 1
-                        if apart and n > MOST_SLOTS:
-                            return None
-                    below.append((part, kid, link))
+                    slot.kids.append(Slot(_hash(part.label)))
+                    below.append((part, slot.kids[-1], link))
                 else:
                     below.append((part, slot, link or part.tag == "a"))  # inline text belongs to its block
         stack.extend(reversed(below))
@@ -222,14 +209,35 @@ def _children(depths: list[int]) -> list[list[int]]:
     return kids
 
 
+#: Tables of more cells are made by numpy, a row at a time; of smaller ones up to MOST_CELLS cells in all are kept for the way back.
+WIDE, MOST_CELLS = 4096, 1 << 20
+#: Two trees with more pairs of nodes have equal subtrees told first.
+MANY = 1 << 14
+
+
+def _classes(labels: list[int], kids: list[list[int]], texts: list[int] | None, common: set[int]) -> list[int]:
+    """The same number for subtrees of the same shape, labels and texts; texts that the other tree lacks count as one."""
+    found: dict[tuple, int] = {}
+    out = [0] * len(labels)
+    for i in range(len(labels) - 1, -1, -1):
+        text = texts[i] if texts is not None and texts[i] in common else -1
+        out[i] = found.setdefault((labels[i], text, *[out[k] for k in kids[i]]), len(found))
+    return out
+
+
 def match(la: list[int], da: list[int], lb: list[int], db: list[int], ta: list[int] | None = None, tb: list[int] | None = None) -> dict[int, int]:
     """Simple tree matching: b's node -> a's node for a largest match that keeps labels, order and ancestry; among the largest, one with
-    the most equal texts, if these are given. Trees are preorder labels and depths."""
+    the most equal texts, if these are given. Trees are preorder labels and depths, of any size: in large ones pairs of equal subtrees are scored
+    once, and of a wide table only every so many rows are held, the others made again on the way back. The match is the same either way."""
     if not la or not lb or la[0] != lb[0]:
         return {}
     ka, kb = _children(da), _children(db)
-    score: dict[tuple[int, int], int] = {}
-    tables: dict[tuple[int, int], list[list[int]]] = {}
+    ca, cb, many = range(len(la)), range(len(lb)), len(lb)
+    if len(la) * len(lb) > MANY:
+        common = set(ta) & set(tb) if ta is not None else set()
+        ca, cb = _classes(la, ka, ta, common), _classes(lb, kb, tb, common)
+    score: dict[int, int] = {}
+    tables: dict[int, list[list[int]]] = {}
     one, two = 1 << 32, (1 << 32) + 1
 
     def table(i: int, j: int) -> list[list[int]]:
@@ -237,13 +245,13 @@ def match(la: list[int], da: list[int], lb: list[int], db: list[int], ta: list[i
         row = [0] * (len(b) + 1)
         m = [row]
         for u in ka[i]:
-            label, left, before, row = la[u], 0, row, [0]
+            label, left, before, row, at = la[u], 0, row, [0], ca[u] * many
             for y, v in enumerate(b):
                 best = before[y + 1]
                 if left > best:
                     best = left
                 if label == lb[v]:
-                    both = before[y] + (score.get((u, v)) or (two if ta is not None and ta[u] == tb[v] else one))
+                    both = before[y] + (score.get(at + cb[v]) or (two if ta is not None and ta[u] == tb[v] else one))
                     if both > best:
                         best = both
                 row.append(best)
@@ -251,34 +259,90 @@ def match(la: list[int], da: list[int], lb: list[int], db: list[int], ta: list[i
             m.append(row)
         return m
 
-    todo = [(0, 0, False)]
+    def rows(j: int):
+        """The first row of a table of j's children, and what makes the next one, given a child of i."""
+        b = kb[j]
+        labels, inner = np.array([lb[v] for v in b], np.int64), np.array([y for y, v in enumerate(b) if kb[v]], np.int64)
+        gains = {x: np.where(labels == x, one, 0) for x in {lb[v] for v in b}}
+        texts, held = (None, ()) if tb is None else (np.array([tb[v] for v in b], np.int64), {tb[v] for v in b})
+        kinds, which = np.unique(np.array([cb[b[y]] for y in inner.tolist()], np.int64), return_inverse=True)
+        kinds = kinds.tolist()
+
+        def after(before: np.ndarray, u: int) -> np.ndarray:
+            if la[u] not in gains:
+                return before
+            gain = gains[la[u]]
+            if ta is not None and ta[u] in held:
+                gain = gain + ((gain > 0) & (texts == ta[u]))
+            if ka[u] and kinds:
+                at, gain = ca[u] * many, gain.copy()
+                gain[inner] = np.array([score.get(at + k, 0) for k in kinds], np.int64)[which]  # a pair with a leaf has its own nodes alone
+            row = np.zeros(len(b) + 1, np.int64)
+            np.add(before[:-1], gain, out=row[1:])
+            np.maximum(row[1:], before[1:], out=row[1:])
+            return np.maximum.accumulate(row, out=row)
+
+        return np.zeros(len(b) + 1, np.int64), after
+
+    def inner_pairs(i: int, j: int):
+        us, vs = [u for u in ka[i] if ka[u]], [v for v in kb[j] if kb[v]]
+        if len(us) * len(vs) > 1:
+            us, vs = {ca[u]: u for u in us}.values(), {cb[v]: v for v in vs}.values()
+        return ((u, v) for u in us for v in vs if la[u] == lb[v])
+
+    cells = 0
+    todo = [(0, 0, inner_pairs(0, 0))] if ka[0] and kb[0] else []
     while todo:
-        i, j, ready = todo.pop()
-        own = two if ta is not None and ta[i] == tb[j] else one
-        if ready:
-            m = tables[i, j] = table(i, j)
-            score[i, j] = m[-1][-1] + own
-        elif not ka[i] or not kb[j]:
-            score[i, j] = own
+        i, j, rest = todo[-1]
+        for u, v in rest:
+            if ca[u] * many + cb[v] not in score:
+                todo.append((u, v, inner_pairs(u, v)))
+                break
         else:
-            todo.append((i, j, True))
-            inner = [v for v in kb[j] if kb[v]]  # a pair with a leaf scores its own nodes, which the table adds itself
-            todo.extend((u, v, False) for u in ka[i] if ka[u] for v in inner if la[u] == lb[v])
-    pairs, todo = {}, [(0, 0)]
-    while todo:
-        i, j = todo.pop()
+            todo.pop()
+            size = len(ka[i]) * len(kb[j])
+            if size <= WIDE:
+                m = table(i, j)
+                last = m[-1][-1]
+                if (cells := cells + size) <= MOST_CELLS:
+                    tables[ca[i] * many + cb[j]] = m
+            else:
+                row, after = rows(j)
+                for u in ka[i]:
+                    row = after(row, u)
+                last = int(row[-1])
+            score[ca[i] * many + cb[j]] = last + (two if ta is not None and ta[i] == tb[j] else one)
+    pairs, back = {}, [(0, 0)]
+    while back:
+        i, j = back.pop()
         pairs[j] = i
-        if (i, j) not in tables:
+        x, y = len(ka[i]), len(kb[j])
+        if not x or not y:
             continue
-        m, x, y = tables[i, j], len(ka[i]), len(kb[j])
-        while x and y:
-            if m[x][y] == m[x - 1][y]:
-                x -= 1
-            elif m[x][y] == m[x][y - 1]:
-                y -= 1
-            else:
-                x, y = x - 1, y - 1
-                todo.append((ka[i][x], kb[j][y]))
+        step, after = x, None
+        if x * y <= WIDE:
+            held = [tables.get(ca[i] * many + cb[j]) or table(i, j)]
+        else:
+            row, after = rows(j)
+            held, step = [], math.isqrt(x) + 1
+            for k, u in enumerate(ka[i]):
+                if k % step == 0:
+                    held.append([row])
+                row = after(row, u)
+        while held:
+            m, first = held.pop(), len(held) * step
+            if after:
+                for u in ka[i][first : first + step]:
+                    m.append(after(m[-1], u))
+            while x > first and y:
+                now, before = m[x - first], m[x - first - 1]
+                if now[y] == before[y]:
+                    x -= 1
+                elif now[y] == now[y - 1]:
+                    y -= 1
+                else:
+                    x, y = x - 1, y - 1
+                    back.append((ka[i][x], kb[j][y]))
     return pairs
 
 
@@ -441,8 +505,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html", share: float = 0.9) -> DataFrame:
     """Per row of pages: id_col, url, text (empty if none) and n_chars (code points).
 
-    Null html counts as empty and has no text; pages of any length count whole (matching takes the product of two trees' sizes, so one of
-    more than MOST_SLOTS blocks has one slot for all children of one label). Rows of null URL, or of a host with fewer than LOOSE + 1
+    Null html counts as empty and has no text; pages of any length count whole and are aligned block by block, whatever their number (matching
+    takes time for the product of two pages' blocks at most, numpy's for long lists of siblings). Rows of null URL, or of a host with fewer than LOOSE + 1
     different articles, have no template and keep all of the article. Of a host's pages those of the least hashes are its exemplars; equal
     hashes are equal trees. Repeated rows and null ids each keep a row; an empty table gives none. Other columns are not read."""
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url).alias("__url"), F.col(page).alias("__html"), host_of(F.col(url)).alias("__host"))

@@ -142,3 +142,37 @@ def test_headings_of_an_article_stay(spark):
     rows = [(i, "http://h.org/", page.format(i=i), "", "") for i in range(12)]
     got = {r["page_id"]: r["text"] for r in W.extract(pages_of(spark, rows)).collect()}
     assert got == {i: f"Story {i}\n\nIntroduction\n\nit begins {i}\n\nSummary\n\nit ends {i}" for i in range(12)}
+
+
+def test_pages_of_many_blocks_are_aligned_block_by_block(spark):
+    """Constant siblings go from pages of any number of blocks, as they do from short ones."""
+    rows = []
+    for n in (20, 700):
+        for i in range(W.LOOSE * 2 + 1):
+            items = [f"<p>story {n} {i} {k}</p>" for k in range(n + i % 2)]
+            rows.append((n * 100 + i, f"http://n{n}.org/", f"<body><p>Site menu</p>{''.join(items)}<p>All rights reserved</p></body>", "", ""))
+    got = {r["page_id"]: r["text"] for r in W.extract(pages_of(spark, rows)).collect()}
+    assert got == {n * 100 + i: "\n\n".join(f"story {n} {i} {k}" for k in range(n + i % 2)) for n in (20, 700) for i in range(W.LOOSE * 2 + 1)}
+
+
+def test_wide_tables_and_classes_leave_the_match_as_it_is(monkeypatch):
+    import random
+
+    rng = random.Random(8)
+
+    def tree():
+        labels, depths, texts = [0], [0], [0]
+        for _ in range(rng.randrange(40)):
+            labels.append(rng.randrange(2))
+            depths.append(rng.randint(1, min(depths[-1] + 1, 5)))
+            texts.append(rng.randrange(4))
+        return labels, depths, texts
+
+    some = [(tree(), tree()) for _ in range(80)]
+    found = []
+    for wide, cells, many in ((W.WIDE, W.MOST_CELLS, W.MANY), (0, 0, 0), (6, 20, 0), (6, 20, W.MANY)):
+        monkeypatch.setattr(W, "WIDE", wide)
+        monkeypatch.setattr(W, "MOST_CELLS", cells)
+        monkeypatch.setattr(W, "MANY", many)
+        found.append([W.match(a[0], a[1], b[0], b[1], a[2], b[2]) for a, b in some])
+    assert all(f == found[0] for f in found)
