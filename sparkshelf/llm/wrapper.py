@@ -225,13 +225,13 @@ def _classes(labels: list[int], kids: list[list[int]], texts: list[int] | None,
     return out
 
 
-def match(la: list[int], da: list[int], lb: list[int], db: list[int], ta: list[int] | None = None, tb: list[int] | None = None) -> dict[int, int]:
+def match(la: list[int], da: list[int], lb: list[int], db: list[int], ta: list[int] | None = None, tb: list[int] | None = None, ka: list | None = None, kb: list | None = None) -> dict[int, int]:
     """Simple tree matching: b's node -> a's node for a largest match that keeps labels, order and ancestry; among the largest, one with
-    the most equal texts, if these are given. Trees are preorder labels and depths, of any size: in large ones pairs of equal subtrees are scored
+    the most equal texts, if these are given. Trees are preorder labels and depths (and their _children(), if known), of any size: in large ones pairs of equal subtrees are scored
     once, and of a wide table only every so many rows are held, the others made again on the way back. The match is the same either way."""
     if not la or not lb or la[0] != lb[0]:
         return {}
-    ka, kb = _children(da), _children(db)
+    ka, kb = ka or _children(da), kb or _children(db)
     ca, cb, many = range(len(la)), range(len(lb)), len(lb)
     if len(la) * len(lb) > MANY:
         common = set(ta) & set(tb) if ta is not None else set()
@@ -286,8 +286,9 @@ def match(la: list[int], da: list[int], lb: list[int], db: list[int], ta: list[i
 
     def inner_pairs(i: int, j: int):
         us, vs = [u for u in ka[i] if ka[u]], [v for v in kb[j] if kb[v]]
-        if len(us) * len(vs) > 1:
-            us, vs = {ca[u]: u for u in us}.values(), {cb[v]: v for v in vs}.values()
+        if len(us) * len(vs) < 50:
+            return iter([(u, v) for u in us for v in vs if la[u] == lb[v]])
+        us, vs = {ca[u]: u for u in us}.values(), {cb[v]: v for v in vs}.values()
         return ((u, v) for u in us for v in vs if la[u] == lb[v])
 
     cells = 0
@@ -420,23 +421,43 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(rows, kind)], ["host", "content", "tree"])
 
 
+def _lists(array: pa.Array) -> list[list]:
+    """The values of an array of lists without nulls; to_pylist() would make a scalar of each first."""
+    ends, values = array.offsets.to_pylist(), array.values.to_numpy(zero_copy_only=False).tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
+#: Hosts whose templates or exemplars a task keeps as Python lists.
+MOST_HOSTS = 200
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """host, exemplar, its node, pages that have a node of this label where the parent is matched, those whose match has equal text, those whose
     match is a menu; summed within the task."""
     got: dict = defaultdict(lambda: [0, 0, 0])
+    known: dict = {}
     for batch in batches:
-        for row in batch.to_pylist():
-            a, b = row["exemplar"], row["tree"]
-            pairs = match(a["labels"], a["depths"], b["labels"], b["depths"], a["texts"], b["texts"])
-            below_a, below_b = _children(a["depths"]), _children(b["depths"])
-            got[row["host"], row["k"], 0][0] += 1
+        fields = ("labels", "depths", "texts", "menus")
+        trees, exemplars = batch.column("tree"), batch.column("exemplar")
+        rows = zip(batch.column("host").to_pylist(), batch.column("k").to_pylist(), *(_lists(trees.field(f)) for f in fields))
+        for at, (host, k, labels, depths, texts, menus) in enumerate(rows):
+            if (host, k) not in known:
+                if len(known) >= MOST_HOSTS:
+                    known.clear()
+                known[host, k] = a = exemplars[at].as_py()
+                a["below"] = _children(a["depths"])
+            a = known[host, k]
+            below_a, below_b, texts_a, menus_a, labels_a = a["below"], _children(depths), a["texts"], a["menus"], a["labels"]
+            pairs = match(labels_a, a["depths"], labels, depths, texts_a, texts, below_a, below_b)
+            got[host, k, 0][0] += 1
             for j, i in pairs.items():
-                votes = got[row["host"], row["k"], i]
-                votes[1] += a["texts"][i] == b["texts"][j]
-                votes[2] += a["menus"][i] and b["menus"][j]
-                held = {b["labels"][v] for v in below_b[j]}
-                for u in below_a[i]:
-                    got[row["host"], row["k"], u][0] += a["labels"][u] in held
+                votes = got[host, k, i]
+                votes[1] += texts_a[i] == texts[j]
+                votes[2] += menus_a[i] and menus[j]
+                if below_a[i]:
+                    held = {labels[v] for v in below_b[j]}
+                    for u in below_a[i]:
+                        got[host, k, u][0] += labels_a[u] in held
     keys = list(got)
     columns = [*([k[x] for k in keys] for x in range(3)), *([got[k][x] for k in keys] for x in range(3))]
     types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -475,9 +496,10 @@ def extract_page(page: str | None, templates: list[dict] | None = None) -> str:
     if templates:
         labels, depths, texts, menus, slots = flat(shrink(root))
         inside = {id(n) for home in _homes(root) if home is not root for n in _within(home)}
+        below = _children(depths)
         for t in templates:
             constant, linked = set(t["constant"]), set(t["linked"])
-            for j, i in match(t["labels"], t["depths"], labels, depths, t["texts"], texts).items():
+            for j, i in match(t["labels"], t["depths"], labels, depths, t["texts"], texts, t.get("below"), below).items():
                 if i in constant and t["texts"][i] == texts[j]:
                     template |= {id(n) for n in slots[j].nodes if n.tag not in HEADINGS or id(n) not in inside}
                 if j and i in linked and menus[j]:
@@ -495,9 +517,17 @@ def _within(home: Node) -> list[Node]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict = {}
     for batch in batches:
-        pages = batch.column("__html")
-        texts = [extract_page(p.as_py(), t.as_py()) for p, t in zip(pages, batch.column("templates"))]
+        pages, templates, texts = batch.column("__html"), batch.column("templates"), []
+        for at, host in enumerate(batch.column("__host").to_pylist()):
+            if host not in known:
+                if len(known) >= MOST_HOSTS:
+                    known.clear()
+                known[host] = templates[at].as_py() or []
+                for t in known[host]:
+                    t["below"] = _children(t["depths"])
+            texts.append(extract_page(pages[at].as_py(), known[host]))
         out = [batch.column("__id"), batch.column("__url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
         yield pa.RecordBatch.from_arrays(out, ["__id", "__url", "text", "n_chars"])
 
@@ -511,7 +541,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
     hashes are equal trees. Repeated rows and null ids each keep a row; an empty table gives none. Other columns are not read."""
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url).alias("__url"), F.col(page).alias("__html"), host_of(F.col(url)).alias("__host"))
     templates = written(induce(rows, "__host", "__html", share), "page-templates")
-    met = rows.join(templates, rows["__host"] == templates["host"], "left").select("__id", "__url", "__html", "templates")
+    met = rows.join(templates, rows["__host"] == templates["host"], "left").select("__id", "__url", "__html", "__host", "templates")
     kinds = dict(rows.dtypes)
     out = met.mapInArrow(_extract, f"__id {kinds['__id']}, __url string, text string, n_chars bigint")
     return out.select(F.col("__id").alias(id_col), F.col("__url").alias(url), "text", "n_chars")
