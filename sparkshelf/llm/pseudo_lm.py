@@ -39,8 +39,8 @@ LONG = 40
 FLUSH = 400_000
 BATCH = 4096
 SCALE = 1 << 20
-#: One pair of neighbours in so many is counted by the query, each of its places being a row that Spark shuffles.
-CONTEXTS = 32
+#: The query counts every pair of neighbours; each place is a row that Spark shuffles.
+CONTEXTS = 1
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -205,7 +205,8 @@ def context_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return z ^ (z >> np.uint64(31)), own[1:-1]
 
 
-CONTEXT = pa.struct([("key", pa.int64()), ("own", pa.int64()), ("log_p", pa.int64()), ("word", pa.binary())])
+#: own: a checksum of the word at the place, as 32 signed bits; log_p in SCALE-ths.
+CONTEXT = pa.struct([("key", pa.int64()), ("own", pa.int32()), ("log_p", pa.int32()), ("word", pa.binary())])
 
 
 def _scorer(lexicon: Lexicon, net: Network, contexts: int):
@@ -228,10 +229,10 @@ def _scorer(lexicon: Lexicon, net: Network, contexts: int):
                     keys, own = context_keys(words)
                     at = np.flatnonzero(keys % np.uint64(contexts) == 0)
                     name = [_key(words[i]) if out else None for i, out in zip(at.tolist(), np.isin(at, rare).tolist())]
-                    held.append((keys[at].view(np.int64), own[at].astype(np.int64), np.rint(log_p[at] * SCALE).astype(np.int64), name))
+                    held.append((keys[at].view(np.int64), own[at].astype(np.uint32).view(np.int32), np.rint(log_p[at] * SCALE).astype(np.int32), name))
                     ends.append(ends[-1] + len(at))
             flat = [np.concatenate(c) if held else [] for c in list(zip(*held))[:3] or ([], [], [])]
-            fields = [*(pa.array(c, pa.int64()) for c in flat), pa.array([w for h in held for w in h[3]], pa.binary())]
+            fields = [*(pa.array(c, f.type) for c, f in zip(flat, CONTEXT)), pa.array([w for h in held for w in h[3]], pa.binary())]
             found = pa.ListArray.from_arrays(pa.array(ends if held else [0] * (len(counts) + 1), pa.int32()), pa.StructArray.from_arrays(fields, fields=list(CONTEXT)))
             at = pa.array(np.arange(row, row + len(counts)), pa.int64())
             row += len(counts)
@@ -299,7 +300,7 @@ def score(docs: DataFrame, lexicon: Lexicon, net: Network, text: str = "text", i
     document to the first; texts of any length are scored whole; an empty table gives none. Words that fit() never saw count as seen once.
     Other columns are not read."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
-    places = "array<struct<key:bigint,own:bigint,log_p:bigint,word:binary>>"
+    places = "array<struct<key:bigint,own:int,log_p:int,word:binary>>"
     schema = f"__row bigint, __id {rows.dtypes[0][1]}, n_tokens bigint, log_prob double, others array<binary>, contexts {places}"
     out = written(rows.mapInArrow(_scorer(lexicon, net, contexts), schema), "lm-scores")
     # words seen once add nothing; sums of integers, so that reruns agree

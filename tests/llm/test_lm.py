@@ -103,3 +103,15 @@ def test_documents_that_occur_twice_are_told_apart(spark):
 
 def test_contexts_of_no_rows(none, docs):
     assert LM.score(none, *LM.fit(docs), contexts=1).count() == 0
+
+
+def test_the_query_counts_every_context(spark, docs, tmp_path):
+    """What the query gives is what the operator gives with the contexts of all places."""
+    from sparkshelf.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_pseudo_lm(spark, str(tmp_path)).collect()
+    assert rows and all(r["n_contexts"] == r["n_tokens"] for r in rows)
+    whole = LM.score(docs, *LM.fit(docs), contexts=1).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["n_recalled"])
+    assert sorted(map(key, rows)) == sorted(map(key, whole))
