@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,38 +46,43 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Strings:
+    """What decoding takes: the bytes of each id, without what encoding needs besides."""
+
+    def __init__(self, description: dict):
+        letters = byte_letters()
+        vocabulary: dict[str, int] = description["model"]["vocab"]
+        added = description.get("added_tokens") or []
+        self.size = max([*vocabulary.values(), *(t["id"] for t in added)]) + 1
+        as_bytes = lambda s: bytes(map(letters.__getitem__, s)) if all(c in letters for c in s) else s.encode()
+        self.strings = [b""] * self.size
+        for s, i in [*vocabulary.items(), *((t["content"], t["id"]) for t in added)]:
+            self.strings[i] = as_bytes(s)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids in the vocabulary: their strings one after another, what is no UTF-8 replaced."""
+        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+
+
 class Coder(dict):
     """What stands between two spaces of a text -> the ids of it and the space before it, as int32 bytes, found when first asked for."""
 
     def __init__(self, description: dict):
         super().__init__()
-        model, letters = description["model"], byte_letters()
-        split = description.get("pre_tokenizer") or {}
-        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
-        if model.get("type") != "BPE" or not plain or description.get("normalizer") or odd:
-            raise ValueError("not a plain byte-level BPE tokenizer")
-        added = description.get("added_tokens") or []
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
-            raise ValueError("added tokens that strip or need word bounds are not supported")
+        self.check(description)
+        model, letters, added = description["model"], byte_letters(), description.get("added_tokens") or []
         vocabulary: dict[str, int] = model["vocab"]
-        self.size = max([*vocabulary.values(), *(t["id"] for t in added)]) + 1
         self.of_byte = [0] * 256
         for letter, byte in letters.items():
             self.of_byte[byte] = vocabulary[letter]
-        self.ranks: list[dict[int, int]] = [{} for _ in range(self.size)]  # left symbol -> right symbol -> rank
+        self.decode = Strings(description).decode
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(vocabulary.values()) + 1)]  # left symbol -> right symbol -> rank
         self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocabulary[a]][vocabulary[b]] = rank
             self.made.append(vocabulary[a + b])
-        as_bytes = lambda s: bytes(map(letters.__getitem__, s)) if all(c in letters for c in s) else s.encode()
-        self.strings = [b""] * self.size
-        for s, i in vocabulary.items():
-            self.strings[i] = as_bytes(s)
         self.added = {t["content"]: array("i", [t["id"]]).tobytes() for t in added}
-        for t in added:
-            self.strings[t["id"]] = as_bytes(t["content"])
         longest_first = sorted(self.added, key=len, reverse=True)
         self.added_at = regex.compile("|".join(map(regex.escape, longest_first))) if added else None
         self.piece = regex.compile(PIECE)
@@ -85,6 +91,19 @@ class Coder(dict):
         self.seen = bytearray(SEEN)
         self.held = 0
 
+    @staticmethod
+    def check(description: dict) -> None:
+        """Raises ValueError for tokenizers of other kinds."""
+        model = description["model"]
+        split = description.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model.get("type") != "BPE" or not plain or description.get("normalizer") or odd:
+            raise ValueError("not a plain byte-level BPE tokenizer")
+        added = description.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that strip or need word bounds are not supported")
+
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
@@ -154,7 +173,8 @@ class Coder(dict):
     def encode(self, text: str) -> bytes:
         """The ids of a text as int32; added tokens in the text are those tokens."""
         if self.held > MOST_BYTES:
-            self.old = dict(self)
+            self.old.clear()
+            self.old.update(self)
             self.clear()
             self.pieces.clear()
             self.seen = bytearray(SEEN)
@@ -167,10 +187,6 @@ class Coder(dict):
             at = m.end()
         return b"".join([*out, self._ordinary(text[at:] if at else text)])
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids in the vocabulary: their strings one after another, what is no UTF-8 replaced."""
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
-
 
 @functools.lru_cache(2)
 def coder(file: str) -> Coder:
@@ -179,6 +195,47 @@ def coder(file: str) -> Coder:
         return Coder(json.load(f))
 
 
+@functools.lru_cache(2)
+def strings(file: str) -> Strings:
+    """The strings of a tokenizer's file, once for each worker process."""
+    with open(file, encoding="utf-8") as f:
+        description = json.load(f)
+    Coder.check(description)
+    return Strings(description)
+
+
+def _encoded(c: Coder, texts: pa.Array) -> pa.Array:
+    """The ids of a batch; one text is held at a time."""
+    out, ends = bytearray(), array("i", [0])
+    for t in texts:
+        out += c.encode(t.as_py() or "")
+        ends.append(len(out) // 4)
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(out, np.int32)))
+
+
+def _decoded(c: Strings, lists: pa.Array) -> pa.Array:
+    """The texts of a batch; one list is held at a time."""
+    flat = lists.flatten()  # without what null lists may hide
+    flat = (pc.fill_null(flat, -1) if flat.null_count else flat).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+
+    def texts() -> Iterator[str]:
+        a = 0
+        for n in lengths:
+            ids = flat[a : a + n]
+            a += n
+            if n and (ids.min() < 0 or ids.max() >= c.size):
+                ids = ids[(ids >= 0) & (ids < c.size)]
+            yield c.decode(ids.tolist())
+
+    return pa.concat_arrays([pa.array(some, pa.string()) for some in _some(texts(), 500)] or [pa.array([], pa.string())])
+
+
+def _some(items: Iterator, n: int) -> Iterator[list]:
+    while some := list(islice(items, n)):
+        yield some
+
+
 def ids_of(text: Column, file: str | None = None) -> Column:
     """array<int>: a text's ids. Null gives an empty array."""
     at = file or tokenizer_path()
@@ -187,9 +244,7 @@ def ids_of(text: Column, file: str | None = None) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = coder(at)
         for texts in batches:
-            found = [c.encode(t.as_py() or "") for t in texts]  # one text is held at a time
-            ends = np.cumsum([0, *map(len, found)]) // 4
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            yield _encoded(c, texts)
 
     return run(text)
 
@@ -200,14 +255,9 @@ def text_of(ids: Column, file: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = coder(at)
+        c = strings(at)
         for lists in batches:
-            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)  # without what null lists may hide
-            known = (flat >= 0) & (flat < c.size)
-            ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)]))
-            ends = np.concatenate([[0], np.cumsum(known)])[ends].tolist()
-            flat = flat[known]
-            yield pa.array([c.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
+            yield _decoded(c, lists)
 
     return run(ids)
 

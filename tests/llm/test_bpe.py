@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 
@@ -87,3 +88,22 @@ def test_query_equals_the_library(spark, sf, library):
         decoded = library.decode(ids, skip_special_tokens=False)
         want[r["doc_id"]] = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
     assert {r["doc_id"]: tuple(r)[1:] for r in op12_bpe(spark, sf).collect()} == want
+
+
+def test_a_batch_is_decoded_in_little_memory(own):
+    """Beside the ids and the texts there is nothing that grows with a batch, as masks and sums of all ids would; merges stay with encoding."""
+    import tracemalloc
+
+    texts = ["a few plain words, over and over again " * 40] * 2000
+    ids = bpe._encoded(own, pa.array(texts))
+    c = bpe.strings(bpe.tokenizer_path())
+    assert not hasattr(c, "ranks")
+    tracemalloc.start()
+    got = bpe._decoded(c, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == texts
+    assert peak < ids.values.nbytes
+    mixed = pa.array([[1, -1, 2, None, 99_999_999], None, [], [3]], pa.list_(pa.int32()))
+    assert bpe._decoded(c, mixed).to_pylist() == [c.decode([1, 2]), "", "", c.decode([3])]
+    assert bpe._decoded(c, mixed.slice(2)).to_pylist() == ["", c.decode([3])]
