@@ -23,8 +23,8 @@ from .common import drop_written, written
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Inside a longer candidate with this share (in percent) of its count, a phrase goes.
 WITHIN = 80
-#: Bytes of text that are worked on together; cut where a piece ends.
-TOGETHER = 6 << 20
+#: Bytes of text that are worked on together, at about thirty times as much memory; cut where a piece ends.
+TOGETHER = 2 << 20
 MOST_BITS = 1 << 30
 WORD, SPACE, END = 0, 1, 2
 KIND = np.zeros(256, np.uint8)

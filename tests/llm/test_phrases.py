@@ -94,3 +94,23 @@ def test_empty_tables_and_other_columns(docs, none):
 
 def test_sql(spark, sf):
     assert compare(op13_phrases(spark, sf), connect(sf), phrases.ORACLE) is None
+
+
+def test_a_large_batch_is_counted_in_little_memory():
+    """Counting holds the arrays of one slice, not of a batch, and two workers of them fit beside a JVM in an executor."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(3000)]
+    texts = pa.array([" ".join(rng.choices(words, k=20_000)) for _ in range(60)])
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), texts], ["lang", "text"])
+    for k in (1, 2):
+        tracemalloc.start()
+        total = sum(sum(n for n, p in zip(b["n"].to_pylist(), b["phrase"].is_valid().to_pylist()) if p) for b in phrases._emit(k, None)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 120e6, peak
+        assert total == 60 * 20_000 if k == 1 else total <= 60 * 19_999
