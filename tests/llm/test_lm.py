@@ -115,3 +115,53 @@ def test_the_query_counts_every_context(spark, docs, tmp_path):
     whole = LM.score(docs, *LM.fit(docs), contexts=1).collect()
     key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["n_recalled"])
     assert sorted(map(key, rows)) == sorted(map(key, whole))
+
+
+def test_words_are_split_as_by_python(spark):
+    texts = ["  a B\x1cc\tDÉ \x0b x ", "", None, " \n ", " x y", "İ  z"]
+    words, at, lengths = LM.split(LM.pa.array([t or "" for t in texts]))
+    assert [words[i] for i in at] == [w for t in texts for w in LM.words_of(t)]
+    assert lengths.tolist() == [len(LM.words_of(t)) for t in texts]
+
+
+def test_places_are_shuffled_packed(spark, tmp_path):
+    """Nothing is written for each place: packed, the shuffles of all places take fewer bytes than a row of numbers for each would."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 2000) % 50000) for _ in range(100)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    lexicon, net = LM.fit(d)
+    packed = "to int, block bigint, kind int, data binary, ids array<bigint>"
+    known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sent = d.select("doc_id", "text").mapInArrow(LM._scorer(lexicon, net, 1, 4, known, LM.pa.int64()), packed)
+    assert sum(len(r["data"]) for r in sent.collect()) < 16 * 100 * 2000
+    shared = LM.written(d.select("doc_id"), "x").inputFiles()[0].rsplit("/", 2)[0].removeprefix("file:").replace("//", "/")
+    import os
+
+    before = set(os.listdir(shared))
+    LM.score(d, lexicon, net, contexts=1).collect()
+    assert set(os.listdir(shared)) == before
+
+
+def test_crowded_neighbours_are_counted_ahead_with_the_same_result(spark, docs, monkeypatch):
+    lexicon, net = LM.fit(docs, vocabulary=30)
+    found = []
+    for often, sampled in ((LM.OFTEN, LM.SAMPLED), (2, 1)):
+        monkeypatch.setattr(LM, "OFTEN", often)
+        monkeypatch.setattr(LM, "SAMPLED", sampled)
+        rows = LM.score(docs, lexicon, net, contexts=1).collect()
+        found.append(sorted((r["n_tokens"], r["n_recalled"], r["n_contexts"], round(r["log_prob"], 2)) for r in rows))
+        ahead = LM._often(docs.select("text"), lexicon)[1][0]
+        assert bool(len(ahead)) == (often == 2)
+    assert [x[:3] for x in found[0]] == [x[:3] for x in found[1]]
+    assert all(math.isclose(a[3], b[3], abs_tol=0.05) for a, b in zip(*found))
+
+
+def test_blocks_and_buckets_change_nothing(spark, docs, monkeypatch):
+    lexicon, net = LM.fit(docs, vocabulary=30)
+    key = lambda r: (r["n_tokens"], r["n_recalled"], round(r["log_prob"], 2))
+    whole = sorted(map(key, LM.score(docs, lexicon, net, contexts=1).collect()))
+    monkeypatch.setattr(LM, "BLOCK", 100)
+    monkeypatch.setattr(LM, "SLICE", 300)
+    monkeypatch.setattr(LM, "BUCKET", 200)
+    small = sorted(map(key, LM.score(docs, lexicon, net, contexts=1).collect()))
+    assert len(whole) == len(small) and all(a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=0.05) for a, b in zip(whole, small))
