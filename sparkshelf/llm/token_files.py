@@ -12,7 +12,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from . import idcoder
 from .common import shared_dir
 
 END = 2
-#: Bytes that a task's caches may hold, as estimated; full ones are emptied.
+#: Bytes that words and pieces may take in the cache of a task, as estimated; a full one is emptied.
 MOST_WORD_BYTES, MOST_PIECE_BYTES = 48 << 20, 24 << 20
 ENTRY = 160  # bytes of an entry besides its content
 #: Segments (tasks of a write) whose totals are broadcast, at 12 bytes each.
@@ -35,10 +34,18 @@ TOGETHER = 2_000_000
 #: Pieces that go through the library as one text.
 JOINED = 4_000
 CHUNK = idcoder.BLOCK * idcoder.LANES
-#: Words in which the pieces below are sure to be the tokenizer's own: printable ASCII without apostrophe, and the letters of Latin-1, which are
-#: composed already.
-PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-PIECE = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|(?:(?!\xc3)[^a-z0-9])+")
+#: What a byte is within a plain word: 1 a letter, 2 a digit, 3 another sign; 0 is white space, 4 makes its word one that is not plain. Plain words
+#: are those in which runs of a kind, single digits, are sure to be the tokenizer's own pieces: printable ASCII without apostrophe, and the
+#: letters of Latin-1 (two bytes, of which the first is C3), which are composed already.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[33:127] = SIGN
+KINDS[list(b" \t\n\r\x0b\x0c")] = SPACE
+KINDS[list(b"0123456789")] = DIGIT
+KINDS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = LETTER
+KINDS[0x27] = OTHER
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
 
 
 def tokenizer_path() -> str:
@@ -73,8 +80,8 @@ def _bytes(strings: pa.StringArray) -> list[bytes]:
 class Words:
     """Ids of texts. A tokenizer that drops white space and splits there, as its description says (by_words), encodes a text as the
     sequence of its words, so each distinct word (bytes between ASCII white space) goes through it once while the cache holds
-    it. If it also lower-cases, splits plain words into letters, digits and other signs and marks where a piece ends, distinct
-    pieces go through the library many at a time. Any other tokenizer encodes whole texts."""
+    it. If it also lower-cases, splits plain words into letters, digits and other signs and marks where a piece ends, texts are cut into
+    such pieces at once and distinct pieces go through the library many at a time. Any other tokenizer encodes whole texts."""
 
     def __init__(self, file: str):
         import tokenizers
@@ -85,8 +92,7 @@ class Words:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.by_words = by_words(description)
         self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
-        self.held = self.held_pieces = 0
+        self.held = 0
         suffix = description["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.by_pieces = False
@@ -97,15 +103,15 @@ class Words:
 
     def _splits(self) -> bool:
         """Whether plain words do come as the ids of their pieces, tried on words of all kinds of seams."""
-        probes = [w.encode() for w in ("Abc12x", "don-t,###", "9z.Z9", "A.b.C", "x_1-$%a", "__", "42abc!!7", "HELLOworld", "(a)[b]", "\u00c9t\u00e9.", "na\u00efve-9", "\u00df\u00ff\u00c0\u00de1")]
+        probes = ["Abc12x", "don-t,###", "9z.Z9", "A.b.C", "x_1-$%a", "__", "42abc!!7", "HELLOworld", "(a)[b]", "\u00c9t\u00e9.", "na\u00efve-9", "\u00df\u00ff\u00c0\u00de1"]
+        self.by_pieces = True
         try:
-            self._learn(set(probes), pieces=True)
+            got = [x.tobytes() for x in self.ids(probes)]
         except KeyError:
             return False
-        got = [self.known[w] for w in probes]
         self.known.clear()
-        self.pieces.clear()
-        return got == self._encoded(probes)
+        self.held = 0
+        return got == self._encoded([w.encode() for w in probes])
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -119,25 +125,59 @@ class Words:
             raw, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
             if len(stops) != len(some):
                 raise KeyError("pieces do not end where the tokenizer says")
-            self.pieces.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops))))
-
-    def _learn(self, words: set[bytes], pieces: bool) -> None:
-        rest = words
-        if pieces:
-            plain = [w for w in words if PLAIN.fullmatch(w) and b"<|" not in w]
-            split = [PIECE.findall(w.lower() if w.isascii() else w.decode().lower().encode()) for w in plain]
-            asked = set(chain.from_iterable(split))
-            new = list(asked.difference(self.pieces))
-            self.held_pieces += sum(map(len, new)) + ENTRY * len(new)
-            if self.held_pieces > MOST_PIECE_BYTES:
-                self.pieces.clear()
-                new = list(asked)
-                self.held_pieces = sum(map(len, new)) + ENTRY * len(new)
-            self._learn_pieces(new)
-            ids = self.pieces.__getitem__
-            self.known.update((w, ids(ps[0]) if len(ps) == 1 else b"".join(map(ids, ps))) for w, ps in zip(plain, split))
-            rest = words.difference(plain)
-        self.known.update(zip(rest, self._encoded(list(rest))))
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops))))
+
+    def _pieces(self, texts: pa.StringArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The plain words' pieces, in small letters, and the other words of all texts, coded by dictionary; where each text's begin and end;
+        and which entries of the dictionary are other words."""
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+        ends -= ends[0]
+        kind, low = KINDS.take(raw), SMALL.take(raw)
+        if len(raw) and raw.max() > 127:
+            second = np.flatnonzero(raw[:-1] == 0xC3) + 1  # texts are whole UTF-8, so a second byte follows in the same text
+            second = second[(raw[second] != 0x97) & (raw[second] != 0xB7)]
+            kind[second] = kind[second - 1] = LETTER
+            low[second[raw[second] < 0x9F]] += 32
+        first = np.zeros(len(raw) + 1, bool)
+        first[ends] = True
+        first = first[:-1]
+        space = kind == SPACE
+        words = first.copy()
+        words[1:] |= space[:-1]
+        words &= ~space
+        starts = words | (kind == DIGIT)
+        starts[1:] |= kind[1:] != kind[:-1]
+        starts &= ~space
+        odd = kind == OTHER
+        odd[:-1] |= (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+        bad = np.zeros(0, np.int64)
+        if odd.any():
+            # words that are not plain stay whole and as they are
+            number = np.cumsum(words)
+            bad = np.unique(number[odd])
+            inside = np.zeros(int(number[-1]) + 1, bool)
+            inside[bad] = True
+            inside = inside[number] & ~space
+            starts &= ~inside | words
+            low[inside] = raw[inside]
+        at = np.flatnonzero(starts)
+        shown = ~space
+        place = np.concatenate([[0], np.cumsum(shown)])
+        cuts = np.append(place[at], place[-1]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(low[shown])]).dictionary_encode()
+        others = np.zeros(len(coded.dictionary), bool)
+        if len(bad):
+            others[coded.indices.to_numpy()[inside[at]]] = True
+        return coded, np.searchsorted(at, ends), others
+
+    def _learn(self, words: list[bytes], others: list[bool]) -> None:
+        """others: which of the words are not pieces."""
+        if plain := [w for w, o in zip(words, others) if not o]:
+            self._learn_pieces(plain)
+        if rest := [w for w, o in zip(words, others) if o]:
+            self.known.update(zip(rest, self._encoded(rest)))
 
     def ids(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """The ids of each text; the words of all texts are told apart in one dictionary. Null texts have none."""
@@ -149,18 +189,22 @@ class Words:
         if not self.by_words:
             got = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             return [np.array(x.ids, self.kind) for x in got]
-        lists = pc.ascii_split_whitespace(texts)
-        coded = lists.flatten().dictionary_encode()
+        if self.by_pieces:
+            coded, cuts, others = self._pieces(texts)
+        else:
+            lists = pc.ascii_split_whitespace(texts)
+            coded = lists.flatten().dictionary_encode()
+            cuts, others = lists.offsets.to_numpy() - lists.offsets[0].as_py(), np.ones(len(coded.dictionary), bool)
         words = _bytes(coded.dictionary)
-        unknown = set(words).difference(self.known)
-        size = sum(map(len, unknown)) * 2 + ENTRY * len(unknown)
+        unknown = [i for i, w in enumerate(words) if w not in self.known]
+        size = sum(len(words[i]) for i in unknown) * 2 + ENTRY * len(unknown)
         self.held += size
-        if self.held > MOST_WORD_BYTES:
+        if self.held > MOST_WORD_BYTES + MOST_PIECE_BYTES:
             self.known.clear()
-            unknown = set(words)
-            self.held = sum(map(len, unknown)) * 2 + ENTRY * len(unknown)
+            unknown = list(range(len(words)))
+            self.held = sum(map(len, words)) * 2 + ENTRY * len(words)
         if unknown:
-            self._learn(unknown, self.by_pieces)
+            self._learn([words[i] for i in unknown], others[unknown].tolist())
         values = list(map(self.known.__getitem__, words))
         pool = np.frombuffer(b"".join(values), self.kind)
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // pool.itemsize
@@ -168,8 +212,7 @@ class Words:
         each = lengths[at]
         ends = np.cumsum(each)
         ids = pool[np.repeat((np.cumsum(lengths) - lengths)[at] - (ends - each), each) + np.arange(int(each.sum()))]
-        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()]
-        return np.split(ids, cuts)
+        return np.split(ids, np.concatenate([[0], ends])[cuts[1:-1]])
 
 
 def _tokenized(words: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -111,3 +111,12 @@ def test_a_real_corpus_takes_fewer_bytes_than_zlib_and_static_order_0(spark, sf)
     got = len(idcoder.encode(ids)) / len(ids)
     assert got < float((counts * np.log2(len(ids) / counts)).sum()) / 8 / len(ids)
     assert got < len(zlib.compress(ids.astype("<u2").tobytes(), 6)) / len(ids)
+
+
+def test_texts_are_cut_into_pieces_at_once():
+    """Plain words that differ in capitals and signs only are learnt as the same pieces; other words stay whole."""
+    words = token_files.Words(token_files.tokenizer_path())
+    texts = ["Then then. THEN,(then)", "\tthen42 Été éTÉ.", "don't ", "", "<|endoftext|>Then <", "|>then"]
+    got = [[*x.tolist(), token_files.END] for x in words.ids(texts)]
+    assert got == whole(texts)
+    assert set(words.known) == {x.encode() for x in ("then", ".", ",(", ")", "4", "2", "été", "don't", "<|endoftext|>Then", "<", "|>")}
